@@ -9,6 +9,7 @@ cut can't vouch for goes to the library whole.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 
@@ -17,7 +18,9 @@ _DOUBT = "᠎​﻿"
 _MARK = "￾"  # a noncharacter that stands for a safe newline
 SAFE_SPACE = re.compile(f"(?<=[^\\s{_DOUBT}]) (?=[^\\s{_DOUBT}])")
 _SAFE_NEWLINE = re.compile(f"(?<=[^\\s{_DOUBT}])\n(?=[^\\s{_DOUBT}])")
-_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
+_EDGES_SAFE = re.compile(f"[^\\s{_DOUBT}](?:.*[^\\s{_DOUBT}])?", re.S)
+#: A run of letters, then ASCII punctuation that joins nothing to it: two tokens' texts at most.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@[-`{-~]*)")
 
 
 def _byte_chars() -> dict[int, str]:
@@ -28,12 +31,13 @@ def _byte_chars() -> dict[int, str]:
 
 
 class PieceEncoder:
-    """``ids(text)`` gives what the library's ``encode(text, add_special_tokens=False).ids`` gives, as uint16/uint32.
+    """``encode(texts)`` gives what the library's ``encode(text, add_special_tokens=False).ids`` gives.
 
-    Only for byte-level BPE files without prefix space, whose vocabulary fits 16 bits.
+    Only for byte-level BPE files without prefix space, whose vocabulary fits 16 bits. A piece is kept
+    without the space before it; ``_MARK`` before a piece stands for a newline and no space.
     """
 
-    def __init__(self, path: str, cached_pieces: int = 200_000):
+    def __init__(self, path: str, cached_pieces: int = 400_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -42,66 +46,95 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 65_536:
             raise ValueError("ids don't fit 16 bits")
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         self.model, self.chars, self.limit = self.tokenizer.model, _byte_chars(), cached_pieces
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _word(self, shown: str) -> bytes:
-        """One run of letters, with its leading space if any: the merges alone, as no cut falls inside."""
-        mapped = shown.encode().decode("latin-1").translate(self.chars)
-        return np.array([t.id for t in self.model.tokenize(mapped)], "<u2").tobytes()
-
-    def _fill(self, keys: list[str]) -> None:
+        """One token's text of the pre-tokenizer, with its leading space if any: the merges alone."""
+        mapped = "Ġ" + shown[1:] if shown[0] == " " and shown.isascii() else shown.encode().decode("latin-1").translate(self.chars)
+        return array("H", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
+    def _fill(self, keys: set[str]) -> None:
+        """Adds pieces to the cache, but not those whose edges make the cut at their spaces unsafe."""
+        if len(self.young) + len(keys) > self.limit:
+            self.old, self.young = self.young, {}
         young, old, odd = self.young, self.old, []
         for key in keys:
             if (known := old.get(key)) is not None:
                 young[key] = known
-                continue
-            core = key[1:].rstrip(".,") if key[0] in " " + _MARK else key
-            tail = key[1 + len(core) :]
-            if key[0] == " " and len(tail) <= 1 and _PLAIN.fullmatch(core):
-                head = young.get(" " + core)
+            elif plain := _PLAIN.fullmatch(key):
+                core, tail = plain.groups()
+                if tail and any(s in key for s in self.special):
+                    odd.append(key)
+                    continue
+                head = young.get(core)
                 if head is None:
-                    head = young[" " + core] = self._word(" " + core)
-                young[key] = head + self._word(tail) if tail else head
-            else:
+                    head = young[core] = self._word(" " + core)
+                if tail:
+                    if tail not in self.tails:
+                        if len(self.tails) > 10_000:
+                            self.tails = {"": b""}
+                        self.tails[tail] = self._word(tail)
+                    young[key] = head + self.tails[tail]
+            elif _EDGES_SAFE.fullmatch(key[1:] if key[:1] == _MARK else key):
                 odd.append(key)
-        shown = ["\n" + k[1:] if k[0] == _MARK else k for k in odd]
+        shown = ["\n" + k[1:] if k[0] == _MARK else " " + k for k in odd]
         young.update(zip(odd, self._whole(shown), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 16-bit ids of each text."""
-        pieces, whole = [], []
-        for i, text in enumerate(texts):
-            if _MARK in text or not text:
-                pieces.append(None)
-                if text:
-                    whole.append(i)
-                continue
-            first, *rest = SAFE_SPACE.split(_SAFE_NEWLINE.sub(" " + _MARK, text))
-            # the first piece has no space before it; "\0" keeps its key apart
-            pieces.append((first, [p if p[0] == _MARK else " " + p for p in rest]))
         out: list[bytes] = [b""] * len(texts)
+        whole: list[int] = []
+        cut: list[tuple[int, str, list[str]]] = []
+        for i, text in enumerate(texts):
+            if _MARK in text:
+                whole.append(i)
+            elif text:
+                first, *rest = text.replace("\n", " " + _MARK).split(" ")
+                cut.append((i, first, rest) if not rest or (first and _EDGES_SAFE.fullmatch(first[-1])) else (i, *self._safe(text)))
+        again: list[tuple[int, str, list[str]]] = []
+        heads = self._whole([first for _, first, _ in cut])
+        self._join(cut, heads, out, again)
+        if again:  # texts with runs of white space: only the spaces that the pattern finds safe cut
+            cut = [(i, *self._safe(texts[i])) for i, _, _ in again]
+            self._join(cut, self._whole([first for _, first, _ in cut]), out, whole_from := [])
+            whole += [i for i, _, _ in whole_from]
         for i, ids in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
             out[i] = ids
-        have = [i for i, p in enumerate(pieces) if p]
-        firsts = self._whole([pieces[i][0] for i in have])
-        wanted: set[str] = set()
-        for i in have:
-            wanted.update(pieces[i][1])
-        missing = wanted.difference(self.young)
-        if len(self.young) + len(missing) > self.limit:  # the generations change; what is still in use comes along
-            self.old, self.young, missing = self.young, {}, wanted
-        self._fill(list(missing))
-        get = self.young.__getitem__
-        for i, first in zip(have, firsts, strict=True):
-            out[i] = first + b"".join(map(get, pieces[i][1]))
         return out
 
+    @staticmethod
+    def _safe(text: str) -> tuple[str, list[str]]:
+        first, *rest = SAFE_SPACE.split(_SAFE_NEWLINE.sub(" " + _MARK, text))
+        return first, rest
+
+    def _join(self, cut, heads: list[bytes], out: list[bytes], again: list) -> None:
+        get, missing, found = self.young.get, set(), []
+        for _, _, rest in cut:
+            got = list(map(get, rest))
+            gaps = [k for k, g in enumerate(got) if g is None] if None in got else []
+            missing.update([rest[k] for k in gaps])
+            found.append((got, gaps))
+        if missing:
+            self._fill(missing)
+        get = self.young.get
+        for item, head, (got, gaps) in zip(cut, heads, found, strict=True):
+            i, _, rest = item
+            for k in gaps:
+                got[k] = get(rest[k])
+            if gaps and None in got:
+                again.append(item)
+            else:
+                out[i] = head + b"".join(got)
+
 
 _encoders: dict[str, PieceEncoder] = {}
 

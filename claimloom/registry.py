@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from claimloom.plans import carriers
+
 
 def queries() -> dict[str, Callable]:
-    return {}
+    return dict(carriers.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(carriers.SQL)

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.llm.common import local_file, slices_by_bytes, text_bytes
-from claimloom.llm.encoding import SAFE_SPACE
+from claimloom.llm.encoding import SAFE_SPACE, encoder
 
 #: UTF-8 bytes that one call of the library gets; longer texts are split into parts of about this size.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 22
 PART_BYTES = 1 << 18
 
 _loaded: dict[str, object] = {}
@@ -21,7 +21,9 @@ def _counter(path: str):
     """texts -> token counts for a .json (tokenizers) or .model (sentencepiece) file, loaded once in a worker."""
     if path not in _loaded:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        if path.endswith(".model"):
+        if os.path.basename(path).startswith("byte_bpe"):
+            _loaded[path] = encoder(path).count
+        elif path.endswith(".model"):
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)

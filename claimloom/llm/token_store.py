@@ -122,17 +122,16 @@ def _encode_parts(tokenizer: str, end_id: int):
     def run(batches):
         import pyarrow as pa
 
-        enc, end, seen = encoder(local_file(tokenizer)), np.array([end_id], "<u2").tobytes(), set()
+        enc, seen = encoder(local_file(tokenizer)), set()
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), text_bytes(batch.column(1))
-            for lo, hi in slices_by_bytes([len(t) for t in texts], 1 << 21):
+            for lo, hi in slices_by_bytes([len(t) for t in texts], 1 << 22):
                 rows = []
-                for doc_id, raw in zip(doc_ids[lo:hi], enc.encode([t.decode() for t in texts[lo:hi]]), strict=True):
-                    ids = np.frombuffer(raw + end, "<u2")
+                for doc_id, ids in zip(doc_ids[lo:hi], enc.encode([t.decode() for t in texts[lo:hi]], end_id), strict=True):
                     ends = cut_points(ids)
                     digests = []
                     for a, b in zip([0, *ends], ends, strict=False):
-                        payload = ids[a:b].tobytes()
+                        payload = ids[a:b].astype("<u2", copy=False).tobytes()
                         digests.append(address(payload))
                         if digests[-1] not in seen:  # in this task; across tasks they meet by digest
                             seen.add(digests[-1])

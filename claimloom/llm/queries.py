@@ -58,7 +58,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_groups(_table(spark, sf_dir, "documents"))
+    return simhash.near_groups(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 def queries() -> dict:

@@ -12,8 +12,9 @@ import itertools
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from claimloom.llm.common import materialise, partitions, slices_by_bytes, text_bytes
+from claimloom.llm.common import materialise, slices_by_bytes, text_bytes
 
 #: Distinct fingerprints beyond which every tile is split into one more part.
 TILE_ROWS = 5_000_000
@@ -116,8 +117,11 @@ def fingerprint_texts(texts: list[bytes], words: int = 3) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """``(id, fp)``: the fingerprint of every whole text as a signed long; null text has no words. No shuffle."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, keep: list[str] | None = None) -> DataFrame:
+    """``(id, fp)``: the fingerprint of every whole text as a signed long; null text has no words. No shuffle.
+
+    ``keep`` names columns to carry along, in a struct ``row``.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -126,9 +130,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             texts = text_bytes(batch.column(1))
             got = [fingerprint_texts(texts[lo:hi], words) for lo, hi in slices_by_bytes([len(t) for t in texts], 1 << 21)]
             fp = np.concatenate(got).view(np.int64) if got else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), *batch.columns[2:]], ["id", "fp", *batch.schema.names[2:]])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, fp long")
+    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.struct(*keep).alias("row")] if keep else []))
+    schema = StructType([StructField("id", docs.schema[id_col].dataType), StructField("fp", LongType()), *chosen.schema.fields[2:]])
+    return chosen.mapInArrow(run, schema)
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -232,20 +238,26 @@ def components(links: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
             return labels
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
-    """``(id, fingerprint, component_id)`` for every row: 16 hex digits, and the smallest id reachable by links.
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3, keep: list[str] | None = None) -> DataFrame:
+    """``(id, fingerprint, component_id, kept)`` for every row: 16 hex digits, and the smallest id reachable by links.
 
     Null text and text without words have fingerprint zero and are linked like any other; equal
     fingerprints are one node, so copies cost nothing; repeated rows share a component; null ids never
-    name a component unless it holds no other. Other columns are not read.
+    name a component unless it holds no other. ``kept`` is true for one row of each component, of the id
+    that names it. ``keep`` names columns to carry along, in a struct ``row``; the others are not read.
     """
-    fps = materialise(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    nodes = materialise(fps.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
+    fps = fingerprints(docs, id_col, text_col, words, keep).withColumn("row_no", F.monotonically_increasing_id())
+    fps = materialise(fps, "fingerprints")  # once written, row numbers stay
+    nodes = materialise(fps.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "row_no")).alias("least")), "nodes")
     n = nodes.count()
-    labels = components(tile_links(nodes, n, radius)) if n else None
-    if labels is None:
-        return fps.select(F.col("id").alias(id_col), F.lit("").alias("fingerprint"), F.col("id").alias("component_id"))
+    columns = [F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "kept", *(["row"] if keep else [])]
+    if not n:
+        return fps.withColumn("component_id", F.col("id")).withColumn("kept", F.lit(True)).select(columns)
+    labels = components(tile_links(nodes.select("fp"), n, radius))
     labelled = nodes.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    named = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_fp = materialise(labelled.join(named, "label").select("fp", "component_id"), "components")
-    return fps.join(of_fp, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = labelled.groupBy("label").agg(F.min("least").alias("head"))
+    of_fp = materialise(labelled.join(named, "label").select("fp", F.col("head.id").alias("component_id"), F.col("head.row_no").alias("head_no")), "components")
+    told = fps.select("id", "fp", "row_no").join(of_fp, "fp").withColumn("kept", F.col("row_no") == F.col("head_no"))
+    if keep:  # rows meet by their number: a large component is no hot key for them
+        told = told.drop("id", "fp").join(fps, "row_no")
+    return told.select(columns)

@@ -6,7 +6,7 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the las
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimloom.llm import exact_dedup, language_id, mixing, packing, simhash
@@ -27,22 +27,22 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the smallest id stays."""
-    groups = exact_dedup.exact_groups(docs)
-    gone = groups.filter(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of equal texts one row of the smallest id stays."""
+    return exact_dedup.exact_groups(docs, keep=docs.columns).filter("kept").select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the document with the smallest id stays."""
-    gone = simhash.near_groups(docs).filter(F.col("component_id") != F.col("doc_id")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each SimHash component one document of the smallest id stays."""
+    return simhash.near_groups(docs, keep=docs.columns).filter("kept").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as many times as the mix takes it."""
-    copies = mixing.mix(docs).filter("copies > 0").select("doc_id", F.expr("explode(array_repeat(0, cast(copies AS int)))").alias("copy"))
-    return docs.join(copies, "doc_id").select(docs.columns)
+    """Every document as many times as the mix takes it; rows equal in id, source and text share their copies evenly."""
+    keyed = docs.withColumn("row_key", F.to_json(F.struct("doc_id", "source", F.md5(F.col("text").cast("binary")).alias("text"))))
+    copies = mixing.mix(keyed, keep=["row_key"]).groupBy("row.row_key").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    numbered = keyed.withColumn("number", F.row_number().over(Window.partitionBy("row_key").orderBy(F.lit(1))))
+    own = F.expr("copies div rows + int(number <= copies % rows)").cast("int")
+    return numbered.join(copies.filter("copies > 0"), "row_key").withColumn("copy", F.explode(F.array_repeat(F.lit(0), own))).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -311,6 +311,7 @@ def test_simhash(spark, docs, empty):
             least[k] = min(least.get(k, r[0]), r[0])
     found = simhash.near_groups(docs).collect()
     assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in found) == Counter((r[0], f"{fingerprint(r[1]):016x}", least[label[fingerprint(r[1])]]) for r in rows)
+    assert sum(r.kept for r in found) == len(set(label.values())) and all(r.doc_id == r.component_id for r in found if r.kept)
     assert simhash.near_groups(empty).count() == 0
 
 
@@ -320,3 +321,39 @@ def test_xxh64_of_all_lengths():
     starts = np.arange(300) % 50
     want = [xxhash.xxh64_intdigest(buf[a : a + n], 42) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
     assert simhash.xxh64_slices(buf, starts, sizes).tolist() == want
+
+
+def test_pipeline_stages(spark, docs, empty):
+    """Repeated rows and ids, nulls and extra columns: each stage on what its predecessor kept."""
+    import corpus_pipeline as cp
+
+    letters = lambda t: any(c.isalpha() for c in t or "")
+    fitted = docs.filter("source = 'a'").withColumn("text", F.lit("the of and sun moon river stone house")).withColumn("lang", F.lit("en"))
+    for table in (docs, docs.union(fitted.withColumn("doc_id", F.col("doc_id") + 1000))):
+        before = [tuple(r) for r in table.collect()]
+        one = cp.identify_languages(spark, table, SF)
+        assert one.columns == docs.columns and {r.doc_id for r in one.collect()} <= {r[0] for r in before if letters(r[1])}
+    one = one.cache()
+    assert {r.doc_id for r in one.filter("source = 'a' AND doc_id >= 1000").collect()} == {r[0] for r in before if r[0] is not None and r[0] >= 1000}
+    norm = lambda t: re.sub("[\x20\x09-\x0d]+", " ", t or "")
+    two = cp.drop_exact_copies(spark, docs, SF).collect()
+    assert sorted(norm(r.text) for r in two) == sorted({norm(r[1]) for r in planted()})
+    three = cp.drop_near_copies(spark, docs, SF).collect()
+    assert len(three) == len(set(components({fingerprint(r[1]) for r in planted()}).values()))
+    four = cp.mix_sources(spark, docs, SF)
+    taken = mixing.mix(docs).groupBy("doc_id").agg(F.sum("copies").alias("n")).filter("n > 0").collect()
+    assert Counter(r.doc_id for r in four.collect()) == Counter({r.doc_id: r.n for r in taken}) and four.columns == docs.columns
+    five = cp.pack_sequences(spark, docs, SF)
+    check_packing([(r[0], r[1]) for r in planted()], five.collect())
+    for stage in (f for _, f in cp.STAGES):
+        assert stage(spark, empty, SF).count() == 0
+
+
+def test_pipeline_on_the_smallest_scale(spark):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in cp.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+    want = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    check_packing(want, cp.run(spark, SF).collect())

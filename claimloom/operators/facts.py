@@ -33,10 +33,10 @@ def quality_signals(facts: DataFrame) -> DataFrame:
 
 
 def compare(facts: DataFrame, slugs: list[str]) -> DataFrame:
-    """JN-11: two or three cards, one row for each field, a column for each card, and whether they differ."""
+    """JN-11: two or three cards, one row for each field, a column for each card, and whether they differ; of repeated facts the greatest counts."""
     if not 2 <= len(slugs) <= 3:
         raise ValueError("a comparison takes two or three cards")
-    cell = F.first(F.concat_ws("|", "status", F.coalesce("value", F.lit(""))))
+    cell = F.max(F.concat_ws("|", "status", F.coalesce("value", F.lit(""))))
     wide = facts.filter(F.col("slug").isin(slugs)).groupBy("field_id").pivot("slug", slugs).agg(cell)
     cells = [F.coalesce(F.col(f"`{s}`"), F.lit("")) for s in slugs]
     return wide.select("field_id", *(c.alias(f"card_{k}") for k, c in enumerate(cells, 1)), (F.size(F.array_distinct(F.array(*cells))) > 1).alias("differs"))

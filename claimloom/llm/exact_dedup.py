@@ -10,6 +10,8 @@ from claimloom.llm.common import SPACES, materialise
 PREFIX = 64
 #: Bits of the survivors' bitmap: 256 rows of 4 KB, whatever the input's size.
 BITS = 256 * 32_768
+#: A group is hot if it holds over one in this many survivors, so there are fewer hot groups than this.
+HOT = 1000
 
 
 def normalised(text) -> "F.Column":
@@ -32,6 +34,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Refinement: (1) count lengths; (2) where a length repeats, count (length, prefix hash); (3) where that
     repeats, hash the full text. The second scan finds the survivors by a bitmap of fixed size over
     (length, prefix) hashes, so no text is shuffled; a false positive costs a hash and changes nothing.
+    Hot groups, fewer than ``HOT`` whatever the input, meet their rows by broadcast, the others by a shuffle,
+    so no task gets a large group's rows.
     """
     narrow = docs.select(*_keys(F.col(text_col)))
     by_prefix = materialise(narrow.groupBy("len", "prefix").count(), "length-prefix")
@@ -52,7 +56,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     survivors = hashed.filter("survives")
     groups = survivors.groupBy("full_hash").agg(F.min("id").alias("least"), F.count("id").alias("named"), F.count("*").alias("group_size"))
     groups = groups.withColumn("keep_id", F.when(F.col("named") == F.col("group_size"), F.col("least"))).drop("least", "named")
-    joined = survivors.join(groups, "full_hash")
+    groups = materialise(groups, "groups")
+    hot = groups.filter(F.col("group_size") * HOT > survivors.count()).select("full_hash", F.struct("keep_id", "group_size").alias("hot"))
+    tagged = survivors.join(F.broadcast(hot), "full_hash", "left")
+    met = tagged.filter("hot IS NOT NULL").withColumns({"keep_id": F.col("hot.keep_id"), "group_size": F.col("hot.group_size")})
+    joined = met.unionByName(tagged.filter("hot IS NULL").join(groups, "full_hash")).drop("hot")
     first = F.row_number().over(Window.partitionBy("full_hash", "id").orderBy("len"))
     heads = joined.filter(F.col("id").eqNullSafe(F.col("keep_id"))).withColumn("kept", first == 1)
     rest = joined.filter(~F.col("id").eqNullSafe(F.col("keep_id"))).withColumn("kept", F.lit(False))

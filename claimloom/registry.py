@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from claimloom.plans import carriers
+from claimloom.plans import carriers, records  # noqa: F401  each module adds its queries to the carriers' tables
 
 
 def queries() -> dict[str, Callable]:

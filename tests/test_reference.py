@@ -7,9 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimloom import registry
+from claimloom.functions import markers as M
 from claimloom.functions import text as T
 from claimloom.operators import facts as O
 from claimloom.operators import html
+from claimloom.operators import projection as P
 from claimloom.streaming import admission
 
 SF = "/root/testdata/sf0.001"
@@ -108,3 +110,29 @@ def test_streaming_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT sum(n) AS n FROM admission").first().n == spark.read.parquet(path).count()
+
+
+def test_markers(spark):
+    one_of = lambda text, f: one(spark, text, f)
+    assert one_of("Early decision aside, apply; interviews follow, then semi-finalists.", M.process_markers) == ["application", "interview", "finalist", "semifinal"]
+    assert [one_of(x, M.cycle_status) for x in ("Applications are now open", "deadline has passed", "will open", "underway", "has ended", "soon")] == ["applications_open", "applications_closed", "announced", "active", "complete", None]
+    assert one_of("Ages 14-18, grades 9 and 10, 2027, 26 of 1,2", M.small_numbers) == [9, 10, 12, 14, 18]
+    assert [one_of(x, lambda c: M.age_range(c)) for x in ("between the ages of 14 and 18", "14 to 18 years old", "ages 18-14", "none")] == [(14, 18), (14, 18), None, None]
+    assert one_of("https://e.org/a-b_c?x=1&y=caf%C3%A9#z", M.searchable_url) == " a b c  x 1 y café"
+    assert one_of("x", lambda c: M.money_range(F.lit(1000.0), F.lit(2500.5), F.lit("USD"))) == "$1,000–$2,500.50"
+
+
+def test_structured_records(spark):
+    roles = spark.createDataFrame([("a", 2, 1, "operator"), ("a", 1, 2, "operator"), ("b", 1, 1, "fiscal_sponsor"), ("c", 1, 9, "operator"), ("d", 1, 1, "operator")], "slug string, role_id int, org_id int, role string")
+    orgs = spark.createDataFrame([(1, "One", "nonprofit"), (2, "Two", None)], "org_id int, name string, kind string")
+    got = {r.slug: (r.operating_organization, r.organization_type) for r in P.primary_operator(roles, orgs).collect()}
+    assert got == {"a": ("Two; One", None), "b": ("One (fiscal sponsor)", None), "d": ("One", "nonprofit")}
+    claims = spark.createDataFrame([("a", 1, 1, "x", False, False), ("b", 1, 1, "x", True, False), ("c", 1, 1, "y", False, True), ("c", 1, 2, "x", True, False), ("c", 1, 3, "y", True, False)], "slug string, field_id int, claim_id int, display string, by_variant boolean, by_process boolean")
+    got = {r.slug: (r.display, r.note) for r in P.scoped_projection(claims).collect()}
+    assert got == {"a": ("x", None), "b": ("Scoped by program/cohort — see details", "x"), "c": ("Varies by program/cohort and stage/pathway", "y; x")}
+    outcomes = spark.createDataFrame(
+        [("a", 1, "stipend", "S", "team", "cash", 5, "$5"), ("a", 2, "stipend", "T", "team", "in_kind", 5, "$5"), ("a", 3, "team_cash_prize", "P", "team", "cash", 1, "$1"), ("a", 4, "personal_cash_prize", "Q", "individual", "cash", None, None), ("a", 5, "travel", "Trip", "project", None, None, None), ("a", 6, "travel", "No", "educator", None, None, None), ("a", 7, "educator_cash_prize", "E", "team", "cash", 1, "$1")],
+        "slug string, outcome_id int, type string, label string, recipient string, nature string, amount long, amount_display string",
+    )
+    got = {r.field_id: (r.display, r.amount, r.note) for r in P.project_outcomes(outcomes).collect()}
+    assert got == {"stipend": ("S — $5/team", 5, None), "cash_award": ("Multiple cash awards — see prize details", None, "P; Q"), "other_benefits": ("Trip", None, None)}

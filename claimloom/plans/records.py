@@ -33,7 +33,7 @@ def _organizations(supplier):
 
 
 @query("prj_01_primary_operator", "oprole", "supplier", sql=f"""SELECT slug, CASE WHEN n > 0 THEN ops ELSE others END AS operating_organization, CASE WHEN n = 1 THEN kind END AS organization_type FROM (
-SELECT slug, count(*) FILTER (role = 'operator') AS n, string_agg(name, '; ' ORDER BY role_id, name) FILTER (role = 'operator') AS ops, string_agg(name || ' (' || replace(role, '_', ' ') || ')', '; ' ORDER BY role_id, name) AS others, max(kind) FILTER (role = 'operator') AS kind
+SELECT slug, count(*) FILTER (role = 'operator') AS n, string_agg(name, '; ' ORDER BY role_id, name) FILTER (role = 'operator') AS ops, string_agg(name || ' (' || replace(role, '_', ' ') || ')', '; ' ORDER BY role_id, name, role) AS others, max(kind) FILTER (role = 'operator') AS kind
 FROM oprole LEFT JOIN {_ORG} o USING (org_id) GROUP BY slug) WHERE CASE WHEN n > 0 THEN ops ELSE others END IS NOT NULL""")
 def _(roles, supplier):
     return P.primary_operator(roles, _organizations(supplier))

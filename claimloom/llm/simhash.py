@@ -14,11 +14,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from claimloom.llm.common import materialise, slices_by_bytes, text_bytes
+from claimloom.llm.common import materialise, slices_by_bytes, splitmix, text_bytes
 
 #: Distinct fingerprints beyond which every tile is split into one more part.
 TILE_ROWS = 5_000_000
 
+#: Texts of a Jaccard of 0.8 differ in fewer bits of the first sketch word, and of both; the README has the measured recall.
+NEAR_64, NEAR_128 = 22, 40
+#: Sketches in a block, and most blocks of a band of shingle counts.
+BLOCK_ROWS, MOST_BLOCKS = 512, 256
+#: Rounds that offer each text its nearest neighbour outside its component, before all pairs that are left are tried.
+NEAREST_ROUNDS = 3
+
 #: The primes of XXH64.
 P1, P2, P3, P4, P5 = (np.uint64(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
 
@@ -98,13 +105,12 @@ def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprint_texts(texts: list[bytes], words: int = 3) -> np.ndarray:
-    """Fingerprints of UTF-8 texts; without words: zero; fewer than ``words``: of the whole sequence."""
+def _shingle_hashes(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which texts have words, XXH64 of their shingles, run by run, lengths of the runs); fewer than ``words``: of the whole sequence."""
     split = [t.lower().split() for t in texts]  # of bytes: A-Z only, and exactly 0x20 and 0x09 to 0x0D
-    out = np.zeros(len(texts), np.uint64)
     have = np.array([i for i, w in enumerate(split) if w], np.int64)
     if not len(have):
-        return out
+        return have, np.zeros(0, np.uint64), have
     buf = b"\n".join(b" ".join(split[i]) for i in have)
     u8 = np.frombuffer(buf, np.uint8)
     seps = np.flatnonzero((u8 == 32) | (u8 == 10))
@@ -113,7 +119,15 @@ def fingerprint_texts(texts: list[bytes], words: int = 3) -> np.ndarray:
     shingles = np.maximum(n - words + 1, 1)
     first = np.repeat(np.cumsum(n) - n, shingles) + np.arange(shingles.sum()) - np.repeat(np.cumsum(shingles) - shingles, shingles)
     last = first + np.repeat(np.minimum(n, words), shingles) - 1
-    out[have] = majority(xxh64_slices(buf, starts[first], ends[last] - starts[first]), shingles)
+    return have, xxh64_slices(buf, starts[first], ends[last] - starts[first]), shingles
+
+
+def fingerprint_texts(texts: list[bytes], words: int = 3) -> np.ndarray:
+    """Fingerprints of UTF-8 texts; without words: zero; fewer than ``words``: of the whole sequence."""
+    have, hashes, counts = _shingle_hashes(texts, words)
+    out = np.zeros(len(texts), np.uint64)
+    if len(have):
+        out[have] = majority(hashes, counts)
     return out
 
 
@@ -261,3 +275,173 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if keep:  # rows meet by their number: a large component is no hot key for them
         told = told.drop("id", "fp").join(fps, "row_no")
     return told.select(columns)
+
+
+def sketch_texts(texts: list[bytes], words: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, first, second, n) of each text's set of shingles: equal sets have equal keys, near ones sketch words of few differing bits.
+
+    ``n`` counts the set; texts without words have the empty set, with zero everywhere.
+    """
+    have, h, owner = shingle_sets(texts, words)
+    key, first, second, n = (np.zeros(len(texts), t) for t in (np.uint64, np.uint64, np.uint64, np.int64))
+    if len(have):
+        counts = np.bincount(owner, minlength=len(texts))[have]
+        other = splitmix(h)
+        with np.errstate(over="ignore"):
+            key[have] = np.add.reduceat(splitmix(other ^ P1), np.cumsum(counts) - counts)
+        first[have], second[have], n[have] = majority(h, counts), majority(other, counts), counts
+    return key, first, second, n
+
+
+def shingle_sets(texts: list[bytes], words: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which texts have words, their distinct shingle hashes text by text, the text of each hash)."""
+    have, h, counts = _shingle_hashes(texts, words)
+    owner = np.repeat(have, counts)
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    return have, h[new], owner[new]
+
+
+def similar_texts(a: list[bytes], b: list[bytes], words: int = 5, percent: int = 80) -> np.ndarray:
+    """Where the shingle sets of ``a[i]`` and ``b[i]`` have a Jaccard of at least ``percent`` / 100, in whole numbers."""
+    (_, ha, oa), (_, hb, ob) = shingle_sets(a, words), shingle_sets(b, words)
+    h, owner = np.concatenate([ha, hb]), np.concatenate([oa, ob])
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    both = np.bincount(owner[1:][(h[1:] == h[:-1]) & (owner[1:] == owner[:-1])], minlength=len(a))
+    return 100 * both >= percent * (np.bincount(owner, minlength=len(a)) - both)
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, keep: list[str]) -> DataFrame:
+    """``(id, key, first, second, n, row)``: the sketch of every whole text, and the columns ``keep``. No shuffle."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = text_bytes(batch.column(1))
+            got = [sketch_texts(texts[lo:hi], words) for lo, hi in slices_by_bytes([len(t) for t in texts], 1 << 21)]
+            made = [pa.array(np.concatenate(x).view(np.int64)) for x in zip(*got, strict=True)] if got else [pa.array([], pa.int64())] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made, batch.column(2)], ["id", "key", "first", "second", "n", "row"])
+
+    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*keep).alias("row"))
+    schema = StructType([StructField("id", docs.schema[id_col].dataType), *(StructField(c, LongType()) for c in ("key", "first", "second", "n")), chosen.schema["row"]])
+    return chosen.mapInArrow(run, schema)
+
+
+def _close(home, other, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, bits): pairs of two blocks within the radius, of different labels, whose set sizes allow the Jaccard."""
+    x, y = np.nonzero(np.bitwise_count(home["first"][:, None] ^ other["first"][None, :]) <= NEAR_64)
+    near = home["label"][x] != other["label"][y]
+    x, y = x[near], y[near]
+    bits = np.bitwise_count(home["first"][x] ^ other["first"][y]).astype(np.int64) + np.bitwise_count(home["second"][x] ^ other["second"][y])
+    m, n = home["n"][x], other["n"][y]
+    fits = (bits <= NEAR_128) & (100 * np.minimum(m, n) >= percent * np.maximum(m, n))
+    return x[fits], y[fits], bits[fits]
+
+
+def _meet_blocks(percent: int, nearest: bool):
+    def block(column):
+        """Each row's list of structs as numpy columns."""
+        flat, ends = column.flatten(), np.asarray(column.offsets)
+        ends = ends - ends[0]
+        names = ("key", "first", "second", "n", "label")
+        arrays = {c: flat.field(c).to_numpy(zero_copy_only=False) for c in names}
+        arrays = {c: v.view(np.uint64) if c in ("first", "second") else v for c, v in arrays.items()}
+        return [{c: v[lo:hi] for c, v in arrays.items()} for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = [[], [], []]
+            for home, other, same in zip(block(batch.column(0)), block(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                x, y, bits = _close(home, other, percent)
+                a, b = home["key"][x], other["key"][y]
+                if same:  # a block that meets itself has each pair twice
+                    a, b, bits = a[a < b], b[a < b], bits[a < b]
+                if nearest:
+                    a, b, bits = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([bits, bits])
+                    order = np.lexsort((b, bits, a))
+                    first = order[np.unique(a[order], return_index=True)[1]]
+                    a, b, bits = a[first], b[first], bits[first]
+                for to, v in zip(out, (a, b, bits), strict=True):
+                    to.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else np.zeros(0, np.int64), pa.int64()) for v in out], ["a", "b", "bits"])
+
+    return run
+
+
+def candidates(nodes: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """``(a, b)``: pairs within the radius and of different labels, of a frame ``(key, first, second, n, label)``; or each key's nearest.
+
+    Sets of a Jaccard of 0.8 have sizes within 1.25 of each other, so each band of sizes meets itself and the next.
+    """
+    spark = nodes.sparkSession
+    # a wider step than 100 / percent, so that rounding can't part two sets by more than a band
+    banded = nodes.filter("n > 0").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(101.0 / percent))).cast("int"))
+    parts = {r.band: min(MOST_BLOCKS, -(-r["count"] // BLOCK_ROWS)) for r in banded.groupBy("band").count().collect()}  # a row a band
+    if not parts:
+        return spark.createDataFrame([], "a long, b long")
+    of = F.create_map(*(F.lit(x) for pair in sorted(parts.items()) for x in pair))
+    placed = banded.withColumn("part", F.pmod(F.xxhash64("key"), of[F.col("band")]).cast("int"))
+    blocks = materialise(placed.groupBy("band", "part").agg(F.collect_list(F.struct("key", "first", "second", "n", "label")).alias("members")), "blocks")
+    following = F.coalesce(F.try_element_at(of, F.col("band") + 1), F.lit(0))
+    own = F.transform(F.sequence(F.col("part"), of[F.col("band")] - 1), lambda p: F.struct(F.col("band").alias("band"), p.alias("part")))
+    more = F.when(following > 0, F.transform(F.sequence(F.lit(0), F.greatest(following, F.lit(1)) - 1), lambda p: F.struct((F.col("band") + 1).alias("band"), p.alias("part"))))
+    steps = F.concat(own, F.coalesce(more, F.slice(own, 1, 0)))
+    visits = blocks.select(F.explode(steps).alias("to"), F.col("band").alias("from_band"), F.col("part").alias("from_part"), F.col("members").alias("visitors"))
+    visits = visits.select("to.band", "to.part", "visitors", ((F.col("to.band") == F.col("from_band")) & (F.col("to.part") == F.col("from_part"))).alias("same"))
+    met = blocks.join(visits.hint("shuffle_hash"), ["band", "part"]).select("members", "visitors", "same")
+    found = met.mapInArrow(_meet_blocks(percent, nearest), "a long, b long, bits long")
+    if nearest:
+        best = found.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("best")).select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b"))
+        return best.distinct()
+    return found.select("a", "b")
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose texts, of a frame ``(key, text)``, reach the Jaccard."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            a, b = text_bytes(batch.column(2)), text_bytes(batch.column(3))
+            ok = [similar_texts(a[lo:hi], b[lo:hi], words, percent) for lo, hi in slices_by_bytes([len(x) + len(y) for x, y in zip(a, b, strict=True)], 1 << 21)]
+            yield pa.RecordBatch.from_arrays(list(batch.select([0, 1]).filter(pa.array(np.concatenate(ok) if ok else np.zeros(0, bool)))), ["a", "b"])
+
+    # a text with many partners goes to many tasks
+    pairs = pairs.withColumn("sa", F.pmod(F.xxhash64("b"), F.lit(256))).withColumn("sb", F.pmod(F.xxhash64("a"), F.lit(256)))
+    for end, salt in (("a", "sa"), ("b", "sb")):
+        asked = pairs.select(F.col(end).alias("key"), salt).distinct()
+        pairs = pairs.join(asked.join(texts, "key").select(F.col("key").alias(end), salt, F.col("text").alias(f"text_{end}")), [end, salt])
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, keep: list[str] | None = None) -> DataFrame:
+    """``(id, component_id, kept, row)``: as ``near_groups``, of texts whose shingle sets have a Jaccard of ``percent`` / 100 or more.
+
+    SimHash sketches of 128 bits name candidates and the texts' own shingles decide, so unlike texts never
+    share a link. Components of what is confirmed grow by nearest neighbours first: of a large group of
+    copies only pairs of different components are ever compared further.
+    """
+    rows = sketches(docs, id_col, text_col, words, keep or docs.columns).withColumn("row_no", F.monotonically_increasing_id())
+    rows = materialise(rows, "sketches")  # once written, row numbers stay
+    nodes = materialise(rows.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "row_no")).alias("least"), *(F.min(c).alias(c) for c in ("first", "second", "n"))), "nodes")
+    texts = nodes.select("key", F.col("least.row_no").alias("row_no")).join(rows.select("row_no", F.col(f"row.{text_col}").alias("text")), "row_no").select("key", "text")
+    labels, links = None, None
+    for nearest in [True] * NEAREST_ROUNDS + [False]:
+        own = nodes.withColumn("label", F.col("key")) if labels is None else nodes.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+        tried = materialise(candidates(own.select("key", "first", "second", "n", "label"), percent, nearest), "candidates")
+        found = materialise(confirmed(tried, texts, words, percent), "confirmed")
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            labels = components(links, "a", "b")
+    labelled = nodes.withColumn("label", F.col("key")) if labels is None else nodes.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    named = labelled.groupBy("label").agg(F.min("least").alias("head"))
+    of_key = materialise(labelled.join(named, "label").select("key", F.col("head.id").alias("component_id"), F.col("head.row_no").alias("head_no")), "components")
+    told = rows.select("key", "row_no").join(of_key, "key").select("row_no", "component_id", (F.col("row_no") == F.col("head_no")).alias("kept"))
+    return told.join(rows.select("id", "row", "row_no"), "row_no").select(F.col("id").alias(id_col), "component_id", "kept", "row")

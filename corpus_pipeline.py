@@ -32,8 +32,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component one document of the smallest id stays."""
-    return simhash.near_groups(docs, keep=docs.columns).filter("kept").select("row.*")
+    """Of documents linked by a 5-word shingle Jaccard of 0.8 or more, one of the smallest id stays."""
+    return simhash.similar_groups(docs, words=5, percent=80, keep=docs.columns).filter("kept").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

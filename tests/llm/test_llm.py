@@ -315,6 +315,38 @@ def test_simhash(spark, docs, empty):
     assert simhash.near_groups(empty).count() == 0
 
 
+def test_pipeline_drops_similar_texts(spark):
+    """Random texts with changed words against the 5-word Jaccard of all pairs; a group of copies of copies; unlike texts stay."""
+    import corpus_pipeline as cp
+
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(50_000)}"
+    texts = []
+    for n, changes in ((100, 1), (300, 5), (1000, 5), (1000, 20), (40, 3), (12, 1), (6, 1), (3, 1)):
+        for _ in range(12):
+            base = [word() for _ in range(n)]
+            other = list(base)
+            for i in rng.sample(range(n), changes):
+                other[i] = word()
+            texts += [" ".join(base), " ".join(other)]
+    base = [word() for _ in range(140)]
+    for _ in range(60):
+        at = rng.randrange(140)
+        texts.append(" ".join([*base[:at], word(), *base[at + 1 :]]))
+    texts += [" ".join(base[:20]), None, "", " "]
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+    sets = [shingles(words((t or "").lower())) for t in texts]
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 10 * len(a & b) >= 8 * len(a | b):
+                old, new = sorted((label[i], label[j]))[::-1]
+                label = [new if x == old else x for x in label]
+    table = spark.createDataFrame([(i, t, "en", "a", 0, "w", 1, 7) for i, t in enumerate(texts)], SCHEMA)
+    got = cp.drop_near_copies(spark, table, SF)
+    assert got.columns == table.columns and sorted(r.doc_id for r in got.collect()) == sorted(set(label))
+
+
 def test_xxh64_of_all_lengths():
     buf = bytes(random.Random(4).randrange(256) for _ in range(700))
     sizes = np.arange(0, 300)

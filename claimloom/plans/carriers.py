@@ -121,7 +121,7 @@ def _(docs):
 
 @query("fn_33_slug", "documents", sql=r"SELECT doc_id, regexp_replace(substr(regexp_replace(regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 100), '-+$', '') AS slug FROM documents")
 def _(docs):
-    return docs.select("doc_id", T.slug(F.substring("text", 1, 200)).alias("slug"))
+    return docs.select("doc_id", T.slug(F.col("text")).alias("slug"))
 
 
 @query("fn_22_money_mentions", "documents", sql=r"SELECT doc_id, len(regexp_extract_all(text, '\$[0-9][0-9,]*(?:\.[0-9]{1,2})?')) AS n_mentions FROM documents WHERE contains(text, '$')")

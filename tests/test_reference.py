@@ -61,6 +61,13 @@ def test_values(spark):
     assert [rate(240, 48), rate(3, 1), rate(0, 0), rate(10, 11)] == [20.0, 33.33, None, None]
 
 
+def test_slug_of_the_whole_text(spark, tmp_path):
+    rows = [(1, "!" * 300 + "Late Words"), (2, "Early " + "日" * 250 + " Late"), (3, None), (4, "x" * 150)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.slug for r in registry.queries()["fn_33_slug"](spark, str(tmp_path)).collect()}
+    assert got == {1: "late-words", 2: "early-late", 3: None, 4: "x" * 100}
+
+
 def test_deadline_states(spark):
     state = lambda status, iso, words: spark.range(1).select(O.deadline_state(F.lit(status), F.lit(iso).cast("string"), F.lit(words), "2026-08-12").alias("s")).first().s
     assert [state("disclosed", "2026-08-12", ""), state("disclosed", "2026-08-11", ""), state("disclosed", None, "Open until filled"), state("disclosed", None, "soon"), state("unclear", "2027-01-01", "")] == ["upcoming", "past", "upcoming", "missing", "missing"]

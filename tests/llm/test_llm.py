@@ -186,6 +186,63 @@ def test_licenses(spark, docs, empty):
     assert [list(r.licenses) for r in license_scan.scan_licenses(pair).orderBy("doc_id").collect()] == [["BSD-2-Clause"], []]
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM."""
+APACHE_TEXT = """# Copyright 2020 Some One. All rights reserved.
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0"""
+GPL_TEXT = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+BSD_TEXT = """Copyright (c) 2020, Some One
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS"""
+
+
+def test_license_texts(spark):
+    """Verbatim and wrapped, with line ends of Windows, on one line; a notice among wrapped lines; a bare reservation of rights."""
+    texts = {"MIT": MIT_TEXT, "Apache-2.0": APACHE_TEXT, "GPL-3.0": GPL_TEXT, "BSD-2-Clause": BSD_TEXT}
+    rows = [(name, f(t)) for name, t in texts.items() for f in (str, lambda t: t.replace("\n", "\r\n"))]
+    rows += [(name, re.sub(r"\s+", " ", t)) for name, t in texts.items() if name not in ("Apache-2.0", "GPL-3.0")]
+    rows += [("proprietary", "Copyright 2020\nAll rights reserved\nno more"), ("MIT", "see below\nReleased under the MIT License\nand more text")]
+    got = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert [(r.doc_id, list(r.licenses)) for r in got] == [(name, [name]) for name, _ in rows]
+
+
 def check_packing(rows, pieces, cap=1024):
     tok = Tokenizer.from_file(BPE)
     want = Counter()

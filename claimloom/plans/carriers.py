@@ -104,13 +104,22 @@ def _(docs):
 
 @query("jn_08_containment", "documents", "benchmark", sql=r"""SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(lower(regexp_replace(d.text, '\s+', ' ', 'g')), lower(trim(regexp_replace(b.text, '\s+', ' ', 'g'))))""")
 def _(docs, items):
-    """Excerpts meet texts on the hash of their words 2 to 4, which any text that holds them has whole; then the test itself."""
+    """Excerpts meet texts on the hash of inner words, which any text that holds them has whole; then the test itself.
+
+    These are words 2 to 4 of five or more, both inner words of four and the one of three. Excerpts of one
+    or two words have none, and are tried on every text.
+    """
     words = lambda c: F.split(F.lower(T.normalize_whitespace(F.col(c))), " ")
-    keyed = items.select("item_id", F.col("text").alias("excerpt"), F.xxhash64(F.array_join(F.slice(words("text"), 2, 3), " ")).alias("key"))
-    tokens = docs.select("doc_id", "text", words("text").alias("w"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 3), " "))))
-    met = tokens.select("doc_id", F.explode(grams).alias("key")).join(keyed, "key")
-    return met.join(docs.select("doc_id", "text"), "doc_id").filter(T.excerpt_in(F.col("text"), F.col("excerpt"))).select("item_id", "doc_id").distinct()
+    items = items.select("item_id", F.col("text").alias("excerpt"), words("text").alias("own")).withColumn("n", F.size("own"))
+    tokens = docs.select("doc_id", words("text").alias("w"))
+    texts = docs.select("doc_id", "text")
+    found = texts.join(F.broadcast(items.filter("n < 3").select("item_id", "excerpt")), T.excerpt_in(F.col("text"), F.col("excerpt"))).select("item_id", "doc_id")
+    for size, chosen in ((3, "n >= 5"), (2, "n = 4"), (1, "n = 3")):
+        keyed = items.filter(chosen).select("item_id", "excerpt", F.xxhash64(F.array_join(F.slice("own", 2, size), " ")).alias("key"))
+        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, size), " "))))  # noqa: B023
+        met = tokens.select("doc_id", F.explode(grams).alias("key")).join(keyed, "key")
+        found = found.unionByName(met.join(texts, "doc_id").filter(T.excerpt_in(F.col("text"), F.col("excerpt"))).select("item_id", "doc_id"))
+    return found.distinct()
 
 
 @query("fn_18_tokens", "documents", sql=r"SELECT doc_id, len(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: length(w) >= 3))) AS n_tokens FROM documents")

@@ -68,6 +68,16 @@ def test_slug_of_the_whole_text(spark, tmp_path):
     assert got == {1: "late-words", 2: "early-late", 3: None, 4: "x" * 100}
 
 
+def test_short_excerpts(spark, tmp_path):
+    texts = [(1, "The quick brown fox jumps over"), (2, "a red\n foxglove"), (3, "quick"), (4, None)]
+    items = ["x", "ick", "k BRO", "ick brown fo", "uick brown fox ju", "he quick brown fox ju", "red fox", "a red fox", "fox red", "brown quick fox", None]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = registry.queries()["jn_08_containment"](spark, str(tmp_path)).collect()
+    plain = lambda t: " ".join(t.lower().split())
+    assert sorted(tuple(r) for r in got) == sorted((i, d) for i, x in enumerate(items) for d, t in texts if x and t and plain(x) in plain(t))
+
+
 def test_deadline_states(spark):
     state = lambda status, iso, words: spark.range(1).select(O.deadline_state(F.lit(status), F.lit(iso).cast("string"), F.lit(words), "2026-08-12").alias("s")).first().s
     assert [state("disclosed", "2026-08-12", ""), state("disclosed", "2026-08-11", ""), state("disclosed", None, "Open until filled"), state("disclosed", None, "soon"), state("unclear", "2027-01-01", "")] == ["upcoming", "past", "upcoming", "missing", "missing"]

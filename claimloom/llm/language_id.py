@@ -13,6 +13,7 @@ import unicodedata
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from claimloom.llm.common import slices_by_bytes, text_bytes
 
@@ -22,6 +23,8 @@ ROWS_PER_LANGUAGE = 1500
 GRAMS, SCRIPT_SHARE = 1 << 15, 0.02
 #: Log-likelihood that a change of language must gain.
 SWITCH_PENALTY = 12.0
+#: Letters times languages that are scored at once.
+SLICE_CELLS = 1 << 23
 
 #: First code points of script ranges and their names; a range runs to the next.
 SCRIPT_STARTS = [
@@ -98,18 +101,19 @@ def viterbi(scores: np.ndarray, owner: np.ndarray, n: int, penalty: float) -> np
     order = np.argsort(-counts, kind="stable")
     active = np.searchsorted(-counts[order], -np.arange(1, counts.max(initial=0) + 1), "right")
     langs = scores.shape[1]
-    back = np.zeros(scores.shape, np.uint8)
+    kind = np.uint8 if langs <= 256 else np.uint32
+    back = np.zeros(scores.shape, kind)
     value = np.zeros((n, langs), np.float32)
-    own = np.arange(langs, dtype=np.uint8)
+    own = np.arange(langs, dtype=kind)
     for t, k in enumerate(active.tolist()):
         at = first[order[:k]] + t
         v = value[:k]
         best = v.argmax(1)
         leave = v[np.arange(k), best] - np.float32(penalty)
         stay = v >= leave[:, None]
-        back[at] = np.where(stay, own, best[:, None].astype(np.uint8)) if t else own
+        back[at] = np.where(stay, own, best[:, None].astype(kind)) if t else own
         value[:k] = (np.maximum(v, leave[:, None]) if t else v) + scores[at]
-    label = np.zeros(len(scores), np.uint8)
+    label = np.zeros(len(scores), np.int64)
     state = value.argmax(1)
     for t in range(len(active) - 1, -1, -1):
         k = int(active[t])
@@ -158,43 +162,63 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return Model(langs, np.log(grams / grams.sum(1, keepdims=True)).T.astype(np.float32).copy(), (shares >= SCRIPT_SHARE).T.copy())
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", penalty: float = SWITCH_PENALTY) -> DataFrame:
+def _label(model: Model, texts: list[str], penalty: float):
+    """(language, score, spans) of every text of a slice."""
+    n, langs = len(texts), len(model.langs)
+    pred, score, spans = ["und"] * n, np.zeros(n), [[] for _ in range(n)]
+    scores, owner, starts, ends = model.word_scores(texts)
+    if not len(owner) or not langs:
+        return pred, score, spans
+    sizes = np.array([len(t.lower()) + 1 for t in texts], np.int64)
+    base = (np.cumsum(sizes) - sizes)[owner]
+    starts, ends = starts - base, ends - base
+    label = viterbi(scores, owner, n, penalty)
+    letters = np.bincount(owner * langs + label, ends - starts, n * langs).reshape(n, -1)
+    total, best = letters.sum(1), letters.argmax(1)
+    for i in np.flatnonzero(total).tolist():
+        pred[i], score[i] = model.langs[best[i]], letters[i, best[i]] / total[i]
+    cuts = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(label, prepend=-1) != 0))
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(owner)], strict=True):
+        spans[owner[a]].append({"start": int(starts[a]), "until": int(ends[b - 1]), "lang": model.langs[label[a]]})
+    return pred, score, spans
+
+
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", penalty: float = SWITCH_PENALTY, keep: list[str] | None = None) -> DataFrame:
     """``(id, lang_pred, score, spans)`` for every whole text; no shuffle.
 
     ``spans``: array of (start, until, lang) in characters of the lower-cased text. ``score``: the share of
     letters in spans of ``lang_pred``. ``und`` and 0 if the text is null or has no letters, or nothing was
-    learned; ties go to the earlier language; repeated rows and null ids come out row by row; other columns
-    are not read.
+    learned; ties go to the earlier language; repeated rows and null ids come out row by row. ``keep`` names
+    columns to carry along, in a struct ``row`` (whatever they are called); the others are not read. Texts are
+    taken in slices of about ``SLICE_CELLS`` letters times languages, those of similar length together; a
+    longer text is a slice of its own.
     """
+    limit = max(1 << 16, SLICE_CELLS // max(len(model.langs), 1))
+    held = keep is not None and text_col in keep
+
     def run(batches):
         import pyarrow as pa
 
         kind = pa.list_(pa.struct([("start", pa.int64()), ("until", pa.int64()), ("lang", pa.string())]))
         for batch in batches:
-            texts, parts, seen = text_bytes(batch.column(1)), [], 0
-            for lo, hi in slices_by_bytes([len(t) for t in texts], 1 << 20):
-                own = [t.decode() for t in texts[lo:hi]]
-                scores, owner, starts, ends = model.word_scores(own)
-                sizes = np.array([len(t.lower()) + 1 for t in own], np.int64)
-                base = (np.cumsum(sizes) - sizes)[owner]
-                parts.append((scores, owner + lo, starts - base, ends - base))
-                seen += len(owner)
-            n = len(texts)
-            pred, score, spans = ["und"] * n, [0.0] * n, [[] for _ in range(n)]
-            if seen and model.langs:
-                scores, owner, starts, ends = (np.concatenate([p[i] for p in parts]) for i in range(4))
-                label = viterbi(scores, owner, n, penalty)
-                letters = np.bincount(owner * len(model.langs) + label, ends - starts, n * len(model.langs)).reshape(n, -1)
-                total, best = letters.sum(1), letters.argmax(1)
-                for i in np.flatnonzero(total).tolist():
-                    pred[i], score[i] = model.langs[best[i]], float(letters[i, best[i]] / total[i])
-                cuts = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(label.astype(np.int16), prepend=-1) != 0))
-                for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(owner)], strict=True):
-                    spans[owner[a]].append({"start": int(starts[a]), "until": int(ends[b - 1]), "lang": model.langs[label[a]]})
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred), pa.array(score, pa.float64()), pa.array(spans, kind)], ["id", "lang_pred", "score", "spans"])
-
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = chosen.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double, spans array<struct<start: long, until: long, lang: string>>")
+            column = batch.column("row").field(keep.index(text_col)) if held else batch.column("text")
+            texts = text_bytes(column)
+            sizes = np.array([len(x) for x in texts], np.int64)
+            order = np.argsort(sizes, kind="stable")
+            pred, score, spans = ["und"] * len(texts), np.zeros(len(texts)), [[]] * len(texts)
+            for lo, hi in slices_by_bytes(sizes[order].tolist(), limit):
+                own = order[lo:hi].tolist()
+                for i, p, x, s in zip(own, *_label(model, [texts[i].decode() for i in own], penalty), strict=True):
+                    pred[i], score[i], spans[i] = p, x, s
+            carried = [batch.column("row")] if keep is not None else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(spans, kind), *carried], ["id", "lang_pred", "score", "spans", *(["row"] if carried else [])])
+
+    row = [] if keep is None else [F.struct(*keep).alias("row")]
+    text = [] if held else [F.col(text_col).alias("text")]
+    chosen = docs.select(F.col(id_col).alias("id"), *text, *row)
+    span = StructType([StructField("start", LongType()), StructField("until", LongType()), StructField("lang", StringType())])
+    made = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("spans", ArrayType(span))]
+    out = chosen.mapInArrow(run, StructType([StructField("id", docs.schema[id_col].dataType), *made, *chosen.schema.fields[len(chosen.columns) - len(row) :]]))
     return out.withColumnRenamed("id", id_col)
 
 

@@ -12,7 +12,7 @@ import itertools
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from claimloom.llm.common import materialise, slices_by_bytes, splitmix, text_bytes
 
@@ -21,10 +21,10 @@ TILE_ROWS = 5_000_000
 
 #: Texts of a Jaccard of 0.8 differ in fewer bits of the first sketch word, and of both; the README has the measured recall.
 NEAR_64, NEAR_128 = 22, 40
-#: Sketches in a block, and most blocks of a band of shingle counts.
-BLOCK_ROWS, MOST_BLOCKS = 512, 256
-#: Rounds that offer each text its nearest neighbour outside its component, before all pairs that are left are tried.
-NEAREST_ROUNDS = 3
+#: Smallest shingle hashes of a sketch; sketches, and shingles, of a tile; rows of a strip within it; columns of a product.
+BANDS, TILE, TILE_SHINGLES, STRIP, COLUMNS = 8, 512, 1 << 20, 128, 2048
+#: Two sets of a Jaccard of 0.8 lie in the same or in neighbouring powers of this size.
+SIZE_STEP = 1.2625
 
 #: The primes of XXH64.
 P1, P2, P3, P4, P5 = (np.uint64(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
@@ -277,22 +277,6 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return told.select(columns)
 
 
-def sketch_texts(texts: list[bytes], words: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, first, second, n) of each text's set of shingles: equal sets have equal keys, near ones sketch words of few differing bits.
-
-    ``n`` counts the set; texts without words have the empty set, with zero everywhere.
-    """
-    have, h, owner = shingle_sets(texts, words)
-    key, first, second, n = (np.zeros(len(texts), t) for t in (np.uint64, np.uint64, np.uint64, np.int64))
-    if len(have):
-        counts = np.bincount(owner, minlength=len(texts))[have]
-        other = splitmix(h)
-        with np.errstate(over="ignore"):
-            key[have] = np.add.reduceat(splitmix(other ^ P1), np.cumsum(counts) - counts)
-        first[have], second[have], n[have] = majority(h, counts), majority(other, counts), counts
-    return key, first, second, n
-
-
 def shingle_sets(texts: list[bytes], words: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(which texts have words, their distinct shingle hashes text by text, the text of each hash)."""
     have, h, counts = _shingle_hashes(texts, words)
@@ -304,144 +288,234 @@ def shingle_sets(texts: list[bytes], words: int = 5) -> tuple[np.ndarray, np.nda
     return have, h[new], owner[new]
 
 
-def similar_texts(a: list[bytes], b: list[bytes], words: int = 5, percent: int = 80) -> np.ndarray:
-    """Where the shingle sets of ``a[i]`` and ``b[i]`` have a Jaccard of at least ``percent`` / 100, in whole numbers."""
-    (_, ha, oa), (_, hb, ob) = shingle_sets(a, words), shingle_sets(b, words)
-    h, owner = np.concatenate([ha, hb]), np.concatenate([oa, ob])
-    order = np.lexsort((h, owner))
-    h, owner = h[order], owner[order]
-    both = np.bincount(owner[1:][(h[1:] == h[:-1]) & (owner[1:] == owner[:-1])], minlength=len(a))
-    return 100 * both >= percent * (np.bincount(owner, minlength=len(a)) - both)
+def sketch_texts(texts: list[bytes], words: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, first, second, n, least) of each text's set of shingles.
+
+    Equal sets have equal keys (sums of mixed hashes), near ones 128-bit SimHash words ``first`` and ``second`` of
+    few differing bits. ``n`` counts the set; ``least`` has its smallest hash in each of ``BANDS`` orders, which two
+    sets share with a chance of their Jaccard. Texts without words have the empty set, with zero everywhere.
+    """
+    have, h, owner = shingle_sets(texts, words)
+    key, first, second, n = (np.zeros(len(texts), t) for t in (np.uint64, np.uint64, np.uint64, np.int64))
+    least = np.zeros((len(texts), BANDS), np.uint64)
+    if len(have):
+        counts = np.bincount(owner, minlength=len(texts))[have]
+        starts, other = np.cumsum(counts) - counts, splitmix(h)
+        with np.errstate(over="ignore"):
+            key[have] = np.add.reduceat(splitmix(other ^ P1), starts)
+            for b in range(BANDS):
+                x = (h ^ P1 * np.uint64(b)) * (P2 + np.uint64(2 * b))
+                x ^= x >> np.uint64(32)
+                least[have, b] = np.minimum.reduceat(x * P3, starts)
+        first[have], second[have], n[have] = majority(h, counts), majority(other, counts), counts
+    return key, first, second, n, least
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, keep: list[str]) -> DataFrame:
-    """``(id, key, first, second, n, row)``: the sketch of every whole text, and the columns ``keep``. No shuffle."""
+    """``(id, key, first, second, n, least, row)``: the sketch of every whole text, and the columns ``keep``. No shuffle."""
+    held = text_col in keep
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            texts = text_bytes(batch.column(1))
+            texts = text_bytes(batch.column("row").field(keep.index(text_col)) if held else batch.column("text"))
             got = [sketch_texts(texts[lo:hi], words) for lo, hi in slices_by_bytes([len(t) for t in texts], 1 << 21)]
-            made = [pa.array(np.concatenate(x).view(np.int64)) for x in zip(*got, strict=True)] if got else [pa.array([], pa.int64())] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made, batch.column(2)], ["id", "key", "first", "second", "n", "row"])
+            made = [np.concatenate(x).view(np.int64) for x in zip(*got, strict=True)] if got else [np.zeros(0, np.int64)] * 4 + [np.zeros((0, BANDS), np.int64)]
+            least = pa.ListArray.from_arrays(np.arange(0, BANDS * len(texts) + 1, BANDS, np.int32), made[4].reshape(-1))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *map(pa.array, made[:4]), least, batch.column("row")], ["id", "key", "first", "second", "n", "least", "row"])
 
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*keep).alias("row"))
-    schema = StructType([StructField("id", docs.schema[id_col].dataType), *(StructField(c, LongType()) for c in ("key", "first", "second", "n")), chosen.schema["row"]])
+    chosen = docs.select(F.col(id_col).alias("id"), *([] if held else [F.col(text_col).alias("text")]), F.struct(*keep).alias("row"))
+    schema = StructType([StructField("id", docs.schema[id_col].dataType), *(StructField(c, LongType()) for c in ("key", "first", "second", "n")), StructField("least", ArrayType(LongType())), chosen.schema["row"]])
     return chosen.mapInArrow(run, schema)
 
 
-def _close(home, other, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(x, y, bits): pairs of two blocks within the radius, of different labels, whose set sizes allow the Jaccard."""
-    x, y = np.nonzero(np.bitwise_count(home["first"][:, None] ^ other["first"][None, :]) <= NEAR_64)
-    near = home["label"][x] != other["label"][y]
-    x, y = x[near], y[near]
+def _close(home: dict, other: dict, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(x, y): pairs of two tiles within the radius, of different labels, whose set sizes allow the Jaccard.
+
+    Tiles are cut into strips of like population count; strips whose counts differ beyond the radius are skipped.
+    """
+    pops = [np.bitwise_count(t["first"]).astype(np.int64) for t in (home, other)]
+    orders = [np.argsort(p, kind="stable") for p in pops]
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for i in range(0, len(orders[0]), STRIP):
+        a = orders[0][i : i + STRIP]
+        for j in range(0, len(orders[1]), STRIP):
+            b = orders[1][j : j + STRIP]
+            if pops[0][a[0]] - pops[1][b[-1]] > NEAR_64 or pops[1][b[0]] - pops[0][a[-1]] > NEAR_64:
+                continue
+            x, y = np.nonzero(np.bitwise_count(home["first"][a][:, None] ^ other["first"][b][None, :]) <= NEAR_64)
+            found.append((a[x], b[y]))
+    x, y = (np.concatenate(v) for v in zip(*found, strict=True))
     bits = np.bitwise_count(home["first"][x] ^ other["first"][y]).astype(np.int64) + np.bitwise_count(home["second"][x] ^ other["second"][y])
     m, n = home["n"][x], other["n"][y]
-    fits = (bits <= NEAR_128) & (100 * np.minimum(m, n) >= percent * np.maximum(m, n))
-    return x[fits], y[fits], bits[fits]
+    fits = (bits <= NEAR_128) & (home["label"][x] != other["label"][y]) & (100 * np.minimum(m, n) >= percent * np.maximum(m, n))
+    return x[fits], y[fits]
+
 
+def shared_shingles(a: list[bytes], b: list[bytes], x: np.ndarray, y: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(both, in a[x], in b[y]): how many distinct shingles each asked pair (a[x], b[y]) shares, and has.
 
-def _meet_blocks(percent: int, nearest: bool):
-    def block(column):
-        """Each row's list of structs as numpy columns."""
-        flat, ends = column.flatten(), np.asarray(column.offsets)
-        ends = ends - ends[0]
-        names = ("key", "first", "second", "n", "label")
-        arrays = {c: flat.field(c).to_numpy(zero_copy_only=False) for c in names}
-        arrays = {c: v.view(np.uint64) if c in ("first", "second") else v for c, v in arrays.items()}
-        return [{c: v[lo:hi] for c, v in arrays.items()} for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
+    Products of 0/1 matrices of the texts asked for and the shingles that both sides hold count all pairs at once.
+    """
+    own, other = np.unique(x), np.unique(y)
+    (_, ha, oa), (_, hb, ob) = shingle_sets([a[i] for i in own], words), shingle_sets([b[i] for i in other], words)
+    n_a, n_b = np.bincount(oa, minlength=len(own)), np.bincount(ob, minlength=len(other))
+    common = np.intersect1d(ha, hb)
+    both = np.zeros((len(own), len(other)), np.float32)
+    (ia, oa), (ib, ob) = ((np.searchsorted(common, h[keep]), o[keep]) for h, o in ((ha, oa), (hb, ob)) if (keep := np.isin(h, common)) is not None)
+    orders = [np.argsort(i, kind="stable") for i in (ia, ib)]
+    (ia, oa), (ib, ob) = (ia[orders[0]], oa[orders[0]]), (ib[orders[1]], ob[orders[1]])
+    for lo in range(0, len(common), COLUMNS):
+        sides = []
+        for i, o, n in ((ia, oa, len(own)), (ib, ob, len(other))):
+            p, q = np.searchsorted(i, [lo, lo + COLUMNS])
+            one = np.zeros((n, min(COLUMNS, len(common) - lo)), np.float32)
+            one[o[p:q], i[p:q] - lo] = 1
+            sides.append(one)
+        both += sides[0] @ sides[1].T
+    x, y = np.searchsorted(own, x), np.searchsorted(other, y)
+    return both[x, y].astype(np.int64), n_a[x], n_b[y]
+
+
+_MEMBER = ("key", "first", "second", "n", "label")
+
+
+def _members(column) -> list[dict]:
+    """Each row's list of member structs as numpy columns; ``text`` (if any) as bytes."""
+    flat, ends = column.flatten(), np.asarray(column.offsets)
+    ends = (ends - ends[0]).tolist()
+    arrays = {c: flat.field(c).to_numpy(zero_copy_only=False) for c in _MEMBER}
+    arrays = {c: v.view(np.uint64) if c in ("first", "second") else v for c, v in arrays.items()}
+    texts = text_bytes(flat.field("text")) if flat.type.get_field_index("text") >= 0 else None
+    return [{c: v[lo:hi] for c, v in arrays.items()} | ({} if texts is None else {"text": texts[lo:hi]}) for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _ask(percent: int):
+    """Tiles that meet -> the places and keys of the members that have a candidate there."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            out = [[], [], []]
-            for home, other, same in zip(block(batch.column(0)), block(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                x, y, bits = _close(home, other, percent)
-                a, b = home["key"][x], other["key"][y]
-                if same:  # a block that meets itself has each pair twice
-                    a, b, bits = a[a < b], b[a < b], bits[a < b]
-                if nearest:
-                    a, b, bits = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([bits, bits])
-                    order = np.lexsort((b, bits, a))
-                    first = order[np.unique(a[order], return_index=True)[1]]
-                    a, b, bits = a[first], b[first], bits[first]
-                for to, v in zip(out, (a, b, bits), strict=True):
-                    to.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else np.zeros(0, np.int64), pa.int64()) for v in out], ["a", "b", "bits"])
+            for home, other, at, to in zip(_members(batch.column("members")), _members(batch.column("visitors")), *(batch.column(c).to_pylist() for c in ("at", "to")), strict=True):
+                same = at == to
+                x, y = _close(home, home if same else other, percent)
+                asked = [(home["key"][np.unique(x)], to)] if same else [(home["key"][np.unique(x)], to), (other["key"][np.unique(y)], at)]
+                keys = np.concatenate([k for k, _ in asked])
+                if len(keys):
+                    yield pa.RecordBatch.from_arrays([pa.array([p for k, p in asked for _ in range(len(k))], pa.string()), pa.array(keys)], ["tile", "key"])
 
     return run
 
 
-def candidates(nodes: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """``(a, b)``: pairs within the radius and of different labels, of a frame ``(key, first, second, n, label)``; or each key's nearest.
-
-    Sets of a Jaccard of 0.8 have sizes within 1.25 of each other, so each band of sizes meets itself and the next.
-    """
-    spark = nodes.sparkSession
-    # a wider step than 100 / percent, so that rounding can't part two sets by more than a band
-    banded = nodes.filter("n > 0").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(101.0 / percent))).cast("int"))
-    parts = {r.band: min(MOST_BLOCKS, -(-r["count"] // BLOCK_ROWS)) for r in banded.groupBy("band").count().collect()}  # a row a band
-    if not parts:
-        return spark.createDataFrame([], "a long, b long")
-    of = F.create_map(*(F.lit(x) for pair in sorted(parts.items()) for x in pair))
-    placed = banded.withColumn("part", F.pmod(F.xxhash64("key"), of[F.col("band")]).cast("int"))
-    blocks = materialise(placed.groupBy("band", "part").agg(F.collect_list(F.struct("key", "first", "second", "n", "label")).alias("members")), "blocks")
-    following = F.coalesce(F.try_element_at(of, F.col("band") + 1), F.lit(0))
-    own = F.transform(F.sequence(F.col("part"), of[F.col("band")] - 1), lambda p: F.struct(F.col("band").alias("band"), p.alias("part")))
-    more = F.when(following > 0, F.transform(F.sequence(F.lit(0), F.greatest(following, F.lit(1)) - 1), lambda p: F.struct((F.col("band") + 1).alias("band"), p.alias("part"))))
-    steps = F.concat(own, F.coalesce(more, F.slice(own, 1, 0)))
-    visits = blocks.select(F.explode(steps).alias("to"), F.col("band").alias("from_band"), F.col("part").alias("from_part"), F.col("members").alias("visitors"))
-    visits = visits.select("to.band", "to.part", "visitors", ((F.col("to.band") == F.col("from_band")) & (F.col("to.part") == F.col("from_part"))).alias("same"))
-    met = blocks.join(visits.hint("shuffle_hash"), ["band", "part"]).select("members", "visitors", "same")
-    found = met.mapInArrow(_meet_blocks(percent, nearest), "a long, b long, bits long")
-    if nearest:
-        best = found.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("best")).select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b"))
-        return best.distinct()
-    return found.select("a", "b")
-
-
-def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose texts, of a frame ``(key, text)``, reach the Jaccard."""
+def _confirm(words: int, percent: int):
+    """Tiles that meet, with texts -> links that connect what reaches the Jaccard there."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            a, b = text_bytes(batch.column(2)), text_bytes(batch.column(3))
-            ok = [similar_texts(a[lo:hi], b[lo:hi], words, percent) for lo, hi in slices_by_bytes([len(x) + len(y) for x, y in zip(a, b, strict=True)], 1 << 21)]
-            yield pa.RecordBatch.from_arrays(list(batch.select([0, 1]).filter(pa.array(np.concatenate(ok) if ok else np.zeros(0, bool)))), ["a", "b"])
+            for home, other, at, to in zip(_members(batch.column("members")), _members(batch.column("visitors")), *(batch.column(c).to_pylist() for c in ("at", "to")), strict=True):
+                other = home if at == to else other
+                x, y = _close(home, other, percent)
+                if at == to:  # a tile that meets itself has each pair twice
+                    once = home["key"][x] < home["key"][y]
+                    x, y = x[once], y[once]
+                if not len(x):
+                    continue
+                both, m, n = shared_shingles(home["text"], other["text"], x, y, words)
+                ok = 100 * both >= percent * (m + n - both)
+                a, b = _forest(home["key"][x[ok]], other["key"][y[ok]])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return run
 
-    # a text with many partners goes to many tasks
-    pairs = pairs.withColumn("sa", F.pmod(F.xxhash64("b"), F.lit(256))).withColumn("sb", F.pmod(F.xxhash64("a"), F.lit(256)))
-    for end, salt in (("a", "sa"), ("b", "sb")):
-        asked = pairs.select(F.col(end).alias("key"), salt).distinct()
-        pairs = pairs.join(asked.join(texts, "key").select(F.col("key").alias(end), salt, F.col("text").alias(f"text_{end}")), [end, salt])
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+_TILE = ("band", "low", "size", "part")
+
+
+def place(nodes: DataFrame, bands: range) -> DataFrame:
+    """Nodes ``(key, first, second, n, label, least)`` in tiles ``(band, low, size, part)``, of which none is large.
+
+    A bucket holds what shares the smallest hash of a band; buckets of one node go. Large buckets are parted by
+    set size, in steps of which a Jaccard of 0.8 can reach the next one only, then by hash.
+    """
+    spread = nodes.filter("n > 0").select(*_MEMBER, F.posexplode("least").alias("band", "low")).filter(F.col("band").isin(*bands))
+    counts = spread.groupBy("band", "low").agg(F.count("*").alias("n_bucket"), F.sum("n").alias("weight")).filter("n_bucket > 1")
+    met = spread.join(materialise(counts, "buckets"), ["band", "low"])  # written, so that a skewed side of this join can be split
+    large = (F.col("n_bucket") > TILE) | (F.col("weight") > TILE_SHINGLES)
+    size = F.when(large, F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(SIZE_STEP)))).otherwise(-1).cast("int")
+    met = materialise(met.select(*_MEMBER, "band", "low", size.alias("size")), "buckets")
+    sized = met.filter("size >= 0")
+    parts = sized.groupBy("band", "low", "size").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("parts"))
+    hot = sized.join(materialise(parts, "buckets"), ["band", "low", "size"]).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    small = met.filter("size < 0").withColumn("part", F.lit(0)).withColumn("parts", F.lit(1))
+    return materialise(small.unionByName(hot.select(*small.columns)), "placed")
+
+
+def meetings(placed: DataFrame, *more: str) -> DataFrame:
+    """``(members, visitors, at, to)``: every two tiles of a bucket that may hold a link, once, and each with itself (no visitors)."""
+    name = lambda size, part: F.concat_ws(",", F.col("band"), F.col("low"), size, part)
+    tiles = lambda rows: rows.groupBy(*_TILE).agg(F.max("parts").alias("parts"), F.collect_list(F.struct(*_MEMBER, *more)).alias("members"))
+    own = lambda found: found.select("members", F.lit(None).cast(found.schema["members"].dataType).alias("visitors"), name(F.col("size"), F.col("part")).alias("at"), name(F.col("size"), F.col("part")).alias("to"))
+    alone = own(tiles(placed.filter("size < 0")))
+    several = materialise(tiles(placed.filter("size >= 0")), "tiles")
+    if several.isEmpty():
+        return alone
+    sizes = several.groupBy("band", "low", "size").agg(F.max("parts").alias("there"))
+    ahead = several.join(sizes.withColumn("size", F.col("size") - 1), ["band", "low", "size"], "left")
+    parts_of = lambda size, least, until: F.when(least < until, F.transform(F.sequence(least, F.greatest(until - 1, least)), lambda p: F.struct(size.alias("size"), p.alias("part"))))
+    nothing = F.array().cast("array<struct<size:int,part:int>>")
+    to = F.concat(F.coalesce(parts_of(F.col("size"), F.col("part") + 1, F.col("parts")), nothing), F.coalesce(parts_of(F.col("size") + 1, F.lit(0), F.coalesce("there", F.lit(0))), nothing))
+    visits = ahead.select("band", "low", F.explode(to).alias("goal"), F.col("members").alias("visitors"), name(F.col("size"), F.col("part")).alias("at")).select("band", "low", "goal.size", "goal.part", "visitors", "at")
+    crossed = several.select(*_TILE, "members").join(visits, list(_TILE)).select("members", "visitors", "at", name(F.col("size"), F.col("part")).alias("to"))
+    return alone.unionByName(own(several)).unionByName(crossed)
+
+
+def confirmed_links(nodes: DataFrame, texts_of, bands: range, words: int, percent: int) -> DataFrame:
+    """``(a, b)``: links of keys of different labels that reach the Jaccard; ``texts_of``: keys to ``(key, text)``.
+
+    Sketches meet first; only texts that have a candidate in a tile travel, once for each tile.
+    """
+    placed = place(nodes, bands)
+    asked = materialise(meetings(placed).mapInArrow(_ask(percent), "tile string, key long").distinct(), "asked")
+    held = placed.withColumn("tile", F.concat_ws(",", *_TILE)).join(asked, ["tile", "key"])
+    with_text = materialise(held.join(texts_of(asked.select("key").distinct()), "key").select(*placed.columns, "text"), "asked-texts")
+    return meetings(with_text, "text").mapInArrow(_confirm(words, percent), "a long, b long").distinct()
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, keep: list[str] | None = None) -> DataFrame:
     """``(id, component_id, kept, row)``: as ``near_groups``, of texts whose shingle sets have a Jaccard of ``percent`` / 100 or more.
 
-    SimHash sketches of 128 bits name candidates and the texts' own shingles decide, so unlike texts never
-    share a link. Components of what is confirmed grow by nearest neighbours first: of a large group of
-    copies only pairs of different components are ever compared further.
+    Texts that share one of ``BANDS`` smallest shingle hashes (of a Jaccard of 0.8, all but one pair in 390,000)
+    meet in tiles; there SimHash words of 128 bits name candidates by xor and bit counts, and the texts' own
+    shingles decide, so unlike texts never share a link. The first band runs alone and links most of a large
+    group; then only texts of different components are compared further. Null text, and text without words,
+    are one group; equal sets are one node; repeated rows and null ids as in ``near_groups``.
     """
+    if percent < 80:
+        raise ValueError("sketches, bands and size steps are laid out for 80 percent or more")
     rows = sketches(docs, id_col, text_col, words, keep or docs.columns).withColumn("row_no", F.monotonically_increasing_id())
     rows = materialise(rows, "sketches")  # once written, row numbers stay
-    nodes = materialise(rows.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "row_no")).alias("least"), *(F.min(c).alias(c) for c in ("first", "second", "n"))), "nodes")
-    texts = nodes.select("key", F.col("least.row_no").alias("row_no")).join(rows.select("row_no", F.col(f"row.{text_col}").alias("text")), "row_no").select("key", "text")
+    heads = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "row_no")).alias("least_row")
+    nodes = materialise(rows.groupBy("key").agg(heads, *(F.min(c).alias(c) for c in ("first", "second", "n", "least"))), "nodes")
+    texts_of = lambda keys: keys.join(nodes.select("key", F.col("least_row.row_no").alias("row_no")), "key").join(rows.select("row_no", F.col(f"row.{text_col}").alias("text")), "row_no").select("key", "text")
     labels, links = None, None
-    for nearest in [True] * NEAREST_ROUNDS + [False]:
-        own = nodes.withColumn("label", F.col("key")) if labels is None else nodes.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-        tried = materialise(candidates(own.select("key", "first", "second", "n", "label"), percent, nearest), "candidates")
-        found = materialise(confirmed(tried, texts, words, percent), "confirmed")
+    for bands in (range(1), range(1, BANDS)):
+        own = _labelled(nodes, labels)
+        found = materialise(confirmed_links(own, texts_of, bands, words, percent), "confirmed")
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             labels = components(links, "a", "b")
-    labelled = nodes.withColumn("label", F.col("key")) if labels is None else nodes.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    named = labelled.groupBy("label").agg(F.min("least").alias("head"))
+    labelled = _labelled(nodes, labels)
+    named = labelled.groupBy("label").agg(F.min("least_row").alias("head"))
     of_key = materialise(labelled.join(named, "label").select("key", F.col("head.id").alias("component_id"), F.col("head.row_no").alias("head_no")), "components")
     told = rows.select("key", "row_no").join(of_key, "key").select("row_no", "component_id", (F.col("row_no") == F.col("head_no")).alias("kept"))
     return told.join(rows.select("id", "row", "row_no"), "row_no").select(F.col("id").alias(id_col), "component_id", "kept", "row")
+
+
+def _labelled(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return nodes.withColumn("label", F.col("key"))
+    return nodes.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))

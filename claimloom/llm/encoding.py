@@ -166,8 +166,13 @@ class PieceEncoder:
 
     def encode(self, texts: list[str], end: int | None = None) -> list[np.ndarray]:
         """16-bit ids of each text, and ``end`` after them if given."""
+        ids, ends = self.encode_row(texts, end)
+        return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+    def encode_row(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's ids end."""
         if not texts:
-            return []
+            return np.zeros(0, np.uint16), np.zeros(0, np.int64)
         parts = self._parts(texts)
         whole = [i for i, p in enumerate(parts) if p is None]
         ends = np.frombuffer(self.ends, np.int64)
@@ -178,11 +183,10 @@ class PieceEncoder:
         ids = pool[np.repeat(ends[numbers] - (stops - sizes), sizes) + np.arange(stops[-1] if len(stops) else 0)]
         del ends, pool
         of_text = np.concatenate([[0], stops])[np.cumsum([0, *(0 if p is None else len(p) for p in parts)])].tolist()
-        last = np.array([] if end is None else [end], np.uint16)
-        out = [np.concatenate([ids[a:b], last]) for a, b in zip(of_text[:-1], of_text[1:], strict=True)]
-        for i, own in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
-            out[i] = np.concatenate([np.array(own, np.uint16), last])
-        return out
+        last = [] if end is None else [np.array([end], np.uint16)]
+        own = dict(zip(whole, self._whole([texts[i] for i in whole]), strict=True))
+        out = [[np.array(own[i], np.uint16) if i in own else ids[a:b], *last] for i, (a, b) in enumerate(zip(of_text[:-1], of_text[1:], strict=True))]
+        return np.concatenate([x for pair in out for x in pair] or [ids]), np.cumsum([sum(map(len, pair)) for pair in out])
 
     def count(self, texts: list[str]) -> list[int]:
         """The number of ids of each text."""

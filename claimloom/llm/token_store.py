@@ -17,6 +17,7 @@ import hashlib
 import zlib
 
 import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,26 +26,31 @@ from claimloom.llm.encoding import encoder
 
 WINDOW = 16
 MIN_IDS, MEAN_BITS, MAX_IDS = 128, 10, 8192
+#: Recipes in a shard, at most.
+SHARD = 65_536
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 1 << 16, dtype=np.uint32)
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream, each a function of nearby ids only.
+def cut_candidates(ids: np.ndarray) -> np.ndarray:
+    """Places after which the gear hash of the last ``WINDOW`` ids has ``MEAN_BITS`` zero bits, ascending.
 
-    A place is a candidate where the gear hash of the 16 ids up to it has ``MEAN_BITS`` zero bits; the
-    first candidate after ``MIN_IDS`` ends a chunk, ``MAX_IDS`` at the latest.
+    Streams may lie in a row: what a place within ``WINDOW`` of a stream's start depends on never cuts, as
+    chunks have ``MIN_IDS`` ids.
     """
-    n = len(ids)
-    if n <= MIN_IDS:
-        return [n] if n else []
     h = _GEAR[ids]
     for width in (1, 2, 4, 8):  # sums over 2, 4, 8, 16 ids, the older ones shifted
-        older = np.zeros_like(h)
-        older[width:] = h[:-width]
-        h = h + (older << np.uint32(2 * width))
-    found = np.flatnonzero((h >> np.uint32(32 - MEAN_BITS)) == 0) + 1
+        older = h[:-width] << np.uint32(2 * width)
+        h = h.copy()
+        h[width:] += older
+    return np.flatnonzero((h >> np.uint32(32 - MEAN_BITS)) == 0) + 1
+
+
+def cut_points(n: int, candidates: list[int]) -> list[int]:
+    """Ends of the chunks of a stream of n ids: the first candidate after ``MIN_IDS`` ends one, ``MAX_IDS`` at the latest."""
+    if n <= MIN_IDS:
+        return [n] if n else []
     ends, at = [], 0
-    for c in found.tolist():
+    for c in candidates:
         while c - at > MAX_IDS:
             at += MAX_IDS
             ends.append(at)
@@ -122,23 +128,28 @@ def _encode_parts(tokenizer: str, end_id: int):
     def run(batches):
         import pyarrow as pa
 
-        enc, seen = encoder(local_file(tokenizer)), set()
+        enc = encoder(local_file(tokenizer))
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), text_bytes(batch.column(1))
             for lo, hi in slices_by_bytes([len(t) for t in texts], 1 << 22):
-                rows = []
-                for doc_id, ids in zip(doc_ids[lo:hi], enc.encode([t.decode() for t in texts[lo:hi]], end_id), strict=True):
-                    ends = cut_points(ids)
-                    digests = []
-                    for a, b in zip([0, *ends], ends, strict=False):
-                        payload = ids[a:b].astype("<u2", copy=False).tobytes()
+                ids, stops = enc.encode_row([t.decode() for t in texts[lo:hi]], end_id)
+                found, payloads = cut_candidates(ids), memoryview(ids.astype("<u2", copy=False)).cast("B")
+                near = np.searchsorted(found, [0, *stops.tolist()], "right").tolist()
+                chunks: dict[bytes, tuple] = {}  # of this slice; across slices they meet by digest
+                recipes, first = [], 0
+                for k, stop in enumerate(stops.tolist()):
+                    ends = cut_points(stop - first, (found[near[k] : near[k + 1]] - first).tolist() if stop - first > MIN_IDS else [])
+                    digests, at = [], 0
+                    for end in ends:
+                        payload = payloads[2 * (first + at) : 2 * (first + end)]
                         digests.append(address(payload))
-                        if digests[-1] not in seen:  # in this task; across tasks they meet by digest
-                            seen.add(digests[-1])
-                            rows.append(("chunk", digests[-1], b - a, payload, None, None, None, None))
-                    lens = np.diff([0, *ends]).astype("<u4").tobytes()
-                    rows.append(("recipe", None, len(ids), None, doc_id, b"".join(digests), lens, merkle_root(digests)))
-                cols = zip(*rows, strict=True)
+                        chunks.setdefault(digests[-1], (end - at, payload))
+                        at = end
+                    recipes.append((stop - first, b"".join(digests), np.diff([0, *ends]).astype("<u4").tobytes() if len(ends) > 1 else (stop - first).to_bytes(4, "little"), merkle_root(digests)))
+                    first = stop
+                n, digests, lens, roots = zip(*recipes, strict=True)
+                none, empty = [None] * len(chunks), [None] * len(recipes)
+                cols = [["chunk"] * len(chunks) + ["recipe"] * len(recipes), [*chunks, *empty], [*(x[0] for x in chunks.values()), *n], [*(x[1] for x in chunks.values()), *empty], none + doc_ids[lo:hi], [*none, *digests], [*none, *lens], [*none, *roots]]
                 types = [pa.string(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["kind", "key", "n", "payload", "doc_id", "digests", "lens", "root"])
 
@@ -146,29 +157,60 @@ def _encode_parts(tokenizer: str, end_id: int):
 
 
 def _once(batches):
-    """Keeps the first of equal chunks; equal digests are in one partition."""
+    """Keeps the first of equal chunks, which follow each other."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
-    seen = set()
+    last = None
     for batch in batches:
-        keep = []
-        for key in batch.column(1).to_pylist():
-            keep.append(key is None or key not in seen)
-            if key is not None:
-                seen.add(key)
-        yield batch.filter(pa.array(keep, pa.bool_()))
+        keys = batch.column(1)
+        before = pa.concat_arrays([pa.array([last], pa.binary()), keys.slice(0, max(len(keys) - 1, 0))]) if len(keys) else keys
+        yield batch.filter(pc.fill_null(pc.not_equal(keys, before), True))
+        last = keys[len(keys) - 1].as_py() if len(keys) else last
+
+
+class MerkleStack:
+    """The root of ``merkle_root`` over leaves that come one by one; holds one node for each level."""
+
+    def __init__(self):
+        self.levels: list[bytes | None] = []
+
+    def add(self, leaf: bytes) -> None:
+        node = address(b"\0" + leaf)
+        for k, held in enumerate(self.levels):
+            if held is None:
+                self.levels[k] = node
+                return
+            node, self.levels[k] = address(b"\1" + held + node), None
+        self.levels.append(node)
+
+    def root(self) -> bytes:
+        node = None
+        for held in self.levels:  # the lowest level is the rightmost part; what has no neighbour moves up as it is
+            if held is not None:
+                node = held if node is None else address(b"\1" + held + node)
+        return address(b"") if node is None else node
+
+
+def recipe_leaf(doc_id: int | None, n: int, root: bytes) -> bytes:
+    return f"{doc_id},{n},".encode() + root
 
 
 def _place(batches):
-    """Adds each recipe's start within its shard, in the order of the partition."""
+    """Adds each recipe's shard, ``SHARD`` recipes at most and in the order of the partition, and its start within it."""
     import pyarrow as pa
 
-    at = 0
+    shard, filled, at = int(TaskContext.get().partitionId()) << 32, 0, 0
     for batch in batches:
-        n = batch.column("n").to_numpy()
-        ends = at + np.cumsum(n)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends - n, pa.int64())], [*batch.schema.names, "local_start"])
-        at = int(ends[-1]) if len(n) else at
+        n, lo = batch.column("n").to_numpy(), 0
+        while lo < len(n):
+            part = batch.slice(lo, SHARD - filled)
+            ends = at + np.cumsum(n[lo : lo + part.num_rows])
+            starts = ends - n[lo : lo + part.num_rows]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(starts, pa.int64()), pa.array(np.full(part.num_rows, shard), pa.int64())], [*batch.schema.names, "local_start", "shard"])
+            lo, filled, at = lo + part.num_rows, filled + part.num_rows, int(ends[-1])
+            if filled == SHARD:
+                shard, filled, at = shard + 1, 0, 0
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -181,21 +223,42 @@ def write_store(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json"
     spark = docs.sparkSession
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     parts = chosen.mapInArrow(_encode_parts(tokenizer, end_id), _PARTS)
-    dealt = parts.repartition(F.coalesce("key", F.xxhash64("doc_id", "root").cast("string").cast("binary")))
+    # equal chunks of a slice are one already; a chunk that every slice has is a row for each slice
+    dealt = parts.repartition(F.coalesce("key", F.xxhash64("doc_id", "root").cast("string").cast("binary"))).sortWithinPartitions("key")
     dealt.mapInArrow(_once, _PARTS).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/parts")
     recipes = spark.read.schema(_PARTS).parquet(f"{path}/parts").filter("kind = 'recipe'").select("doc_id", "n", "digests", "lens", "root")
-    placed = recipes.repartitionByRange("doc_id", "root").sortWithinPartitions("doc_id", "root").mapInArrow(_place, "doc_id long, n long, digests binary, lens binary, root binary, local_start long")
-    placed.withColumn("shard", F.spark_partition_id()).write.option("compression", "zstd").parquet(f"{path}/recipes")
+    placed = recipes.repartitionByRange("doc_id", "root").sortWithinPartitions("doc_id", "root").mapInArrow(_place, "doc_id long, n long, digests binary, lens binary, root binary, local_start long, shard long")
+    placed.write.option("compression", "zstd").parquet(f"{path}/recipes")
     shards = _shard_summaries(spark.read.parquet(f"{path}/recipes"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row for each shard
     shards.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).write.parquet(f"{path}/manifests")
 
 
+def _summarise(batches):
+    """Recipes in the order of their shards -> the shards' counts and Merkle roots."""
+    import pyarrow as pa
+
+    out, now, tree = [], None, MerkleStack()
+    for batch in batches:
+        for shard, doc_id, n, root in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "n", "root")), strict=True):
+            if shard != now:
+                if out:
+                    out[-1].append(tree.root())
+                out.append([shard, 0, 0])
+                now, tree = shard, MerkleStack()
+            out[-1][1] += 1
+            out[-1][2] += n
+            tree.add(recipe_leaf(doc_id, n, root))
+    if out:
+        out[-1].append(tree.root())
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, types, strict=True)], ["shard", "n_docs", "n_ids", "root"])
+
+
 def _shard_summaries(recipes: DataFrame) -> DataFrame:
     """(shard, n_docs, n_ids, root): the root covers ids, lengths and roots in order; a shard holds one range of ids."""
-    root = F.udf(lambda rows: merkle_root([f"{r.doc_id},{r.n},".encode() + bytes(r.root) for r in rows]), "binary")
-    grouped = recipes.groupBy("shard").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_ids"), F.sort_array(F.collect_list(F.struct("local_start", "doc_id", "n", "root"))).alias("rows"))
-    return grouped.select("shard", "n_docs", "n_ids", root("rows").alias("root"))
+    ordered = recipes.select("shard", "local_start", "doc_id", "n", "root").repartition("shard").sortWithinPartitions("shard", "local_start")
+    return ordered.mapInArrow(_summarise, "shard long, n_docs long, n_ids long, root binary")
 
 
 def _check_chunks(batches):
@@ -221,7 +284,7 @@ def _open_recipes(batches):
             matches = merkle_root(own) == root[i] and int(sizes.sum()) == n[i] and len(own) == len(sizes)
             after = int(sizes.sum()) - np.cumsum(sizes)
             rows += [(shard[i], local[i], doc[i], n[i], d, int(s), int(a), matches) for d, s, a in zip(own, sizes, after, strict=True)]
-        types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_()]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_()]
         cols = list(zip(*rows, strict=True)) or [[]] * 8
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["shard", "local_start", "doc_id", "n", "digest", "size", "after", "matches"])
 
@@ -247,9 +310,9 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     chunks = spark.read.schema(_PARTS).parquet(f"{path}/parts").filter("kind = 'chunk'").select("key", "payload").mapInArrow(_check_chunks, "digest binary, found long, crc long, sound boolean")
     recipes, manifests = spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/manifests")
     shards = manifests.alias("m").join(_shard_summaries(recipes).alias("s"), "shard", "left").select("shard", "start", ((F.col("m.root") == F.col("s.root")) & (F.col("m.n_ids") == F.col("s.n_ids"))).alias("shard_ok"))
-    opened = recipes.select("shard", "local_start", "doc_id", "n", "digests", "lens", "root").mapInArrow(_open_recipes, "shard int, local_start long, doc_id long, n long, digest binary, size long, after long, matches boolean")
+    opened = recipes.select("shard", "local_start", "doc_id", "n", "digests", "lens", "root").mapInArrow(_open_recipes, "shard long, local_start long, doc_id long, n long, digest binary, size long, after long, matches boolean")
     joined = opened.join(chunks, "digest", "left").select("shard", "local_start", "doc_id", "n", "after", F.coalesce("crc", F.lit(0)).alias("crc"), F.coalesce(F.col("sound") & (F.col("found") == F.col("size")) & F.col("matches"), F.lit(False)).alias("sound"))
-    parts = joined.mapInArrow(_contribute, "shard int, local_start long, doc_id long, n long, sound boolean, part long")
+    parts = joined.mapInArrow(_contribute, "shard long, local_start long, doc_id long, n long, sound boolean, part long")
     whole = parts.groupBy("shard", "local_start", "doc_id", "n").agg(F.bit_xor("part").alias("ids_crc32"), F.min("sound").alias("sound"))
     return whole.join(shards, "shard").select("doc_id", (F.col("start") + F.col("local_start")).alias("start"), F.col("n").alias("n_tokens"), "ids_crc32", (F.col("sound") & F.coalesce("shard_ok", F.lit(False))).alias("verified"))
 
@@ -257,7 +320,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """``(doc_id, start, ids array<int>)``: every document's ids, put together from its chunks in order."""
     chunks = spark.read.schema(_PARTS).parquet(f"{path}/parts").filter("kind = 'chunk'").select(F.col("key").alias("digest"), "payload")
-    opened = spark.read.parquet(f"{path}/recipes").select("shard", "local_start", "doc_id", "n", "digests", "lens", "root").mapInArrow(_open_recipes, "shard int, local_start long, doc_id long, n long, digest binary, size long, after long, matches boolean")
+    opened = spark.read.parquet(f"{path}/recipes").select("shard", "local_start", "doc_id", "n", "digests", "lens", "root").mapInArrow(_open_recipes, "shard long, local_start long, doc_id long, n long, digest binary, size long, after long, matches boolean")
     parts = opened.join(chunks, "digest").groupBy("shard", "local_start", "doc_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("after")).alias("k"), "payload"))).alias("parts"))
     starts = spark.read.parquet(f"{path}/manifests").select("shard", "start")
 

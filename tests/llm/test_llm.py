@@ -152,10 +152,26 @@ def test_token_store(spark, docs, empty):
 
 def test_cuts_depend_on_nearby_ids_only():
     ids = np.random.default_rng(1).integers(0, 50_000, 60_000).astype(np.uint16)
-    a, b = token_store.cut_points(ids), token_store.cut_points(np.concatenate([ids[:7], ids]))
+    cuts = lambda x: token_store.cut_points(len(x), token_store.cut_candidates(x).tolist())
+    a, b = cuts(ids), cuts(np.concatenate([ids[:7], ids]))
     assert len({x - 60_000 for x in a} & {x - 60_007 for x in b}) > 0.9 * len(a)
 
 
+def test_chunks_of_streams_in_a_row_and_streamed_roots():
+    """Streams in a row are cut as each alone; a root of leaves that come one by one is the whole tree's."""
+    rng = np.random.default_rng(6)
+    streams = [rng.integers(0, 50_000, n).astype(np.uint16) for n in (0, 1, 3000, 20, 9000, 130)]
+    row, stops = token_store.cut_candidates(np.concatenate(streams)), np.cumsum([len(s) for s in streams])
+    for s, stop in zip(streams, stops.tolist(), strict=True):
+        own = row[(row > stop - len(s)) & (row <= stop)] - (stop - len(s))
+        assert token_store.cut_points(len(s), own.tolist()) == token_store.cut_points(len(s), token_store.cut_candidates(s).tolist())
+    for n in range(20):
+        leaves, tree = [bytes([i]) for i in range(n)], token_store.MerkleStack()
+        for leaf in leaves:
+            tree.add(leaf)
+        assert tree.root() == token_store.merkle_root(leaves)
+
+
 def test_substring_dedup(spark, docs, empty):
     rng = random.Random(9)
     shared = " ".join(f"s{rng.randrange(99)}" for _ in range(60))

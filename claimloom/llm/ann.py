@@ -12,13 +12,15 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import materialise, partitions
+from claimloom.llm.common import materialise
 
 #: Vectors that the codebooks are fitted on, at most, drawn by a hash of the id; the bound doesn't grow.
 SAMPLE = 16_384
 BOOKS, WORDS, BEAM, ROUNDS = 24, 64, 8, 2
 #: Distinct vectors of each query that are scored exactly; queries and codes in a block.
 SHORTLIST, QUERY_BLOCK, CODE_BLOCK = 300, 1024, 4096
+#: Codes that one task holds, about (2.4 MB); tasks at least, if they have a thousand codes each.
+TASK_CODES, LEAST_TASKS = 65_536, 8
 
 
 def _kmeans(x: np.ndarray, k: int, rng, steps: int = 8) -> np.ndarray:
@@ -108,16 +110,8 @@ def _encode_blocks(books: np.ndarray):
     return run
 
 
-def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k largest scores of a row; of equal scores, those with the smallest ids."""
-    if scores.shape[0] <= k:
-        return np.arange(scores.shape[0])
-    edge = np.partition(scores, len(scores) - k)[len(scores) - k]
-    above, tied = np.flatnonzero(scores > edge), np.flatnonzero(scores == edge)
-    return np.concatenate([above, tied[np.argsort(ids[tied], kind="stable")[: k - len(above)]]])
-
-
 def _score_blocks(books: np.ndarray, shortlist: int):
+    """A block of queries and a task's codes -> the best ``shortlist`` codes of each query, once for the whole task."""
     flat = books.reshape(books.shape[0] * books.shape[1], -1)
 
     def run(batches):
@@ -127,18 +121,19 @@ def _score_blocks(books: np.ndarray, shortlist: int):
             for k in range(batch.num_rows):
                 q_ids = np.frombuffer(batch.column("q_ids")[k].as_py(), np.int64)
                 table = (np.frombuffer(batch.column("q_vectors")[k].as_py(), np.float64).reshape(len(q_ids), -1) @ flat.T).astype(np.float32)
-                ids = np.frombuffer(batch.column("ids")[k].as_py(), np.int64)
-                codes = np.frombuffer(batch.column("codes")[k].as_py(), np.uint8).reshape(len(ids), -1)
-                norms = np.maximum(np.frombuffer(batch.column("norms")[k].as_py(), np.float32), np.float32(1e-12))
-                scores = np.zeros((len(q_ids), len(ids)), np.float32)
-                for m in range(codes.shape[1]):
-                    scores += table[:, codes[:, m].astype(np.int64) + m * books.shape[1]]
-                scores /= norms
-                picks = [_top(row, ids, shortlist) for row in scores]
-                n = [len(p) for p in picks]
-                cols = np.concatenate(picks)
-                rows = np.repeat(np.arange(len(q_ids)), n)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[rows]), pa.array(ids[cols]), pa.array(scores[rows, cols])], ["query_id", "rep", "near"])
+                best, best_ids = np.zeros((len(q_ids), 0), np.float32), np.zeros((len(q_ids), 0), np.int64)
+                for block in batch.column("blocks")[k].as_py():  # ascending, so ties fall the same way in a rerun
+                    ids = np.frombuffer(block["ids"], np.int64)
+                    codes = np.frombuffer(block["codes"], np.uint8).reshape(len(ids), -1)
+                    scores = np.zeros((len(q_ids), len(ids)), np.float32)
+                    for m in range(codes.shape[1]):
+                        scores += table[:, codes[:, m].astype(np.int64) + m * books.shape[1]]
+                    scores /= np.maximum(np.frombuffer(block["norms"], np.float32), np.float32(1e-12))
+                    best, best_ids = np.concatenate([best, scores], 1), np.concatenate([best_ids, np.broadcast_to(ids, scores.shape)], 1)
+                    if best.shape[1] > shortlist:
+                        top = np.argpartition(-best, shortlist - 1, 1)[:, :shortlist]
+                        best, best_ids = np.take_along_axis(best, top, 1), np.take_along_axis(best_ids, top, 1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, best.shape[1])), pa.array(best_ids.reshape(-1)), pa.array(best.reshape(-1))], ["query_id", "rep", "near"])
 
     return run
 
@@ -151,8 +146,8 @@ def search(table: DataFrame, is_query, k: int = 5, shortlist: int = SHORTLIST, i
     smallest ids, so thousands of copies neither crowd a shortlist nor meet in one task; a repeated id with
     the same vector counts once. Ties go to the smaller id. Fewer candidates than k: all of them.
 
-    Codes (M bytes and a norm for each vector) meet queries block by block: every block of codes meets
-    every block of queries once, on an explicit pair of block numbers; only shortlists leave a block.
+    Codes (M bytes and a norm for each vector) are dealt to tasks of about ``TASK_CODES``; every task's codes
+    meet every block of queries once, on an explicit number, and one shortlist a query leaves the task.
     """
     spark = table.sparkSession
     rows, d = valid_vectors(table, id_col, vector_col)
@@ -172,7 +167,7 @@ def search(table: DataFrame, is_query, k: int = 5, shortlist: int = SHORTLIST, i
 
     queries = materialise(rows.filter(is_query).dropDuplicates(["vec_id", "vector"]), "queries")
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    tasks = max(1, min(partitions(spark), -(-n // 1024)))
+    tasks = max(-(-n // TASK_CODES), min(LEAST_TASKS, -(-n // 1024)))
 
     def query_blocks(batches):
         import pyarrow as pa
@@ -190,10 +185,11 @@ def search(table: DataFrame, is_query, k: int = 5, shortlist: int = SHORTLIST, i
     by_block = queries.select(q_block.alias("q"), "vec_id", "vector").repartitionById(blocks, F.col("q")).mapInArrow(query_blocks, "q_ids binary, q_vectors binary")
     each = F.array(*map(F.lit, range(tasks)))
     asked = by_block.withColumn("q", F.xxhash64("q_ids")).withColumn("task", F.explode(each))
-    codes = classes.select("rep", "vector").mapInArrow(_encode_blocks(books), "at long, ids binary, codes binary, norms binary")
-    held = codes.withColumn("task", F.pmod(F.xxhash64("at"), F.lit(tasks)).cast("int"))
-    met = asked.repartition(tasks, "task").hint("shuffle_hash").join(held, "task")
-    short = met.select("q_ids", "q_vectors", "ids", "codes", "norms").mapInArrow(_score_blocks(books, shortlist), "query_id long, rep long, near float")
+    dealt = classes.select("rep", "vector").repartitionById(tasks, F.pmod(F.xxhash64("rep"), F.lit(tasks)).cast("int"))
+    codes = dealt.mapInArrow(_encode_blocks(books), "at long, ids binary, codes binary, norms binary").withColumn("task", F.spark_partition_id() % tasks)
+    held = codes.groupBy("task").agg(F.sort_array(F.collect_list(F.struct("at", "ids", "codes", "norms"))).alias("blocks"))
+    met = asked.hint("shuffle_hash").join(held, "task")
+    short = met.select("q_ids", "q_vectors", "blocks").mapInArrow(_score_blocks(books, shortlist), "query_id long, rep long, near float")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "rep"))
     short = short.withColumn("place", best).filter(F.col("place") <= shortlist).select("query_id", "rep")
 

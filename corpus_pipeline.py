@@ -2,11 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 ``documents``. ``run`` writes each stage's result as Parquet to the shared folder and reads it again.
+Rows travel in a struct, so further columns may have any names; empty tables give empty results.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.llm import exact_dedup, language_id, mixing, packing, simhash
@@ -19,34 +20,46 @@ ORACLE_SQL = None  # tokenizers and XXH64 are out of SQL's reach; tests hold run
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a recognisable language; the others get the predicted one where ``lang`` is null."""
+    """Drops documents without a recognisable language; the others get the predicted one where ``lang`` is null.
+
+    Null and empty texts, and texts without letters, go; very long texts are read whole; repeated rows and
+    rows with null ids are judged one by one; a tie between languages is the earlier one's.
+    """
     model = language_id.fit(docs.filter(~language_id.held_out()))
-    found = language_id.predict(docs.withColumn("doc_id", F.struct(*docs.columns)), model)
+    found = language_id.predict(docs, model, keep=docs.columns)
     kept = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return kept.select(*(F.coalesce(F.col("doc_id.lang"), F.col("lang_pred")).alias("lang") if c == "lang" else F.col(f"doc_id.{c}").alias(c) for c in docs.columns))
+    return kept.select(*(F.coalesce(F.col("row.lang"), F.col("lang_pred")).alias("lang") if c == "lang" else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one row of the smallest id stays."""
+    """Of equal texts one row of the smallest id stays.
+
+    Null counts as empty, a null id as the smallest; of repeated rows just one stays; very long texts are hashed whole.
+    """
     return exact_dedup.exact_groups(docs, keep=docs.columns).filter("kept").select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a 5-word shingle Jaccard of 0.8 or more, one of the smallest id stays."""
+    """Of documents linked by a 5-word shingle Jaccard of 0.8 or more, one of the smallest id stays.
+
+    Null texts and texts without words are one group; very long texts are compared whole; of repeated rows, and
+    of ties in the id, just one stays; a null id stays only where the group has no other.
+    """
     return simhash.similar_groups(docs, words=5, percent=80, keep=docs.columns).filter("kept").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as many times as the mix takes it; rows equal in id, source and text share their copies evenly."""
-    keyed = docs.withColumn("row_key", F.to_json(F.struct("doc_id", "source", F.md5(F.col("text").cast("binary")).alias("text"))))
-    copies = mixing.mix(keyed, keep=["row_key"]).groupBy("row.row_key").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-    numbered = keyed.withColumn("number", F.row_number().over(Window.partitionBy("row_key").orderBy(F.lit(1))))
-    own = F.expr("copies div rows + int(number <= copies % rows)").cast("int")
-    return numbered.join(copies.filter("copies > 0"), "row_key").withColumn("copy", F.explode(F.array_repeat(F.lit(0), own))).select(docs.columns)
+    """Every document as many times as the mix takes it.
+
+    Null and empty texts have no words but count as rows of their source, so some stay; null sources are one
+    source; repeated rows are taken one by one, and of rows equal in id and size a hash of the row decides.
+    """
+    copies = mixing.mix(docs, keep=docs.columns).filter("copies > 0")
+    return copies.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix as sequences of 1024 tokens."""
+    """The mix as sequences of 1024 tokens; null and empty texts are one end token; repeated rows are pieces of their own."""
     return packing.pack_documents(docs)
 
 

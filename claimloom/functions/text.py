@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 #: Query keys that only track visitors, besides ``utm_*``.
-TRACKING_KEYS = ["fbclid", "gclid", "dclid", "gbraid", "wbraid", "mc_cid", "mc_eid", "msclkid", "igshid", "_ga", "_gl"]
+TRACKING_KEYS = ["attribution_id", "dclid", "fbclid", "gclid", "igshid", "li_fat_id", "mc_cid", "mc_eid", "msclkid", "ttclid", "twclid"]
 #: Currency symbols and their codes.
 CURRENCIES = {"$": "USD", "€": "EUR", "£": "GBP"}
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"

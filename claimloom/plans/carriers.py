@@ -6,9 +6,12 @@ share (``VIEWS``); what each operator does with them is written twice.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from claimloom.functions import evidence as E
 from claimloom.functions import text as T
 from claimloom.operators import facts as O
 from claimloom.operators import html
@@ -27,27 +30,23 @@ TODAY = "1996-06-01"
 FIELDS = 7
 
 
+_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
 def _open(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     """Carrier tables, or tables as they are; nothing stays registered under a common name."""
-    out = []
-    for name in names:
-        if name in VIEWS:
-            tables = [t for t in ("lineitem", "part", "orders", "customer", "events") if f" {t}" in VIEWS[name]]
-            out.append(spark.sql(VIEWS[name].replace("p_partkey / 2", "p_partkey DIV 2"), **{}) if not tables else _with(spark, sf_dir, VIEWS[name], tables))
-        else:
-            out.append(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-    return out
-
-
-def _with(spark, sf_dir, sql, tables):
-    for t in tables:
-        sql = sql.replace(f"FROM {t}", "FROM {" + t + "}").replace(f"JOIN {t}", "JOIN {" + t + "}")
+    return [_with(spark, sf_dir, VIEWS[name]) if name in VIEWS else spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in names]
+
+
+def _with(spark, sf_dir, sql):
+    tables = [t for t in _TABLES if re.search(rf"\b(FROM|JOIN) {t}\b", sql)]
+    sql = re.sub(rf"\b(FROM|JOIN) ({'|'.join(tables)})\b", r"\1 {\2}", sql)
     return spark.sql(sql.replace("p_partkey / 2", "p_partkey DIV 2"), **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
 
 
 def _sql(body: str) -> str:
     """DuckDB's text: the carriers a query names, then its body."""
-    used = [k for k in VIEWS if k in body]
+    used = [k for k in VIEWS if re.search(rf"\b{k}\b", body)]
     views = ", ".join(f"{k} AS ({VIEWS[k].replace('p_partkey / 2', 'p_partkey // 2')})" for k in used)
     return f"WITH {views}{', ' if body.startswith('+') and used else ''}{body[1:]}" if body.startswith("+") else f"{'WITH ' + views + ' ' if used else ''}{body}"
 
@@ -128,14 +127,18 @@ def _(docs):
     return docs.select("doc_id", F.size(w).cast("long").alias("n_tokens"))
 
 
-@query("fn_33_slug", "documents", sql=r"SELECT doc_id, regexp_replace(substr(regexp_replace(regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 100), '-+$', '') AS slug FROM documents")
+@query("fn_33_slug", "documents", sql=r"SELECT doc_id, regexp_replace(substr(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 100), '-+$', '') AS slug FROM documents")
 def _(docs):
     return docs.select("doc_id", T.slug(F.col("text")).alias("slug"))
 
 
-@query("fn_22_money_mentions", "documents", sql=r"SELECT doc_id, len(regexp_extract_all(text, '\$[0-9][0-9,]*(?:\.[0-9]{1,2})?')) AS n_mentions FROM documents WHERE contains(text, '$')")
+#: As ``normalize_whitespace``, in DuckDB.
+PLAIN = r"""trim(regexp_replace(translate(text, '‘’“”–—', '''''""--'), '\s+', ' ', 'g'))"""
+
+
+@query("fn_22_money_mentions", "documents", sql=f"SELECT doc_id, coalesce(len(regexp_extract_all({PLAIN}, '{E.MONEY}')), 0) AS n_mentions FROM documents")
 def _(docs):
-    return docs.filter(F.contains("text", F.lit("$"))).select("doc_id", F.regexp_count("text", F.lit(r"\$[0-9][0-9,]*(?:\.[0-9]{1,2})?")).cast("long").alias("n_mentions"))
+    return docs.select("doc_id", F.coalesce(F.size(E.money_mentions(F.col("text"))), F.lit(0)).cast("long").alias("n_mentions"))
 
 
 @query("fn_21_number_appears", "documents", sql=r"SELECT doc_id, regexp_matches(' ' || text || ' ', '[^0-9.]' || (doc_id % 100) || '[^0-9.]') AS appears FROM documents")

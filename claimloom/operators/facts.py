@@ -142,18 +142,19 @@ def milli_usd(input_tokens: Column, cached: Column, output: Column, rates=(2.0,
     return F.ceil((F.greatest(input_tokens - cached, F.lit(0)) * rates[0] + cached * rates[1] + output * rates[2]) / 1000)
 
 
-def link_scores(links: DataFrame, rules: DataFrame, negatives: list[str], most: int = 6) -> DataFrame:
-    """TXT-06, WIN-08: the best links of each page by weighted rules ``(topic, rank, pattern, weight)``, one of each topic first.
+def link_scores(links: DataFrame, rules: list[tuple[str, int, str, int]], negatives: list[str], most: int = 6) -> DataFrame:
+    """The best links of each page by a vocabulary of one's own, rules ``(topic, rank, pattern, weight)``, one of each topic first; ``links.rank_links`` has the fixed one.
 
     A pattern in the text counts its weight, one in the path max(2, weight - 3); each negative takes 10.
     """
     path = F.regexp_replace(F.lower("url"), r"^\w+://[^/]*", "")
-    hits = links.withColumn("path", path).join(F.broadcast(rules), F.expr("lower(text) RLIKE pattern OR path RLIKE pattern"))
-    worth = F.when(F.expr("lower(text) RLIKE pattern"), F.col("weight")).otherwise(0) + F.when(F.expr("path RLIKE pattern"), F.greatest(F.lit(2), F.col("weight") - 3)).otherwise(0)
-    by_topic = hits.groupBy("page_id", "url", "text", "document_order", "topic", "rank").agg(F.sum(worth).alias("own"))
+    own = lambda p, w: F.when(F.lower("text").rlike(p), w).otherwise(0) + F.when(F.col("path").rlike(p), max(2, w - 3)).otherwise(0)
+    topics: dict[str, list] = {}
+    for topic, rank, pattern, weight in rules:
+        topics.setdefault(topic, [rank]).append(own(pattern, weight))
+    listed = F.filter(F.array(*(F.struct(sum(parts, F.lit(0)).alias("own"), F.lit(-rank).alias("first"), F.lit(topic).alias("topic")) for topic, (rank, *parts) in topics.items())), lambda t: t["own"] > 0)
     lost = sum((F.when(F.lower("text").rlike(n), 10).otherwise(0) for n in negatives), F.lit(0))
-    scored = by_topic.groupBy("page_id", "url", "text", "document_order").agg(F.sum("own").alias("gained"), F.max_by("topic", F.struct("own", -F.col("rank"))).alias("topic"))
-    scored = scored.withColumn("score", F.col("gained") - lost).filter("score > 0")
+    scored = links.withColumn("path", path).withColumn("hits", listed).withColumn("score", F.aggregate("hits", F.lit(0), lambda s, t: s + t["own"]) - lost).filter("score > 0").withColumn("topic", F.array_max("hits")["topic"])
     best = F.row_number().over(Window.partitionBy("page_id", "url").orderBy(F.desc("score"), "document_order"))
     ranked = scored.withColumn("b", best).filter("b = 1").withColumn("nth", F.row_number().over(Window.partitionBy("page_id", "topic").orderBy(F.desc("score"), "document_order", "url")))
     place = F.row_number().over(Window.partitionBy("page_id").orderBy(F.col("nth") > 1, F.desc("score"), "document_order", "url"))

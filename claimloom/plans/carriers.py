@@ -48,6 +48,8 @@ def _sql(body: str) -> str:
     """DuckDB's text: the carriers a query names, then its body."""
     used = [k for k in VIEWS if re.search(rf"\b{k}\b", body)]
     views = ", ".join(f"{k} AS ({VIEWS[k].replace('p_partkey / 2', 'p_partkey // 2')})" for k in used)
+    if body.startswith("+R"):
+        return f"WITH RECURSIVE {views}, {body[2:]}"
     return f"WITH {views}{', ' if body.startswith('+') and used else ''}{body[1:]}" if body.startswith("+") else f"{'WITH ' + views + ' ' if used else ''}{body}"
 
 
@@ -77,7 +79,7 @@ def _(pages):
 
 @query("txt_06_link_scores", "pages")
 def _(pages):
-    rules = pages.sparkSession.createDataFrame([("about", 1, "^a", 9), ("faq", 2, "[eo]s?$", 13), ("other", 3, ".", 5)], "topic string, rank int, pattern string, weight int")
+    rules = [("about", 1, "^a", 9), ("faq", 2, "[eo]s?$", 13), ("other", 3, ".", 5)]
     return O.link_scores(html.page_links(pages), rules, ["login"])
 
 

@@ -16,7 +16,7 @@ def window_counts(events: DataFrame, seconds: int, limit: int) -> DataFrame:
 
 def streaming_counts(events: DataFrame, seconds: int, late: str = "10 minutes") -> DataFrame:
     """STA-01 on a stream: requests of each identifier, operation and window, with a watermark."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", f"{seconds} seconds"), "identifier", "operation").agg(F.count("*").alias("n")).select("identifier", "operation", F.col("window.start").alias("start"), "n")
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", f"{seconds} seconds"), "identifier", "operation").agg(F.count("*").alias("n")).select("identifier", "operation", F.col("window.start").alias("start"), "n")
 
 
 def running_spend(events: DataFrame) -> DataFrame:
@@ -55,6 +55,20 @@ def admit(events: DataFrame, seconds: int, limit: int, lease: int, slots: int, b
     return events.withColumn("second", F.unix_timestamp("ts")).select("identifier", "event_id", "second", "cost").groupBy("identifier").applyInPandas(decide, "event_id long, decision string")
 
 
+def concurrent(events: DataFrame, lease: int) -> DataFrame:
+    """STA-02: the slots that leases hold when each request arrives, its own not counted, if all were admitted; ``events``: ``(event_id, second, weight)``.
+
+    One set of leases serves everybody, so this is a running sum over all starts and ends; seconds are summed first, so the
+    running sum has a row a second. Which requests a full set turns away depends on all before, in turn, and is the service's.
+    """
+    moves = events.select(F.col("second").alias("at"), "weight").unionByName(events.select((F.col("second") + lease).alias("at"), (-F.col("weight")).alias("weight")))
+    seconds = moves.groupBy("at").agg(F.sum(F.when(F.col("weight") < 0, F.col("weight")).otherwise(0)).alias("ended"), F.sum("weight").alias("net"))
+    before = F.coalesce(F.sum("net").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a second
+    held = seconds.withColumn("held", before + F.col("ended")).select(F.col("at").alias("second"), "held")
+    earlier = F.coalesce(F.sum("weight").over(Window.partitionBy("second").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return events.withColumn("earlier", earlier).join(held, "second").select("event_id", (F.col("held") + F.col("earlier")).alias("held"))
+
+
 def latest_valid(entries: DataFrame, probes: DataFrame, ttl_days: int = 14) -> DataFrame:
     """STA-05: each probe's newest entry of its key that was written before and hasn't expired: a union and one window."""
     both = entries.select("key", "ts", F.col("entry_id"), F.lit(None).cast("long").alias("probe_id")).unionByName(probes.select("key", "ts", F.lit(None).cast("long").alias("entry_id"), "probe_id"))

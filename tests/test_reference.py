@@ -1,5 +1,6 @@
 """Literal cases of the reference's operators, and every registered query against its SQL."""
 
+import hmac
 import math
 
 import duckdb
@@ -7,10 +8,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimloom import registry
+from claimloom.functions import evidence as E
+from claimloom.functions import identity as I
 from claimloom.functions import markers as M
 from claimloom.functions import text as T
+from claimloom.functions import urls as U
+from claimloom.operators import cycles, html, library, passages, scoring
 from claimloom.operators import facts as O
-from claimloom.operators import html
+from claimloom.operators import library as L
 from claimloom.operators import projection as P
 from claimloom.streaming import admission
 
@@ -153,3 +158,62 @@ def test_structured_records(spark):
     )
     got = {r.field_id: (r.display, r.amount, r.note) for r in P.project_outcomes(outcomes).collect()}
     assert got == {"stipend": ("S — $5/team", 5, None), "cash_award": ("Multiple cash awards — see prize details", None, "P; Q"), "other_benefits": ("Trip", None, None)}
+
+
+def test_addresses(spark):
+    public = lambda u: one(spark, u, U.is_public)
+    assert [public(u) for u in ("https://example.org/a", "http://8.8.8.8/", "https://example.org:443/")] == [True] * 3
+    refused = ["http://127.0.0.1/", "http://10.1.2.3/", "http://172.31.0.1/", "http://169.254.169.254/", "http://168.63.129.16/", "http://[::1]/", "http://[fd00::1]/", "https://localhost/", "https://a.internal/", "https://intranet/", "https://u:p@example.org/", "https://example.org:8443/", "ftp://example.org/", "https://example.org/" + "a" * 2048, "x"]
+    assert [public(u) for u in refused] == [False] * len(refused)
+    sensitive = lambda u: one(spark, u, U.is_sensitive)
+    assert [sensitive("https://e.org/?" + q) for q in ("accessToken=1", "X-Amz-Signature=1", "api_key=1", "code=2", "#session=3", "#id_token=x&a=1")] == [True] * 6
+    assert [sensitive("https://e.org/?" + q) for q in ("monkey=1", "keyboard=2", "source=3", "#section-2", "")] == [False] * 5
+    clean = lambda u: one(spark, u, U.canonical)
+    assert clean("https://E.org/a?utm_source=x&TTCLID=2&li_fat_id=3&ref=k#z") == "https://e.org/a?ref=k" and clean("https://e.org/?token=1") is None
+    assert one(spark, "example.org/x", U.typed_address) == "https://example.org/x" and one(spark, "no dots", U.typed_address) is None
+
+
+def test_stated_values(spark):
+    got = one(spark, "€500, 500 EUR; $ 20; USD 1,250.50 and 7 dollars", E.money_mentions)
+    assert [(m.amount, m.currency) for m in got] == [(500.0, "EUR"), (500.0, "EUR"), (20.0, "USD"), (1250.5, "USD")]
+    assert one(spark, "Grades 9–12, 7th graders, high school", E.grade_markers) == ["grade-10", "grade-11", "grade-12", "grade-7", "grade-9", "high-school", "middle-school"]
+    assert one(spark, "Due February 12, 2027 or 2027-02-30 or 2027-03-01", E.date_mentions) == ["2027-02-12", "2027-03-01"]
+    assert one(spark, "Summer Fellowship for Young Scholars at Acme", I.words) == ["summer", "fellow", "young", "scholars", "acme"]
+    assert one(spark, "FAQ | QuestBridge National College Match", I.title_words) == ["questbridge", "national", "college", "match"]
+    assert one(spark, "https://e.org/programs/alpha-x/apply", I.path_identity) == "alpha-x"
+    assert one(spark, '{"Zed": 1.0, "apple": {"b": 2, "B": 1}, "cardSha256": null}', L.canonical_json) == '{"apple":{"b":2,"B":1},"cardSha256":null,"Zed":1}'
+    assert one(spark, "1.2.3.4, 5.6.7.8", lambda c: L.anonymous_identifier(c, "s" * 40)) == hmac.new(b"s" * 40, b"1.2.3.4", "sha256").hexdigest()
+
+
+def test_sources_of_a_target(spark):
+    rows = [("a", 0, "https://o.org/p", "QuestBridge National College Match", []), ("a", 1, "https://o.org/q", "National College Admissions Conference | QuestBridge", []), ("a", 2, "https://o.org/r", "FAQ | QuestBridge National College Match", []), ("a", 3, "https://o.org/about", "Who we are", [])]
+    got = passages.source_relevance(spark.createDataFrame(rows, "slug string, source_index int, url string, title string, headings array<string>")).orderBy("source_index").collect()
+    assert [r.relevance for r in got][::2] == ["target", "target"] and got[3].relevance == "organization_level"
+    paths = [("b", 0, "https://o.org/programs/x/a", "X", []), ("b", 1, "https://o.org/programs/y/a", "X", [])]
+    assert passages.source_relevance(spark.createDataFrame(paths, "slug string, source_index int, url string, title string, headings array<string>")).filter("source_index = 1").first().relevance == "sibling"
+
+
+def test_cycles(spark):
+    def cycle(*texts):
+        rows = [("c", 0, k, "paragraph", t, "Home") for k, t in enumerate(texts)]
+        r = cycles.resolve(cycles.candidates(spark.createDataFrame(rows, "slug string, source_index int, block_index int, kind string, text string, title string"))).first()
+        return None if r is None else (r.label, r.years, r.season, r.cycle_type)
+
+    assert cycle("Apply for Summer 2027") == ("Summer 2027", [2027], "summer", "seasonal")
+    assert cycle("Apply for the 2026-2027 program") == ("2026–2027", [2026, 2027], None, "academic_year")
+    assert cycle("Apply for Summer 2027", "Apply for Fall 2028") is None
+    assert cycle("no year here") is None
+    assert cycle("2026 application for Fall 2027 entry")[0] == "2026 application / Fall 2027 entry"
+    assert cycle("Autumn 2027 dates for applications")[2] == "fall"
+
+
+def test_out_of_sample_totals(spark):
+    """The published totals follow from summed counts."""
+    s = spark.createDataFrame([(100, 50, 100, 90, 200, 100, 70), (54, 32, 103, 98, 213, 98, 76)], "claims long, correct long, evidence long, evidence_correct long, fields long, agreed long, supported long")
+    r = scoring.report(s).first()
+    assert (r.precision, r.recall, r.status_agreement, r.evidence_correctness) == (82 / 154, 82 / 146, 198 / 413, 188 / 203)
+
+
+def test_salvage_has_no_limit(spark):
+    chain = spark.createDataFrame([("a", k, k - 1 if k else None) for k in range(12)] + [("b", 1, 0)], "slug string, id int, needs int")
+    assert sorted(r.id for r in library.salvaged(chain).filter("slug = 'a'").collect()) == list(range(12)) and library.salvaged(chain).filter("slug = 'b'").isEmpty()

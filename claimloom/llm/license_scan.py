@@ -6,7 +6,9 @@ identifiers is then held against ordered licence rules.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import chain
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,18 +66,23 @@ RULES = {
 }
 
 
+def extended(name: str, rules: dict = RULES) -> list[str]:
+    """The rules whose sequences go on where one of this rule's ends; where one of them matches, this one doesn't count."""
+    return [other for other, seqs in rules.items() if other != name and any(long[: len(own)] == own and len(long) > len(own) for long in seqs for own in rules[name])]
+
+
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict = SENTENCES | FULL_SENTENCES, rules: dict = RULES) -> DataFrame:
     """``(id, sentence_ids, licenses, n_licenses)`` for every whole text; no shuffle, no join.
 
     Wrapped lines are joined up to the next of ``ENDS``; where that gives no known sentence, each line is
     one of its own. Normalising lower-cases A-Z and turns every run of other characters into a space.
-    ``licenses`` is sorted. Null text and texts without known sentences give empty arrays; rows with
+    ``licenses`` is sorted; of two rules of which one goes on where the other ends, the longer counts. Null text and texts without known sentences give empty arrays; rows with
     repeated or null ids come out one by one; other columns are not read.
     """
     # only pieces that hold a word which all known sentences of some kind share are worth normalising
     stems = "|".join(sorted({max(s.split(), key=len) for s in sentences}))
     known = F.create_map(*map(F.lit, chain.from_iterable(sentences.items())))
-    fits = lambda x: F.length(x).between(min(map(len, sentences)), 4 * max(map(len, sentences)))
+    fits = lambda x: F.length(x) >= min(map(len, sentences))
     named = lambda x: F.when(fits(x), F.try_element_at(known, F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " "))))
     pieces = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), ENDS), lambda x: F.lower(x).rlike(stems))
     whole = F.transform(pieces, lambda x: F.struct(named(x).alias("id"), x.alias("piece")))
@@ -83,6 +90,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ids = F.array_compact(F.flatten(F.transform(whole, lambda x: F.when(x["id"].isNotNull(), F.array(x["id"])).otherwise(lines(x["piece"])))))
     found = docs.select(F.col(id_col), ids.alias("sentence_ids")).withColumn("path", F.concat(F.lit(">"), F.array_join("sentence_ids", ">"), F.lit(">")))
     found = found.withColumn("path", F.regexp_replace("path", f">all-rights-reserved(?=>(?:{'|'.join(HEADED)})>)", ""))
-    hits = [F.when(F.greatest(*(F.contains("path", F.lit(">" + ">".join(seq) + ">")) for seq in seqs), F.lit(False)), F.lit(name)) for name, seqs in sorted(rules.items())]
+    holds = lambda name: F.greatest(*(F.contains("path", F.lit(">" + ">".join(seq) + ">")) for seq in rules[name]), F.lit(False))
+    hits = [F.when(reduce(and_, (~holds(longer) for longer in extended(name, rules)), holds(name)), F.lit(name)) for name in sorted(rules)]
     named = found.withColumn("licenses", F.array_compact(F.array(*hits)))
     return named.select(id_col, "sentence_ids", "licenses", F.size("licenses").cast("long").alias("n_licenses"))

@@ -116,7 +116,9 @@ WITH known(plain, id) AS (VALUES {known}), rules(name, path) AS (VALUES {rules})
      s AS (SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '[\r\n]+|[.!?;][ \t]+')) AS line, generate_subscripts(regexp_split_to_array(coalesce(text, ''), '[\r\n]+|[.!?;][ \t]+'), 1) AS place FROM documents),
      i AS (SELECT doc_id, place, id FROM (SELECT doc_id, place, trim(regexp_replace(lower(line), '[^a-z0-9]+', ' ', 'g')) AS plain FROM s) JOIN known USING (plain)),
      p AS (SELECT doc_id, '>' || string_agg(id, '>' ORDER BY place) || '>' AS path, count(*) AS n FROM i GROUP BY doc_id),
-     m AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, count(DISTINCT name) AS k FROM p JOIN rules ON contains(p.path, rules.path) GROUP BY doc_id)
+     e AS (SELECT DISTINCT a.name, b.path FROM rules a JOIN rules b ON a.name <> b.name AND a.path <> b.path AND starts_with(b.path, a.path)),
+     m AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, count(DISTINCT name) AS k FROM p JOIN rules ON contains(p.path, rules.path)
+           WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.name = rules.name AND contains(p.path, e.path)) GROUP BY doc_id)
 SELECT d.doc_id, coalesce(m.licenses, '') AS licenses, coalesce(m.k, 0)::BIGINT AS n_licenses, coalesce(p.n, 0)::BIGINT AS n_sentences
 FROM documents d LEFT JOIN p ON d.doc_id = p.doc_id LEFT JOIN m ON d.doc_id = m.doc_id
 """

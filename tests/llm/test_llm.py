@@ -259,6 +259,23 @@ def test_license_texts(spark):
     assert [(r.doc_id, list(r.licenses)) for r in got] == [(name, [name]) for name, _ in rows]
 
 
+def test_license_long_lines_and_longer_rules(spark):
+    """A known sentence behind any number of signs; a text of three clauses is not one of two."""
+    three = BSD_TEXT.replace("THIS SOFTWARE IS", "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\nTHIS SOFTWARE IS")
+    rows = [("MIT", "Released under the MIT License" + "!" * 5000), ("BSD-3-Clause", three)]
+    got = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert [(r.doc_id, list(r.licenses)) for r in got] == [(name, [name]) for name, _ in rows]
+
+
+def test_language_of_many(spark):
+    """More languages than a byte counts."""
+    names = [f"l{k:03}" for k in range(300)]
+    model = language_id.Model(names, np.zeros((language_id.GRAMS, 300), np.float32), np.ones((len(language_id.SCRIPTS) + 1, 300), bool))
+    model.logp[:, 290] = 1.0
+    got = language_id.predict(spark.createDataFrame([(1, "some words here")], "doc_id long, text string"), model).first()
+    assert got.lang_pred == "l290" and got.score == 1
+
+
 def check_packing(rows, pieces, cap=1024):
     tok = Tokenizer.from_file(BPE)
     want = Counter()
@@ -302,6 +319,17 @@ def test_crossover_keeps_every_piece_once():
     assert all(1024 - sum(lens[i] for i in b) == f >= 0 for b, f in zip(bins, free, strict=True))
 
 
+def test_evolution_saves_bins():
+    """Lengths of which best fit leaves room: generations need fewer bins than the best seed, and keep every piece within its bin."""
+    rng, seeds, elites = np.random.default_rng(0), 0, 0
+    for _ in range(4):
+        lens = rng.integers(200, 500, 300)
+        seed, best = (packing.evolve(lens, 1024, [], 1, pieces)[0] for pieces in (0, packing.LAST_GENERATION_PIECES))
+        assert len(best) == 300 and np.bincount(best, lens).max() <= 1024
+        seeds, elites = seeds + seed.max() + 1, elites + best.max() + 1
+    assert elites <= 0.98 * seeds
+
+
 def test_mixing(spark, docs, empty):
     got = mixing.mix(docs).collect()
     sizes = Counter()
@@ -445,6 +473,9 @@ def test_pipeline_stages(spark, docs, empty):
     assert sorted(norm(r.text) for r in two) == sorted({norm(r[1]) for r in planted()})
     three = cp.drop_near_copies(spark, docs, SF).collect()
     assert len(three) == len(set(components({fingerprint(r[1]) for r in planted()}).values()))
+    clashing = docs.withColumns({c: F.lit(c) for c in ("copies", "rows", "number", "row_key", "copy", "row", "key", "at", "part", "size", "tie")})
+    for stage in (f for _, f in cp.STAGES[:-1]):
+        assert stage(spark, clashing, SF).columns == clashing.columns and all(r["copies"] == "copies" and r["row"] == "row" for r in stage(spark, clashing, SF).collect())
     four = cp.mix_sources(spark, docs, SF)
     taken = mixing.mix(docs).groupBy("doc_id").agg(F.sum("copies").alias("n")).filter("n > 0").collect()
     assert Counter(r.doc_id for r in four.collect()) == Counter({r.doc_id: r.n for r in taken}) and four.columns == docs.columns

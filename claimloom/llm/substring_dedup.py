@@ -3,7 +3,8 @@
 Tasks hash every window of their documents by prefix sums of a polynomial modulo 2**64, keep one entry
 for each hash (with the smallest id of a slice of documents), and send these to buckets, packed. Buckets
 find hashes that start in a smaller document; the verdicts go to the documents, where removed windows
-merge into maximal intervals.
+merge into maximal intervals. Partitions grow in number with the bytes of all texts, and what a partition
+holds is cut into parts that come in order, sorted by Spark: a task keeps one part's entries or verdicts.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from claimloom.llm.common import partitions, slices_by_bytes, splitmix, text_bytes
 
 SLICE = 3 << 20
+#: Bytes of text for each part of a partition, and the most partitions of an exchange; beyond these, parts grow in number.
+PART_BYTES, MOST_PARTITIONS = 32 << 20, 1 << 16
 _NULL = -(1 << 63)
 _rng = np.random.default_rng(13)
 _BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -110,35 +113,38 @@ def _unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _mine(ids: np.ndarray, to: int) -> np.ndarray:
-    """Which of ``to`` partitions a document is in."""
+    """Which of ``to`` parts a document is in."""
     return (splitmix(ids.view(np.uint64)) % np.uint64(to)).astype(np.int64)
 
 
-_MESSAGE = ["to", "stage", "payload"]
+_MESSAGE = ["to", "part", "stage", "payload"]
+_SCHEMA = "`to` int, part int, stage int, payload binary"
 
 
 def _messages(rows: list[tuple]):
     import pyarrow as pa
 
-    cols = list(zip(*rows, strict=True)) or [[], [], []]
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], _MESSAGE)
+    cols = list(zip(*rows, strict=True)) or [[], [], [], []]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], _MESSAGE)
 
 
-def _verdicts(ids: np.ndarray, low: np.ndarray, to: int) -> list[tuple]:
-    """Windows to remove, as one message (stage 1) for each partition of documents."""
-    part = _mine(ids, to)
-    order = np.argsort(part, kind="stable")
-    cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
-    return [(int(part[order[a]]), 1, _pack(ids[order[a:b]], low[order[a:b]])) for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True)]
+def _verdicts(ids: np.ndarray, low: np.ndarray, to: int, parts: int) -> list[tuple]:
+    """Windows to remove, as one message (stage 1) for each part of documents."""
+    mine = _mine(ids, to * parts)
+    order = np.argsort(mine, kind="stable")
+    cuts = np.flatnonzero(np.diff(mine[order], prepend=-1))
+    return [(*divmod(int(mine[order[a]]), parts), 1, _pack(ids[order[a:b]], low[order[a:b]])) for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True)]
 
 
 def _ids(column) -> np.ndarray:
     return np.array([_NULL if x is None else x for x in column.to_pylist()], np.int64)
 
 
-def _collect(width: int, buckets: int):
+def _collect(width: int, to: int, parts: int):
     """Documents -> stage 0 messages (hash entries by bucket), and verdicts that a slice settles itself."""
 
+    buckets = to * parts
+
     def run(batches):
         for batch in batches:
             ids, texts = _ids(batch.column(0)), text_bytes(batch.column(1))
@@ -151,39 +157,46 @@ def _collect(width: int, buckets: int):
                 new = np.flatnonzero(np.diff(hashes, prepend=~hashes[:1]) != 0)
                 least = np.minimum.reduceat(mine, new)
                 later = mine > np.repeat(least, np.diff([*new, len(hashes)]))
-                rows = _verdicts(mine[later], _low(hashes[later]), buckets) if later.any() else []
+                rows = _verdicts(mine[later], _low(hashes[later]), to, parts) if later.any() else []
                 hashes = hashes[new]
                 bounds = np.searchsorted(_bucket(hashes, buckets), np.arange(buckets + 1))
                 low = _low(hashes)
-                rows += [(k, 0, _pack(least[a:b], low[a:b])) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
+                rows += [(*divmod(k, parts), 0, _pack(least[a:b], low[a:b])) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
                 yield _messages(rows)
 
     return run
 
 
-def _settle(to: int):
-    """Stage 0 messages of buckets -> verdicts for all but the smallest document of each hash; others pass."""
+def _settle(to: int, parts: int):
+    """Stage 0 messages, bucket after bucket -> verdicts for all but the smallest document of each hash; others pass."""
+
+    def settled(payloads: list[bytes]):
+        both = [_unpack(p) for p in payloads]
+        ids, low = np.concatenate([x[0] for x in both]), np.concatenate([x[1] for x in both])
+        order = np.argsort(low, kind="stable")
+        ids, low = ids[order], low[order]
+        new = np.flatnonzero(np.diff(low, prepend=~low[:1]) != 0)
+        later = ids > np.repeat(np.minimum.reduceat(ids, new), np.diff([*new, len(low)]))
+        if later.any():
+            yield _messages(_verdicts(ids[later], low[later], to, parts))
 
     def run(batches):
-        held: dict[int, list[bytes]] = {}
+        now, held = None, []
         for batch in batches:
             passed = []
-            for key, stage, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, part, stage, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if stage:
-                    passed.append((key, stage, payload))
-                else:
-                    held.setdefault(key, []).append(payload)
+                    passed.append((key, part, stage, payload))
+                    continue
+                if held and (key, part) != now:
+                    yield from settled(held)
+                    held = []
+                now = key, part
+                held.append(payload)
             if passed:
                 yield _messages(passed)
-        for payloads in held.values():
-            both = [_unpack(p) for p in payloads]
-            ids, low = np.concatenate([x[0] for x in both]), np.concatenate([x[1] for x in both])
-            order = np.argsort(low, kind="stable")
-            ids, low = ids[order], low[order]
-            new = np.flatnonzero(np.diff(low, prepend=~low[:1]) != 0)
-            later = ids > np.repeat(np.minimum.reduceat(ids, new), np.diff([*new, len(low)]))
-            if later.any():
-                yield _messages(_verdicts(ids[later], low[later], to))
+        if held:
+            yield from settled(held)
 
     return run
 
@@ -196,55 +209,90 @@ def _intervals(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
     return list(zip(starts[[0, *(cut + 1)]].tolist(), (starts[[*cut, len(starts) - 1]] + width).tolist(), strict=True))
 
 
+def _left(part: list[tuple], named: np.ndarray, wanted: np.ndarray, width: int):
+    """What is left of some documents; ``wanted`` has the hashes of the verdicts mixed with their ids, sorted."""
+    import pyarrow as pa
+
+    keys = np.array([_NULL if d is None else d for d, _ in part], np.int64)
+    touched = np.flatnonzero(np.isin(keys, named))
+    found: dict[int, np.ndarray] = {}
+    if len(touched):
+        hashes, owner, _ = window_hashes([part[i][1] for i in touched], width)
+        mixed = splitmix(_low(hashes) ^ splitmix(keys[touched].view(np.uint64))[owner])
+        at = np.searchsorted(wanted, mixed)
+        hit = wanted[np.minimum(at, len(wanted) - 1)] == mixed
+        first = np.searchsorted(owner, np.arange(len(touched)))
+        place = np.flatnonzero(hit)
+        own = owner[place]
+        cuts = np.searchsorted(own, np.arange(len(touched) + 1))
+        found = {int(i): place[a:b] - first[k] for k, (i, a, b) in enumerate(zip(touched, cuts[:-1], cuts[1:], strict=True)) if b > a}
+    rows = []
+    for i, (doc_id, text) in enumerate(part):
+        words = text.split()  # of bytes: exactly 0x20 and 0x09 to 0x0D
+        n, spans = len(words), _intervals(found[i], width) if i in found else []
+        for a, b in reversed(spans):
+            del words[a:b]
+        kept = b" ".join(words)
+        rows.append((doc_id, n, n - len(words), spans, kept.decode(), hashlib.sha256(kept).hexdigest()))
+    cols = list(zip(*rows, strict=True))
+    spans = pa.array([[{"first": a, "until": b} for a, b in x] for x in cols[3]], pa.list_(pa.struct([("first", pa.int64()), ("until", pa.int64())])))
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), spans, pa.array(cols[4], pa.string()), pa.array(cols[5], pa.string())], ["doc_id", "n_words", "n_removed", "spans", "kept_text", "kept_sha256"])
+
+
 def _remove(width: int):
-    """Documents and their verdicts -> what is left of each."""
+    """Part after part, verdicts and then their documents -> what is left of each; keeps one part's verdicts and a slice of texts."""
+
+    def run(batches):
+        now, verdicts, named, wanted = None, [], np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        for batch in batches:
+            _, part, stage, payload, doc_id, text = batch.columns
+            parts, stages, payloads, ids, texts = part.to_pylist(), stage.to_pylist(), payload.to_pylist(), doc_id.to_pylist(), text_bytes(text)
+            lo = 0
+            while lo < len(parts):  # runs of one part and stage
+                hi = lo + 1
+                while hi < len(parts) and (parts[hi], stages[hi]) == (parts[lo], stages[lo]):
+                    hi += 1
+                if parts[lo] != now:
+                    now, verdicts, named, wanted = parts[lo], [], np.zeros(0, np.int64), np.zeros(0, np.uint64)
+                if stages[lo] == 1:
+                    verdicts += payloads[lo:hi]
+                else:
+                    if verdicts:
+                        both, verdicts = [_unpack(p) for p in verdicts], []
+                        named = np.unique(np.concatenate([x[0] for x in both]))
+                        wanted = np.unique(np.concatenate([splitmix(low ^ splitmix(own.view(np.uint64))) for own, low in both]))
+                    for a, b in slices_by_bytes([len(t) for t in texts[lo:hi]], SLICE):
+                        yield _left(list(zip(ids[lo + a : lo + b], texts[lo + a : lo + b], strict=True)), named, wanted, width)
+                lo = hi
+
+    return run
+
+
+def _address(to: int, parts: int):
+    """Documents -> stage 2 messages; rows of null ids, which no verdict names, go anywhere."""
 
     def run(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        docs, ids, low = [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        seen = TaskContext.get().partitionId() << 40
         for batch in batches:
-            _, stage, payload, doc_id, text = (c.to_pylist() for c in batch.columns)
-            for s, p, d, t in zip(stage, payload, doc_id, text, strict=True):
-                if s == 2:
-                    docs.append((d, (t or "").encode()))
-                else:
-                    a, b = _unpack(p)
-                    ids.append(a)
-                    low.append(b)
-        ids, low = np.concatenate(ids), np.concatenate(low)
-        wanted = np.unique(splitmix(low ^ splitmix(ids.view(np.uint64))))
-        named = np.unique(ids)
-        for lo, hi in slices_by_bytes([len(t) for _, t in docs], SLICE):
-            part = docs[lo:hi]
-            keys = np.array([_NULL if d is None else d for d, _ in part], np.int64)
-            touched = np.flatnonzero(np.isin(keys, named))
-            found: dict[int, np.ndarray] = {}
-            if len(touched):
-                hashes, owner, n_words = window_hashes([part[i][1] for i in touched], width)
-                mixed = splitmix(_low(hashes) ^ splitmix(keys[touched].view(np.uint64))[owner])
-                at = np.searchsorted(wanted, mixed)
-                hit = wanted[np.minimum(at, len(wanted) - 1)] == mixed
-                first = np.searchsorted(owner, np.arange(len(touched)))
-                place = np.flatnonzero(hit)
-                own = owner[place]
-                cuts = np.searchsorted(own, np.arange(len(touched) + 1))
-                found = {int(i): place[a:b] - first[k] for k, (i, a, b) in enumerate(zip(touched, cuts[:-1], cuts[1:], strict=True)) if b > a}
-            rows = []
-            for i, (doc_id, text) in enumerate(part):
-                words = text.split()  # of bytes: exactly 0x20 and 0x09 to 0x0D
-                n, spans = len(words), _intervals(found[i], width) if i in found else []
-                for a, b in reversed(spans):
-                    del words[a:b]
-                kept = b" ".join(words)
-                rows.append((doc_id, n, n - len(words), spans, kept.decode(), hashlib.sha256(kept).hexdigest()))
-            cols = list(zip(*rows, strict=True))
-            spans = pa.array([[{"first": a, "until": b} for a, b in x] for x in cols[3]], pa.list_(pa.struct([("first", pa.int64()), ("until", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), spans, pa.array(cols[4], pa.string()), pa.array(cols[5], pa.string())], ["doc_id", "n_words", "n_removed", "spans", "kept_text", "kept_sha256"])
+            rows = batch.num_rows
+            ids, spread = _ids(batch.column(0)), np.arange(seen, seen + rows)
+            mine = _mine(np.where(ids == _NULL, spread, ids), to * parts)
+            seen += rows
+            yield pa.RecordBatch.from_arrays([pa.array(mine // parts, pa.int32()), pa.array(mine % parts, pa.int32()), pa.array(np.full(rows, 2), pa.int32()), pa.nulls(rows, pa.binary()), *batch.columns], [*_MESSAGE, "doc_id", "text"])
 
     return run
 
 
+def _layout(least: int, n_bytes: int) -> tuple[int, int]:
+    """Partitions of the exchanges, and parts of each, for so many bytes of text."""
+    whole = -(-n_bytes // PART_BYTES)
+    to = max(least, min(whole, MOST_PARTITIONS), 1)
+    return to, max(-(-whole // to), 1)
+
+
 def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_words, n_removed, spans, kept_text, kept_sha256)``, one row for each input row.
 
@@ -253,24 +301,18 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     texts shorter than the width lose nothing; rows that repeat an id don't remove from each other; a null
     id is smaller than any other; other columns are not read. Hashes have 64 bits; equal hashes count as
     equal sequences. Memory of a task: its bucket's entries (7 bytes for each distinct window of a slice
-    of documents, so a sequence that all documents share is one entry a slice) or its documents.
+    of documents, so a sequence that all documents share is one entry a slice), or the verdicts on one
+    part of the documents and a slice of texts. Rows of null ids lose nothing and are dealt out evenly;
+    rows that repeat one id have the same verdicts and pass through one task, one slice after the other.
     """
-    spark = docs.sparkSession
-    n = max(partitions(spark), 1)
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "`to` int, stage int, payload binary"
-    entries = chosen.mapInArrow(_collect(width, n), schema)
-    verdicts = entries.repartitionById(n, F.col("to")).mapInArrow(_settle(n), schema)
-    sent = verdicts.select("to", "stage", "payload", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
-
-    def address(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            rows = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(_mine(_ids(batch.column(0)), n), pa.int32()), pa.array(np.full(rows, 2), pa.int32()), pa.nulls(rows, pa.binary()), *batch.columns], [*_MESSAGE, "doc_id", "text"])
-
-    texts = chosen.mapInArrow(address, schema + ", doc_id long, text string")
-    together = sent.union(texts).repartitionById(n, F.col("to"))
+    n, parts = _layout(partitions(docs.sparkSession), chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    entries = chosen.mapInArrow(_collect(width, n, parts), _SCHEMA)
+    buckets = entries.repartitionById(n, F.col("to")).sortWithinPartitions("to", "part", "stage")
+    verdicts = buckets.mapInArrow(_settle(n, parts), _SCHEMA)
+    sent = verdicts.select(*_MESSAGE, F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+
+    texts = chosen.mapInArrow(_address(n, parts), _SCHEMA + ", doc_id long, text string")
+    together = sent.union(texts).repartitionById(n, F.col("to")).sortWithinPartitions("part", "stage")
     out = together.mapInArrow(_remove(width), "doc_id long, n_words long, n_removed long, spans array<struct<first: long, until: long>>, kept_text string, kept_sha256 string")
     return out.withColumnRenamed("doc_id", id_col)

@@ -172,7 +172,7 @@ def test_chunks_of_streams_in_a_row_and_streamed_roots():
         assert tree.root() == token_store.merkle_root(leaves)
 
 
-def test_substring_dedup(spark, docs, empty):
+def test_substring_dedup(spark, docs, empty, monkeypatch):
     rng = random.Random(9)
     shared = " ".join(f"s{rng.randrange(99)}" for _ in range(60))
     rows = [(r[0], r[1]) for r in planted()] + [(100 + i, " ".join([*(f"u{i}_{k}" for k in range(i)), shared, "tail"])) for i in range(40)] + [(200, shared.replace(" ", "  \n")), (201, " ".join(shared.split()[:12]))]
@@ -191,6 +191,13 @@ def test_substring_dedup(spark, docs, empty):
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == want
     assert all(r.n_removed == sum(s.until - s.first for s in r.spans) for r in got)
     assert substring_dedup.remove_repeats(empty).count() == 0
+    # a partition cut into many parts, repeated and null ids among the rows, and clashing names give the same
+    monkeypatch.setattr(substring_dedup, "PART_BYTES", 200)
+    monkeypatch.setattr(substring_dedup, "MOST_PARTITIONS", 2)
+    assert substring_dedup._layout(4, 10_000) == (4, 13) and substring_dedup._layout(1, 0) == (1, 1) and substring_dedup._layout(1, 10_000) == (2, 25)
+    more = spark.createDataFrame([(*r, 7, 8, "x") for r in rows], "doc_id long, text string, `to` int, part int, payload string")
+    cut = substring_dedup.remove_repeats(more).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in cut) == want
 
 
 def test_licenses(spark, docs, empty):

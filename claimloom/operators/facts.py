@@ -69,18 +69,66 @@ def first_writer(projected: DataFrame) -> DataFrame:
 
 
 def project_costs(costs: DataFrame) -> DataFrame:
-    """PRJ-14: one row for each slug and cost kind, from ``(slug, record_id, kind, requirement, status, amount, conditional, scoped)``."""
+    """PRJ-14: one row for each slug and cost kind, from ``(slug, record_id, kind, requirement, status, amount, currency, conditional, scoped)``."""
     needed = costs.filter("requirement <> 'optional'")
     disclosed = F.col("status") == "disclosed"
     g = needed.groupBy("slug", "kind").agg(
-        F.count("*").alias("n"), F.count_if(disclosed).alias("n_disclosed"), F.count_distinct("amount").alias("n_amounts"), F.bool_or("conditional").alias("any_conditional"), F.bool_or("scoped").alias("any_scope"),
+        F.count("*").alias("n"), F.count_if(disclosed).alias("n_disclosed"), F.count_distinct(F.struct("amount", "currency")).alias("n_amounts"), F.bool_or("conditional").alias("any_conditional"), F.bool_or("scoped").alias("any_scope"),
         F.min_by("amount", "record_id").alias("first_amount"), F.min_by(F.when(~disclosed, F.col("status")), F.when(~disclosed, F.col("record_id"))).alias("first_open"),
     )
     settled = F.col("n") == F.col("n_disclosed")
-    label = F.when(~settled, F.lit(None)).when((F.col("n") == 1) & ~F.col("any_scope") & ~F.col("any_conditional"), F.lit("scalar")).when(F.col("any_conditional"), F.lit("Conditional")).when(F.col("n_amounts") == 1, F.lit("same")).when(F.col("kind") == "application_fee", F.lit("Multiple application fees")).otherwise(F.lit("Varies by program/cohort"))
+    label = F.when(~settled, F.lit(None)).when((F.col("n") == 1) & ~F.col("any_scope") & ~F.col("any_conditional"), F.lit("scalar")).when(F.col("any_conditional"), F.lit("Conditional")).when((F.col("n_amounts") == 1) & ~F.col("any_scope"), F.lit("same")).when((F.col("kind") == "application_fee") & ~F.col("any_scope"), F.lit("Multiple application fees")).otherwise(F.lit("Varies by program/cohort"))
     return g.select("slug", "kind", F.when(settled, F.lit("disclosed")).otherwise(F.col("first_open")).alias("status"), label.alias("label"), F.when(label == "scalar", F.col("first_amount")).alias("amount"))
 
 
+# fixed values: the kinds of cost that have a field, in the order in which they write it
+COST_FIELDS = {
+    "application_fee": "application_fee",
+    "deposit": "deposit",
+    "tuition": "tuition",
+    "materials": "other_mandatory_costs",
+    "other": "other_mandatory_costs",
+}
+
+
+def project_cost_fields(costs: DataFrame) -> DataFrame:
+    """PRJ-14 on the four cost fields: ``(slug, field_id, kind, status, amount, display, note, rule)``, one row for each field that a cost writes.
+
+    Reads ``(slug, position, kind, label, requirement, status, scoped, amount, minimum, maximum, currency, display, note)``; a
+    range has a minimum and maximum in place of an amount. Where two kinds write one field the later kind's row stays. One
+    unscoped, unconditional cost gives its amount, or a range's text; several give a label, and equal amounts need equal currencies.
+    """
+    kinds = list(COST_FIELDS)
+    place = F.array_position(F.array(*map(F.lit, kinds)), F.col("kind"))
+    field = F.create_map(*(F.lit(x) for pair in COST_FIELDS.items() for x in pair))[F.col("kind")]
+    disclosed = F.col("status") == "disclosed"
+    needed = costs.filter("NOT (requirement <=> 'optional')").withColumn("field_id", field).filter("field_id IS NOT NULL")
+    value = F.struct("amount", "minimum", "maximum", "currency")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("position", "label", "display"))), lambda c: F.concat(c["label"], F.lit(": "), c["display"]))
+    g = needed.groupBy("slug", "field_id", "kind", place.alias("place")).agg(
+        F.count("*").alias("n"), F.count_if(disclosed).alias("n_disclosed"), F.count_distinct(F.when(disclosed, value)).alias("n_amounts"),
+        F.bool_or(F.col("requirement") == "conditional").alias("conditional"), F.bool_or("scoped").alias("scoped"), F.array_join(listed, "; ").alias("all_costs"),
+        F.min_by(F.struct("amount", "display"), "position").alias("first"), F.min_by(F.when(~disclosed, F.struct("status", "note")), F.when(~disclosed, F.col("position"))).alias("open"),
+    )
+    settled, universal = F.col("n") == F.col("n_disclosed"), ~F.col("scoped")
+    single = settled & (F.col("n") == 1) & universal & ~F.col("conditional")
+    label = (
+        F.when(F.col("conditional"), F.lit("Conditional — see cost details"))
+        .when(universal & (F.col("n_amounts") == 1), F.col("first.display"))
+        .when(universal & (F.col("kind") == "application_fee"), F.lit("Multiple application fees — see cost details"))
+        .otherwise(F.lit("Varies by program/cohort"))
+    )
+    status = F.when(settled, F.lit("disclosed")).when(F.col("open.status").isin("conflicting", "not_applicable", "not_found"), F.col("open.status")).otherwise(F.lit("unclear"))
+    ending = F.when(single, F.lit("")).when(settled, F.lit("-matrix")).when(status == "conflicting", F.lit("-conflicting")).otherwise(F.lit("-unresolved"))
+    disagree = F.lit("Reviewed sources support different amounts for this structured cost; no value was selected.")
+    note = F.when(single, F.lit(None)).when(settled, F.col("all_costs")).when(status == "conflicting", disagree).otherwise(F.col("open.note"))
+    row = F.struct(
+        "kind", status.alias("status"), F.when(single, F.col("first.amount")).alias("amount"), F.when(single, F.col("first.display")).when(settled, label).alias("display"),
+        note.alias("note"), F.concat(F.lit("costs."), F.col("kind"), ending).alias("rule"),
+    )
+    return g.groupBy("slug", "field_id").agg(F.max_by(row, "place").alias("row")).select("slug", "field_id", "row.*")
+
+
 def project_total(costs: DataFrame, mapped: list[str]) -> DataFrame:
     """PRJ-15: the total's cascade over ``project_costs`` input with ``credited``, ``currency`` and ``complete``; first rule that applies."""
     charged = costs.filter("requirement <> 'optional' AND NOT credited")

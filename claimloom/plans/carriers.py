@@ -22,6 +22,7 @@ _STATUS = "CASE WHEN l_returnflag = 'A' THEN 'disclosed' WHEN l_returnflag = 'R'
 VIEWS = {
     "facts": f"SELECT l_orderkey AS slug, l_linenumber AS field_id, {_STATUS} AS status, l_linestatus AS value FROM lineitem",
     "costs": "SELECT l_orderkey AS slug, CAST(l_linenumber AS BIGINT) * 1000000000 + CAST(round(l_extendedprice * 100) AS BIGINT) AS record_id, p_brand AS kind, CASE WHEN l_quantity < 10 THEN 'optional' ELSE 'required' END AS requirement, " + _STATUS.replace("l_quantity < 15", "l_quantity < 5").replace("l_quantity < 30", "l_quantity < 12").replace("ELSE 'not_found'", "WHEN l_quantity < 14 THEN 'not_found' ELSE 'disclosed'").replace("l_returnflag = 'R'", "l_quantity < 3") + " AS status, l_extendedprice AS amount, l_tax > 0.07 AS conditional, l_discount > 0.09 AS scoped, l_discount < 0.01 AS credited, CASE WHEN l_quantity > 48 THEN 'EUR' ELSE 'USD' END AS currency, l_quantity < 47 AS complete FROM lineitem JOIN part ON l_partkey = p_partkey",
+    "fee_records": "SELECT *, CASE WHEN amount IS NULL THEN concat(currency, ' ', CAST(CAST(minimum AS BIGINT) AS STRING), ' to ', CAST(CAST(maximum AS BIGINT) AS STRING)) ELSE concat(currency, ' ', CAST(CAST(amount AS BIGINT) AS STRING)) END AS display, CASE WHEN l_suppkey % 5 = 0 THEN NULL ELSE concat('Seen at ', CAST(l_suppkey AS STRING)) END AS note FROM (SELECT l_orderkey AS slug, CAST(l_linenumber AS BIGINT) * 1000000000 + CAST(round(l_extendedprice * 100) AS BIGINT) AS position, CASE l_partkey % 8 WHEN 0 THEN 'application_fee' WHEN 1 THEN 'deposit' WHEN 2 THEN 'tuition' WHEN 3 THEN 'materials' WHEN 4 THEN 'other' WHEN 5 THEN 'travel' ELSE 'application_fee' END AS kind, concat('Item ', CAST(l_linenumber AS STRING)) AS label, CASE WHEN l_quantity > 46 THEN 'optional' WHEN l_suppkey % 9 = 0 THEN 'conditional' ELSE 'required' END AS requirement, CASE WHEN l_quantity < 3 THEN 'not_found' WHEN l_quantity < 5 THEN 'conflicting' WHEN l_quantity < 6 THEN 'not_applicable' WHEN l_quantity < 8 THEN 'unclear' ELSE 'disclosed' END AS status, l_suppkey % 4 = 0 AS scoped, CASE WHEN l_partkey % 5 = 0 THEN NULL WHEN l_quantity < 25 THEN CAST(100 AS DOUBLE) ELSE CAST(250 AS DOUBLE) END AS amount, CASE WHEN l_partkey % 5 = 0 THEN CAST(100 AS DOUBLE) END AS minimum, CASE WHEN l_partkey % 5 = 0 THEN CAST(300 AS DOUBLE) END AS maximum, CASE WHEN l_suppkey % 3 = 0 THEN 'EUR' ELSE 'USD' END AS currency, l_suppkey FROM lineitem) AS r",
     "cards": "SELECT o_orderkey AS slug, o_orderpriority AS category, o_orderstatus AS review_state, CASE WHEN o_orderkey % 5 = 0 THEN 'unclear' ELSE 'disclosed' END AS deadline_status, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE substr(CAST(o_orderdate AS STRING), 1, 10) END AS iso_date, CASE WHEN o_orderkey % 7 = 0 THEN 'Open until filled' ELSE 'See site' END AS wording, CASE WHEN o_orderkey % 4 = 0 THEN NULL WHEN o_orderkey % 4 = 1 THEN 'online' ELSE 'residential' END AS format, concat(o_orderpriority, ' ', c_name, ' ', c_mktsegment) AS searchable, o_totalprice AS price, o_custkey AS operator_id FROM orders JOIN customer ON o_custkey = c_custkey",
     "requests": "SELECT event_id, ts, user_id AS identifier, event_type AS operation, CAST(1 + event_id % 5 AS BIGINT) AS cost FROM events",
     "variants": "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE CAST(p_partkey / 2 AS BIGINT) + (p_partkey * 7) % 400 END AS parent_id FROM part WHERE p_size > 10",
@@ -354,11 +355,22 @@ def _(nation, customer, supplier):
     return missing.unionByName(s.select("k").subtract(c.filter("c_custkey < 20").select("k")).withColumn("side", F.lit("unexpected")))
 
 
-@query("prj_14_cost_fields", "costs", sql="""SELECT slug, kind, CASE WHEN n = d THEN 'disclosed' ELSE first_open END AS status, label, CASE WHEN label = 'scalar' THEN first_amount END AS amount FROM (SELECT *, CASE WHEN n <> d THEN NULL WHEN n = 1 AND NOT sc AND NOT co THEN 'scalar' WHEN co THEN 'Conditional' WHEN amounts = 1 THEN 'same' ELSE 'Varies by program/cohort' END AS label FROM (SELECT slug, kind, count(*) AS n, count(*) FILTER (status = 'disclosed') AS d, count(DISTINCT amount) AS amounts, bool_or(conditional) AS co, bool_or(scoped) AS sc, arg_min(amount, record_id) AS first_amount, arg_min(status, record_id) FILTER (status <> 'disclosed') AS first_open FROM costs WHERE requirement <> 'optional' GROUP BY slug, kind))""")
+@query("prj_14_cost_fields", "costs", sql="""SELECT slug, kind, CASE WHEN n = d THEN 'disclosed' ELSE first_open END AS status, label, CASE WHEN label = 'scalar' THEN first_amount END AS amount FROM (SELECT *, CASE WHEN n <> d THEN NULL WHEN n = 1 AND NOT sc AND NOT co THEN 'scalar' WHEN co THEN 'Conditional' WHEN amounts = 1 AND NOT sc THEN 'same' ELSE 'Varies by program/cohort' END AS label FROM (SELECT slug, kind, count(*) AS n, count(*) FILTER (status = 'disclosed') AS d, count(DISTINCT (amount, currency)) AS amounts, bool_or(conditional) AS co, bool_or(scoped) AS sc, arg_min(amount, record_id) AS first_amount, arg_min(status, record_id) FILTER (status <> 'disclosed') AS first_open FROM costs WHERE requirement <> 'optional' GROUP BY slug, kind))""")
 def _(costs):
     return O.project_costs(costs)
 
 
+@query("prj_14_four_fields", "fee_records", sql="""+ m AS (SELECT *, CASE WHEN kind IN ('materials', 'other') THEN 'other_mandatory_costs' ELSE kind END AS field_id FROM fee_records WHERE requirement <> 'optional' AND kind <> 'travel'),
+w AS (SELECT * FROM m QUALIFY kind = max(kind) OVER (PARTITION BY slug, field_id)),
+g AS (SELECT slug, field_id, max(kind) AS kind, count(*) AS n, count(*) FILTER (status = 'disclosed') AS d, bool_or(requirement = 'conditional') AS co, bool_or(scoped) AS sc, count(DISTINCT concat_ws('|', coalesce(amount, -1), coalesce(minimum, -1), coalesce(maximum, -1), currency)) FILTER (status = 'disclosed') AS u, list(amount ORDER BY position)[1] AS a, arg_min(display, position) AS t, string_agg(label || ': ' || display, '; ' ORDER BY position) AS every, arg_min(status, position) FILTER (status <> 'disclosed') AS os, (list(note ORDER BY position) FILTER (status <> 'disclosed'))[1] AS onote FROM w GROUP BY slug, field_id)
+SELECT slug, field_id, kind, CASE WHEN n = d THEN 'disclosed' ELSE os END AS status, CASE WHEN n = 1 AND d = 1 AND NOT sc AND NOT co THEN a END AS amount,
+CASE WHEN n > d THEN NULL WHEN n = 1 AND NOT sc AND NOT co THEN t WHEN co THEN 'Conditional — see cost details' WHEN u = 1 AND NOT sc THEN t WHEN NOT sc AND kind = 'application_fee' THEN 'Multiple application fees — see cost details' ELSE 'Varies by program/cohort' END AS display,
+CASE WHEN n = 1 AND d = 1 AND NOT sc AND NOT co THEN NULL WHEN n = d THEN every WHEN os = 'conflicting' THEN 'Reviewed sources support different amounts for this structured cost; no value was selected.' ELSE onote END AS note,
+'costs.' || kind || CASE WHEN n = 1 AND d = 1 AND NOT sc AND NOT co THEN '' WHEN n = d THEN '-matrix' WHEN os = 'conflicting' THEN '-conflicting' ELSE '-unresolved' END AS rule FROM g""")
+def _(records):
+    return O.project_cost_fields(records)
+
+
 @query("prj_15_total_cost", "costs", sql="""SELECT slug, rule, CASE WHEN rule = 'sum' THEN round(total, 2) END AS total FROM (SELECT *, CASE WHEN first_open IS NOT NULL THEN 'open:' || first_open WHEN NOT complete THEN 'incomplete' WHEN co THEN 'conditional' WHEN sc THEN 'scoped' WHEN currencies = 1 AND mapped AND kinds = n THEN 'sum' ELSE 'incompatible' END AS rule FROM (SELECT slug, arg_min(status, record_id) FILTER (status <> 'disclosed') AS first_open, bool_and(complete) AS complete, bool_or(conditional) AS co, bool_or(scoped) AS sc, count(DISTINCT currency) AS currencies, bool_and(kind <> 'Brand#11') AS mapped, count(DISTINCT kind) AS kinds, count(*) AS n, sum(amount) AS total FROM costs WHERE requirement <> 'optional' AND NOT credited GROUP BY slug))""")
 def _(costs):
     return O.project_total(costs, [f"Brand#{i}" for i in range(100) if i != 11])

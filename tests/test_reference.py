@@ -217,3 +217,24 @@ def test_out_of_sample_totals(spark):
 def test_salvage_has_no_limit(spark):
     chain = spark.createDataFrame([("a", k, k - 1 if k else None) for k in range(12)] + [("b", 1, 0)], "slug string, id int, needs int")
     assert sorted(r.id for r in library.salvaged(chain).filter("slug = 'a'").collect()) == list(range(12)) and library.salvaged(chain).filter("slug = 'b'").isEmpty()
+
+
+def test_cost_fields(spark):
+    """Tiers scoped to programs vary; equal amounts of other currencies aren't one price; the later kind writes the shared field."""
+    schema = "slug string, position int, kind string, label string, requirement string, status string, scoped boolean, amount double, minimum double, maximum double, currency string, display string, note string"
+    cost = lambda slug, n, kind, amount, scoped=False, currency="USD", requirement="required", status="disclosed", low=None, high=None: (slug, n, kind, f"c{n}", requirement, status, scoped, amount, low, high, currency, f"{currency} {amount or low}", None)
+    rows = [
+        cost("tiers", 1, "tuition", 3000.0, True), cost("tiers", 2, "tuition", 6000.0, True), cost("scoped_equal", 1, "tuition", 5.0, True), cost("scoped_equal", 2, "tuition", 5.0),
+        cost("currencies", 1, "application_fee", 5.0), cost("currencies", 2, "application_fee", 5.0, currency="EUR"), cost("equal", 1, "deposit", 5.0), cost("equal", 2, "deposit", 5.0),
+        cost("range", 1, "tuition", None, low=1.0, high=2.0), cost("later", 1, "other", 7.0), cost("later", 2, "materials", 9.0), cost("skip", 1, "tuition", 7.0, requirement="optional"), cost("skip", 2, "travel", 7.0),
+        cost("open", 1, "tuition", 1.0), cost("open", 2, "tuition", None, status="conflicting"), cost("if", 1, "deposit", 2.0, requirement="conditional"),
+    ]
+    got = {r.slug: (r.field_id, r.status, r.amount, r.display, r.rule) for r in O.project_cost_fields(spark.createDataFrame(rows, schema)).collect()}
+    varies = "Varies by program/cohort"
+    assert got == {
+        "tiers": ("tuition", "disclosed", None, varies, "costs.tuition-matrix"), "scoped_equal": ("tuition", "disclosed", None, varies, "costs.tuition-matrix"),
+        "currencies": ("application_fee", "disclosed", None, "Multiple application fees — see cost details", "costs.application_fee-matrix"), "equal": ("deposit", "disclosed", None, "USD 5.0", "costs.deposit-matrix"),
+        "range": ("tuition", "disclosed", None, "USD 1.0", "costs.tuition"), "later": ("other_mandatory_costs", "disclosed", 7.0, "USD 7.0", "costs.other"),
+        "open": ("tuition", "conflicting", None, None, "costs.tuition-conflicting"), "if": ("deposit", "disclosed", None, "Conditional — see cost details", "costs.deposit-matrix"),
+    }
+    assert O.project_cost_fields(spark.createDataFrame([], schema)).count() == 0

@@ -21,8 +21,13 @@ def nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+def compatible(x: Column) -> Column:
+    """Compatibility forms as plain characters; texts of ASCII alone stay in the JVM."""
+    return F.coalesce(nfkc(F.when(x.rlike(r"[^\x00-\x7f]"), x)), x)
+
+
 def normalize_whitespace(x: Column) -> Column:
-    """Straight quotes and hyphens, single spaces, trimmed; compose with ``nfkc`` for compatibility forms."""
+    """Straight quotes and hyphens, single spaces, trimmed; compose with ``compatible`` for compatibility forms."""
     return F.trim(F.regexp_replace(F.translate(x, "‘’“”–—", "''\"\"--"), r"(?U)\s+", " "))
 
 

@@ -115,9 +115,19 @@ def read_page(url: str, html: str) -> tuple[str, list[dict], list[dict]]:
 PAGE_SCHEMA = "page_id string, url string, title string, blocks array<struct<kind: string, heading_level: int, text: string>>, links array<struct<document_order: int, url: string, text: string, same_origin: boolean>>"
 
 
-def parse_pages(pages: DataFrame, most_bytes: int = 1_500_000) -> DataFrame:
-    """One row for each page with html of at most ``most_bytes``: its id, title, blocks and links."""
-    chosen = pages.filter(F.octet_length("html") <= most_bytes).select(T.canonical_url(F.col("url")).alias("url"), "html").withColumn("page_id", T.stable_page_id(F.col("url")))
+MOST_BYTES = 1_500_000
+
+
+def page_status(pages: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """``(page_id, url, n_bytes, status)`` of every page: ``no_url``, ``no_html`` or ``too_large``, else ``read`` by ``parse_pages``."""
+    url, n = T.canonical_url(F.col("url")), F.octet_length("html")
+    status = F.when(url.isNull(), "no_url").when(n.isNull(), "no_html").when(n > most_bytes, "too_large").otherwise("read")
+    return pages.select(T.stable_page_id(url).alias("page_id"), url.alias("url"), n.cast("long").alias("n_bytes"), status.alias("status"))
+
+
+def parse_pages(pages: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """One row for each page that ``page_status`` calls ``read``: its id, title, blocks and links."""
+    chosen = pages.filter((F.octet_length("html") <= most_bytes) & F.col("url").isNotNull()).select(T.canonical_url(F.col("url")).alias("url"), "html").withColumn("page_id", T.stable_page_id(F.col("url")))
 
     def run(frames):
         import pandas as pd

@@ -94,6 +94,12 @@ def _(pages):
     return pages.select("page_id", url.alias("url"), T.stable_page_id(url).alias("stable_id"))
 
 
+@query("src_07_page_status", "pages", sql=rf"""SELECT 'page-' || substr(sha256({_CANON}), 1, 16) AS page_id, {_CANON} AS url, strlen(html) AS n_bytes, CASE WHEN b IS NULL THEN 'no_url' WHEN html IS NULL THEN 'no_html' WHEN strlen(html) > 1500000 THEN 'too_large' ELSE 'read' END AS status
+FROM (SELECT *, list_filter(CASE WHEN contains(b, '?') THEN string_split(regexp_replace(b, '^[^?]*\?', ''), '&') ELSE [] END, lambda p: p <> '' AND NOT regexp_matches(p, '(?i)^(utm_[^=&]*|{'|'.join(T.TRACKING_KEYS)})(=|$)')) AS q FROM (SELECT html, regexp_replace(url, '#.*$', '') AS b FROM pages))""")
+def _(pages):
+    return html.page_status(pages)
+
+
 @query("fn_14_fingerprint", "documents", sql=r"SELECT doc_id, sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS fingerprint FROM documents")
 def _(docs):
     return docs.select("doc_id", T.text_fingerprint(F.col("text")).alias("fingerprint"))
@@ -112,6 +118,7 @@ def _(docs, items):
     or two words have none, and are tried on every text.
     """
     words = lambda c: F.split(F.lower(T.normalize_whitespace(F.col(c))), " ")
+    docs, items = (x.withColumn("text", T.compatible(F.col("text"))) for x in (docs, items))
     items = items.select("item_id", F.col("text").alias("excerpt"), words("text").alias("own")).withColumn("n", F.size("own"))
     tokens = docs.select("doc_id", words("text").alias("w"))
     texts = docs.select("doc_id", "text")
@@ -385,7 +392,8 @@ def _(docs, _items):
     facts = docs.select(F.col("doc_id").alias("slug"), F.lit(1).alias("field_id"), F.when(F.col("doc_id") % 3 == 0, "disclosed").when(F.col("doc_id") % 3 == 1, "conflicting").otherwise("not_found").alias("status"))
     cut = F.when((F.col("doc_id") + F.col("candidate")) % 4 == 0, "never in a text").otherwise(F.substring("text", 5 * F.col("candidate"), F.lit(20)))
     evidence = docs.select("doc_id", "text", F.explode(F.array(F.lit(1), F.lit(2))).alias("candidate")).select(F.col("doc_id").alias("slug"), F.lit(1).alias("field_id"), "candidate", F.col("doc_id").alias("source_id"), cut.alias("excerpt"))
-    texts = docs.select(F.col("doc_id").alias("source_id"), "text")
+    evidence = evidence.withColumn("excerpt", T.compatible(F.col("excerpt")))
+    texts = docs.select(F.col("doc_id").alias("source_id"), T.compatible(F.col("text")).alias("text"))
     return O.validate_evidence(facts, evidence, texts, T.excerpt_in(F.col("text"), F.col("excerpt")))
 
 

@@ -29,30 +29,47 @@ def running_spend(events: DataFrame) -> DataFrame:
     return inner.join(before, "day").select("event_id", "day_spend", (F.col("before") + F.col("day_spend")).alias("total_spend"))
 
 
-def admit(events: DataFrame, seconds: int, limit: int, lease: int, slots: int, budget: int) -> DataFrame:
-    """STA-04: RATE, then BUSY, then BUDGET, else OK, for each ``identifier``; a rejected request consumes nothing."""
-
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        counts: dict[int, int] = {}
-        leases: list[int] = []
-        spent, out = 0, []
-        for ts, cost in zip(pdf.sort_values(["second", "event_id"]).second, pdf.sort_values(["second", "event_id"]).cost, strict=True):
-            leases = [x for x in leases if x > ts]
-            bucket = ts // seconds
-            if counts.get(bucket, 0) >= limit:
-                out.append("RATE")
-            elif len(leases) >= slots:
-                out.append("BUSY")
-            elif spent + cost > budget:
-                out.append("BUDGET")
-            else:
-                counts[bucket] = counts.get(bucket, 0) + 1
-                leases.append(ts + lease)
-                spent += cost
-                out.append("OK")
-        return pdf.sort_values(["second", "event_id"]).assign(decision=out)[["event_id", "decision"]]
-
-    return events.withColumn("second", F.unix_timestamp("ts")).select("identifier", "event_id", "second", "cost").groupBy("identifier").applyInPandas(decide, "event_id long, decision string")
+def admit(events: DataFrame, seconds: int, limit: int, lease: int, slots: int, budget: int, daily: int | None = None) -> DataFrame:
+    """STA-04: RATE, then BUSY, then BUDGET, else OK, for each ``identifier``; a rejected request consumes nothing.
+
+    ``events``: ``(identifier, event_id, ts, cost)``; with ``operation`` rates count by it as well, with ``weight`` a request
+    takes that many slots (else one). Spend is held against ``budget`` over all days and ``daily`` within one. Null
+    identifiers are one; null costs are 0; null times come first, as second 0.
+
+    Each decision needs all before it, so an identifier's rows pass through one task in order, a batch at a time; a task
+    holds the state of one identifier: counts of the present window, at most ``slots`` leases and two sums.
+    """
+    given = lambda name, default: F.coalesce(F.col(name), F.lit(default)) if name in events.columns else F.lit(default)
+    key = F.coalesce(F.concat(F.lit("="), F.col("identifier").cast("string")), F.lit(""))
+    rows = events.select(key.alias("key"), "event_id", F.coalesce(F.unix_timestamp("ts"), F.lit(0)).alias("second"), F.coalesce("cost", F.lit(0)).alias("cost"), given("operation", "").alias("operation"), given("weight", 1).cast("long").alias("weight"))
+    ordered = rows.repartition("key").sortWithinPartitions("key", "second", "event_id")
+
+    def run(frames):
+        key = None
+        for pdf in frames:
+            out = []
+            for k, ts, cost, operation, weight in zip(pdf.key, pdf.second, pdf.cost, pdf.operation, pdf.weight, strict=True):
+                if k != key:
+                    key, counts, leases, spent, today, window, day = k, {}, [], 0, 0, None, None
+                if ts // seconds != window:
+                    counts, window = {}, ts // seconds
+                if ts // 86_400 != day:
+                    today, day = 0, ts // 86_400
+                leases = [x for x in leases if x[0] > ts]
+                if counts.get(operation, 0) >= limit:
+                    out.append("RATE")
+                elif sum(w for _, w in leases) + weight > slots:
+                    out.append("BUSY")
+                elif spent + cost > budget or (daily is not None and today + cost > daily):
+                    out.append("BUDGET")
+                else:
+                    counts[operation] = counts.get(operation, 0) + 1
+                    leases.append((ts + lease, weight))
+                    spent, today = spent + cost, today + cost
+                    out.append("OK")
+            yield pd.DataFrame({"event_id": pdf.event_id, "decision": out})
+
+    return ordered.mapInPandas(run, "event_id long, decision string")
 
 
 def concurrent(events: DataFrame, lease: int) -> DataFrame:

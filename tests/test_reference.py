@@ -2,6 +2,7 @@
 
 import hmac
 import math
+import random
 
 import duckdb
 import pytest
@@ -124,6 +125,42 @@ def test_admission_order(spark):
     assert got == {0: "OK", 1: "OK", 2: "BUSY", 400: "BUDGET", 401: "OK", 402: "RATE"}
 
 
+def test_admission_state_across_batches(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), k, rng.randrange(200_000), rng.randrange(1, 9), rng.choice("xy"), rng.choice([1, 1, 2])) for k in range(400)]
+    events = spark.createDataFrame(rows, "identifier string, event_id long, s long, cost long, operation string, weight int").withColumn("ts", F.timestamp_seconds("s"))
+    want, admitted = {}, []
+    for who, k, s, cost, operation, weight in sorted(rows, key=lambda r: (r[2], r[1])):
+        mine = [r for r in admitted if r[0] == who]
+        rate = sum(r[2] // 3600 == s // 3600 and r[4] == operation for r in mine)
+        busy = sum(r[5] for r in mine if r[2] + 900 > s)
+        today, total = sum(r[3] for r in mine if r[2] // 86_400 == s // 86_400), sum(r[3] for r in mine)
+        want[k] = "RATE" if rate >= 2 else "BUSY" if busy + weight > 2 else "BUDGET" if total + cost > 300 or today + cost > 150 else "OK"
+        if want[k] == "OK":
+            admitted.append((who, k, s, cost, operation, weight))
+    assert {"RATE", "BUSY", "BUDGET", "OK"} == set(want.values())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert {r.event_id: r.decision for r in admission.admit(events, 3600, 2, 900, 2, 300, 150).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert admission.admit(events.limit(0), 3600, 2, 900, 2, 300).count() == 0
+
+
+def test_page_status(spark):
+    pages = spark.createDataFrame([(1, "https://e.org/1", "<p>x"), (2, "https://e.org/2", None), (3, None, "<p>x"), (4, "https://e.org/4", "<p>" + "x" * 100)], "page_id long, url string, html string")
+    assert [r.status for r in html.page_status(pages, 50).collect()] == ["read", "no_html", "no_url", "too_large"]
+    assert [r.url for r in html.parse_pages(pages, 50).collect()] == ["https://e.org/1"]
+
+
+def test_compatible_excerpts(spark, tmp_path):
+    texts, items = [(1, "The ﬁnal round of ２０２７ pays ＄５００ each"), (2, "plain")], ["the final round of 2027 pays", "$500 each", "pays $50", "ﬁnal round ｏｆ", "pláin"]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = registry.queries()["jn_08_containment"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == [(0, 1), (1, 1), (2, 1), (3, 1)]
+
+
 def test_streaming_counts(spark, tmp_path):
     path = f"{SF}/events.parquet"
     schema = spark.read.parquet(path).schema

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import ann, exact_dedup, language_id, license_scan, mixing, packing, simhash, substring_dedup, token_counts, token_store
+from claimloom.llm import ann, exact_dedup, language_id, lexical, license_scan, mixing, packing, simhash, spelling, substring_dedup, token_counts, token_store, topk
 from claimloom.llm.common import scratch_path
 
 
@@ -61,8 +61,27 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def _planted_spelling(doc_id, run):
+    """The contract's word: of one run in 199, by document and run, one letter is missing."""
+    h = F.crc32(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), run).cast("binary"))
+    place = F.pmod(h, F.length(run).cast("long")).cast("int")
+    return F.when(h % 199 == 0, F.concat(F.substr(run, F.lit(1), place), F.substr(run, place + 2))).otherwise(run)
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"), spelt=_planted_spelling)
+
+
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
 def queries() -> dict:
-    named = (op1_language_id, op2_nearest_neighbours, op3_token_counts, op4_token_store, op5_substring_dedup, op6_license_scan, op7_best_fit_packing, op8_source_mixing, op9_exact_dedup, op10_simhash_groups)
+    named = (op1_language_id, op2_nearest_neighbours, op3_token_counts, op4_token_store, op5_substring_dedup, op6_license_scan, op7_best_fit_packing, op8_source_mixing, op9_exact_dedup, op10_simhash_groups, op11_spelling_variants, op12_exact_top_k, op13_ranked_search)
     return {f.__name__: f for f in named}
 
 
@@ -124,5 +143,30 @@ FROM documents d LEFT JOIN p ON d.doc_id = p.doc_id LEFT JOIN m ON d.doc_id = m.
 """
 
 
+OP12_SQL = """
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+           FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+     r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+OP13_SQL = r"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+     p AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM w GROUP BY doc_id, term),
+     d AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM p GROUP BY doc_id),
+     c AS (SELECT count(*)::BIGINT AS nn, sum(n)::BIGINT AS ll FROM d),
+     m AS (SELECT doc_id, 25 + (75 * n * nn) // ll AS m FROM d, c),
+     f AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, c GROUP BY term, nn),
+     b AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+     q AS (SELECT item_id, term, count(*)::BIGINT AS times FROM b GROUP BY item_id, term),
+     s AS (SELECT item_id, p.doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+           FROM q JOIN p USING (term) JOIN f USING (term) JOIN m ON p.doc_id = m.doc_id GROUP BY item_id, p.doc_id),
+     r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_substring_dedup": OP5_SQL, "op6_license_scan": _license_sql(), "op8_source_mixing": OP8_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op5_substring_dedup": OP5_SQL, "op6_license_scan": _license_sql(), "op8_source_mixing": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op12_exact_top_k": OP12_SQL, "op13_ranked_search": OP13_SQL}

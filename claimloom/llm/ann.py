@@ -12,15 +12,15 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import materialise
+from claimloom.llm.common import materialise, splitmix
 
 #: Vectors that the codebooks are fitted on, at most, drawn by a hash of the id; the bound doesn't grow.
 SAMPLE = 16_384
 BOOKS, WORDS, BEAM, ROUNDS = 24, 64, 8, 2
-#: Distinct vectors of each query that are scored exactly; queries and codes in a block.
-SHORTLIST, QUERY_BLOCK, CODE_BLOCK = 300, 1024, 4096
-#: Codes that one task holds, about (2.4 MB); tasks at least, if they have a thousand codes each.
-TASK_CODES, LEAST_TASKS = 65_536, 8
+#: Distinct vectors of each query that are scored exactly; queries in a block, and at once; codes in a block.
+SHORTLIST, QUERY_BLOCK, QUERY_SLICE, CODE_BLOCK = 300, 4096, 1024, 4096
+#: Streams that the codes are dealt to for each query block, so a query has so many shortlists at any size.
+PARTS = 8
 
 
 def _kmeans(x: np.ndarray, k: int, rng, steps: int = 8) -> np.ndarray:
@@ -93,47 +93,69 @@ def valid_vectors(table: DataFrame, id_col: str, vector_col: str) -> tuple[DataF
 
 
 def _encode_blocks(books: np.ndarray):
+    """``(rep, vector)`` rows -> blocks of codes; rows are dealt to parts by id, so every part has its share of any batch."""
+
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             for lo in range(0, batch.num_rows, CODE_BLOCK):
-                part = batch.slice(lo, CODE_BLOCK)
-                x = _matrix(part.column(1))
+                cut = batch.slice(lo, CODE_BLOCK)
+                x = _matrix(cut.column(1))
                 x /= np.sqrt((x * x).sum(1))[:, None]
                 codes = encode(x, books)
                 built = books[np.arange(books.shape[0]), codes].sum(1)
                 norms = np.sqrt((built * built).sum(1)).astype(np.float32)
-                ids = part.column(0).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array([int(ids.min())]), pa.array([ids.tobytes()], pa.binary()), pa.array([codes.astype(np.uint8).tobytes()], pa.binary()), pa.array([norms.tobytes()], pa.binary())], ["at", "ids", "codes", "norms"])
+                ids = cut.column(0).to_numpy()
+                part = (splitmix(ids.view(np.uint64)) % np.uint64(PARTS)).astype(np.int64)
+                for p in np.unique(part):
+                    own = part == p
+                    parts = [pa.array([p], pa.int32()), pa.array([int(ids[own].min())]), *(pa.array([x[own].tobytes()], pa.binary()) for x in (ids, codes.astype(np.uint8), norms))]
+                    yield pa.RecordBatch.from_arrays(parts, ["part", "at", "ids", "codes", "norms"])
 
     return run
 
 
 def _score_blocks(books: np.ndarray, shortlist: int):
-    """A block of queries and a task's codes -> the best ``shortlist`` codes of each query, once for the whole task."""
+    """Query blocks, each followed by a part's codes block by block -> the best ``shortlist`` codes of each query, once a part."""
     flat = books.reshape(books.shape[0] * books.shape[1], -1)
 
     def run(batches):
         import pyarrow as pa
 
+        q_ids, vectors, best = None, None, []
+
+        def add(ids, codes, norms):
+            places = codes.astype(np.int64) + np.arange(codes.shape[1]) * books.shape[1]
+            for i, lo in enumerate(range(0, len(q_ids), QUERY_SLICE)):
+                table = (vectors[lo : lo + QUERY_SLICE] @ flat.T).astype(np.float32)
+                scores = np.zeros((len(table), len(ids)), np.float32)
+                for m in range(codes.shape[1]):
+                    scores += table[:, places[:, m]]
+                scores /= np.maximum(norms, np.float32(1e-12))
+                near, reps = best[i] if i < len(best) else (np.zeros((len(table), 0), np.float32), np.zeros((len(table), 0), np.int64))
+                near, reps = np.concatenate([near, scores], 1), np.concatenate([reps, np.broadcast_to(ids, scores.shape)], 1)
+                if near.shape[1] > shortlist:
+                    top = np.argpartition(-near, shortlist - 1, 1)[:, :shortlist]
+                    near, reps = np.take_along_axis(near, top, 1), np.take_along_axis(reps, top, 1)
+                best[i : i + 1] = [(near, reps)]
+
+        def done():
+            for i, (near, reps) in enumerate(best):
+                own = q_ids[i * QUERY_SLICE : (i + 1) * QUERY_SLICE]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, near.shape[1])), pa.array(reps.reshape(-1)), pa.array(near.reshape(-1))], ["query_id", "rep", "near"])
+
         for batch in batches:
-            for k in range(batch.num_rows):
-                q_ids = np.frombuffer(batch.column("q_ids")[k].as_py(), np.int64)
-                table = (np.frombuffer(batch.column("q_vectors")[k].as_py(), np.float64).reshape(len(q_ids), -1) @ flat.T).astype(np.float32)
-                best, best_ids = np.zeros((len(q_ids), 0), np.float32), np.zeros((len(q_ids), 0), np.int64)
-                for block in batch.column("blocks")[k].as_py():  # ascending, so ties fall the same way in a rerun
-                    ids = np.frombuffer(block["ids"], np.int64)
-                    codes = np.frombuffer(block["codes"], np.uint8).reshape(len(ids), -1)
-                    scores = np.zeros((len(q_ids), len(ids)), np.float32)
-                    for m in range(codes.shape[1]):
-                        scores += table[:, codes[:, m].astype(np.int64) + m * books.shape[1]]
-                    scores /= np.maximum(np.frombuffer(block["norms"], np.float32), np.float32(1e-12))
-                    best, best_ids = np.concatenate([best, scores], 1), np.concatenate([best_ids, np.broadcast_to(ids, scores.shape)], 1)
-                    if best.shape[1] > shortlist:
-                        top = np.argpartition(-best, shortlist - 1, 1)[:, :shortlist]
-                        best, best_ids = np.take_along_axis(best, top, 1), np.take_along_axis(best_ids, top, 1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, best.shape[1])), pa.array(best_ids.reshape(-1)), pa.array(best.reshape(-1))], ["query_id", "rep", "near"])
+            for i in range(batch.num_rows):
+                row = {name: batch.column(name)[i].as_py() for name in ("at", "ids", "vectors", "codes", "norms")}
+                if row["at"] is None:
+                    yield from done()
+                    q_ids, best = np.frombuffer(row["ids"], np.int64), []
+                    vectors = np.frombuffer(row["vectors"], np.float64).reshape(len(q_ids), -1)
+                else:
+                    ids = np.frombuffer(row["ids"], np.int64)
+                    add(ids, np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1), np.frombuffer(row["norms"], np.float32))
+        yield from done()
 
     return run
 
@@ -146,8 +168,9 @@ def search(table: DataFrame, is_query, k: int = 5, shortlist: int = SHORTLIST, i
     smallest ids, so thousands of copies neither crowd a shortlist nor meet in one task; a repeated id with
     the same vector counts once. Ties go to the smaller id. Fewer candidates than k: all of them.
 
-    Codes (M bytes and a norm for each vector) are dealt to tasks of about ``TASK_CODES``; every task's codes
-    meet every block of queries once, on an explicit number, and one shortlist a query leaves the task.
+    Codes (M bytes and a norm for each vector) are computed once. Each block of queries meets them in ``PARTS``
+    streams that hold one block of codes at a time; one shortlist a query leaves a stream, so the shortlists
+    of a query are of the same size however many vectors there are. Further columns are ignored.
     """
     spark = table.sparkSession
     rows, d = valid_vectors(table, id_col, vector_col)
@@ -167,29 +190,28 @@ def search(table: DataFrame, is_query, k: int = 5, shortlist: int = SHORTLIST, i
 
     queries = materialise(rows.filter(is_query).dropDuplicates(["vec_id", "vector"]), "queries")
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    tasks = max(-(-n // TASK_CODES), min(LEAST_TASKS, -(-n // 1024)))
 
     def query_blocks(batches):
         import pyarrow as pa
 
-        ids, vectors = [], []
+        ids, vectors, q = [], [], 0
         for batch in batches:
+            q = batch.column(0)[0].as_py() if batch.num_rows else q
             ids.append(batch.column(1).to_numpy())
             vectors.append(_matrix(batch.column(2)))
-        if ids:
+        if sum(map(len, ids)):
             all_ids, all_vectors = np.concatenate(ids), np.concatenate(vectors)
             all_vectors = all_vectors / np.sqrt((all_vectors * all_vectors).sum(1))[:, None]
-            yield pa.RecordBatch.from_arrays([pa.array([all_ids.tobytes()], pa.binary()), pa.array([all_vectors.tobytes()], pa.binary())], ["q_ids", "q_vectors"])
+            yield pa.RecordBatch.from_arrays([pa.array([q], pa.int32()), pa.array([all_ids.tobytes()], pa.binary()), pa.array([all_vectors.tobytes()], pa.binary())], ["q", "ids", "vectors"])
 
     q_block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
-    by_block = queries.select(q_block.alias("q"), "vec_id", "vector").repartitionById(blocks, F.col("q")).mapInArrow(query_blocks, "q_ids binary, q_vectors binary")
-    each = F.array(*map(F.lit, range(tasks)))
-    asked = by_block.withColumn("q", F.xxhash64("q_ids")).withColumn("task", F.explode(each))
-    dealt = classes.select("rep", "vector").repartitionById(tasks, F.pmod(F.xxhash64("rep"), F.lit(tasks)).cast("int"))
-    codes = dealt.mapInArrow(_encode_blocks(books), "at long, ids binary, codes binary, norms binary").withColumn("task", F.spark_partition_id() % tasks)
-    held = codes.groupBy("task").agg(F.sort_array(F.collect_list(F.struct("at", "ids", "codes", "norms"))).alias("blocks"))
-    met = asked.hint("shuffle_hash").join(held, "task")
-    short = met.select("q_ids", "q_vectors", "blocks").mapInArrow(_score_blocks(books, shortlist), "query_id long, rep long, near float")
+    by_block = queries.select(q_block.alias("q"), "vec_id", "vector").repartitionById(blocks, F.col("q")).mapInArrow(query_blocks, "q int, ids binary, vectors binary")
+    codes = materialise(classes.select("rep", "vector").mapInArrow(_encode_blocks(books), "part int, at long, ids binary, codes binary, norms binary"), "codes")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = by_block.withColumn("part", every(PARTS))
+    offered = codes.withColumn("q", every(blocks))
+    met = asked.unionByName(offered, allowMissingColumns=True).repartition("q", "part").sortWithinPartitions("q", "part", F.asc_nulls_first("at"))
+    short = met.select("at", "ids", "vectors", "codes", "norms").mapInArrow(_score_blocks(books, shortlist), "query_id long, rep long, near float")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "rep"))
     short = short.withColumn("place", best).filter(F.col("place") <= shortlist).select("query_id", "rep")
 

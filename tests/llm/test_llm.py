@@ -500,3 +500,30 @@ def test_pipeline_on_the_smallest_scale(spark):
         docs = stage(spark, docs, SF)
     want = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     check_packing(want, cp.run(spark, SF).collect())
+
+
+def test_shortlists_are_bounded_at_any_size(spark):
+    """A query gets PARTS shortlists whatever the vectors, and recall over all of them holds."""
+    rng = np.random.default_rng(3)
+    found = {}
+    for n in (9000, 27000):
+        x = rng.normal(size=(n, 16)).astype(np.float32)
+        frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+        got = defaultdict(set)
+        for r in ann.search(frame, F.col("vec_id") % 900 == 0).collect():
+            got[r.query_id].add(r.vec_id)
+        unit = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float64)
+        hits = sum(len(got[q] & set(np.argsort(-np.where(np.arange(n) == q, -2, unit @ unit[q]))[:5].tolist())) for q in range(0, n, 900))
+        found[n] = hits / (5 * len(range(0, n, 900)))
+    assert min(found.values()) >= 0.9
+    books = ann.fit_books(unit[:500], 4, 16)
+    import pyarrow as pa
+
+    table = pa.table({"rep": np.arange(n), "vector": [v.tolist() for v in unit]})
+    blocks = list(ann._encode_blocks(books)(table.to_batches(max_chunksize=10_000)))
+    state = pa.table({"at": pa.array([None], pa.int64()), "ids": [np.arange(3).tobytes()], "vectors": [unit[:3].tobytes()], "codes": pa.array([None], pa.binary()), "norms": pa.array([None], pa.binary())})
+    streams = defaultdict(list)
+    for b in blocks:
+        streams[b.column("part")[0].as_py()].append(pa.table({"at": b.column("at"), "ids": b.column("ids"), "vectors": pa.array([None], pa.binary()), "codes": b.column("codes"), "norms": b.column("norms")}))
+    sent = [r.num_rows for own in streams.values() for r in ann._score_blocks(books, 50)(pa.concat_tables([state, *own]).to_batches())]
+    assert len(streams) == ann.PARTS and sum(sent) == ann.PARTS * 3 * 50

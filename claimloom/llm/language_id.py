@@ -38,17 +38,18 @@ SCRIPT_STARTS = [
     (0xFF00, "latin"), (0xFF60, "kana"), (0xFFA0, "hangul"), (0xFFE0, "other"), (0x20000, "han"), (0x32000, "other"),
 ]
 SCRIPTS = sorted({name for _, name in SCRIPT_STARTS})
+MARK = 128
 _luts: list[np.ndarray] = []
 
 
 def _letters() -> np.ndarray:
-    """For every code point: 1 + the number of its script if it is a letter or a mark, else 0."""
+    """For every code point: 1 + the number of its script if it is a letter or a mark, else 0; of marks ``MARK`` more."""
     if not _luts:
         starts = [s for s, _ in SCRIPT_STARTS]
         lut = np.zeros(0x110000, np.uint8)
         for cp in range(0x33480):  # letters end here; the rest is private use and unassigned
             if unicodedata.category(chr(cp))[0] in "LM":
-                lut[cp] = 1 + SCRIPTS.index(SCRIPT_STARTS[bisect.bisect(starts, cp) - 1][1])
+                lut[cp] = 1 + SCRIPTS.index(SCRIPT_STARTS[bisect.bisect(starts, cp) - 1][1]) + MARK * (unicodedata.category(chr(cp))[0] == "M")
         _luts.append(lut)
     return _luts[0]
 
@@ -57,8 +58,8 @@ def _scan(texts: list[str]):
     """Code points of lower-cased texts joined by line ends; gram of every place; words as (start, end, text number)."""
     lowered = [t.lower() for t in texts]
     cps = np.frombuffer(("\n".join(lowered) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
-    script = _letters()[cps]
-    letter = script > 0
+    kind = _letters()[cps]
+    script, letter = kind % MARK, kind > 0
     code = np.where(letter, cps, 0).astype(np.uint32)
     one = np.concatenate([np.zeros(1, np.uint32), code[:-1]])
     two = np.where(one == 0, 0, np.concatenate([np.zeros(2, np.uint32), code[:-2]]))
@@ -66,6 +67,9 @@ def _scan(texts: list[str]):
     gram = ((gram ^ (gram >> np.uint32(15))) * np.uint32(668265263)) >> np.uint32(32 - GRAMS.bit_length() + 1)
     edge = np.flatnonzero(np.diff(np.concatenate([[False], letter, [False]]).astype(np.int8)))
     starts, ends = edge[::2], edge[1::2]
+    before = np.concatenate([[0], np.cumsum((kind > 0) & (kind < MARK))])
+    lettered = before[ends] > before[starts]  # marks alone, as in keycaps and emoji, are no word
+    starts, ends = starts[lettered], ends[lettered]
     sizes = np.array([len(t) + 1 for t in lowered], np.int64)
     owner = np.searchsorted(np.cumsum(sizes), starts, "right")
     return gram, script, starts, ends, owner

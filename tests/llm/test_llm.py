@@ -73,6 +73,9 @@ def test_language_id(spark, docs, empty):
     assert [r.lang_pred for r in got] == ["en", "ru", "und", "und", "de", "en"]
     assert got[2].score == 0 and 0 < got[4].score < 1
     assert [s.lang for s in got[4].spans] == ["en", "de"]
+    marks = [(1, "\u2764\ufe0f 12"), (2, "1\ufe0f\u20e3"), (3, "\u0301"), (4, "te\u0301 house"), (5, "the house " * 40_000), (6, "42")]
+    got = language_id.predict(spark.createDataFrame(marks, "doc_id long, text string"), model).collect()
+    assert [(r.lang_pred, r.score > 0) for r in got] == [("und", False)] * 3 + [("en", True)] * 2 + [("und", False)]
     assert language_id.predict(empty, model).count() == 0
     nothing = language_id.predict(docs, language_id.fit(empty))
     assert {r.lang_pred for r in nothing.collect()} == {"und"} and nothing.count() == len(planted())

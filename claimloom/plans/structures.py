@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from claimloom.operators import html
+from claimloom.operators import metadata as M
 from claimloom.operators import passages as P
 from claimloom.operators import structures as R
 from claimloom.plans.carriers import VIEWS, query
@@ -161,3 +163,22 @@ def _(records, refs):
     faulty = records.filter("(slug * 7 + place * 5) % 41 = 0 OR (place = 24 AND slug % 4 = 0)")
     taken, warnings = R.salvage(records, refs.filter("edge <> 'timing' AND slug % 5 > 0"), faulty)
     return taken.withColumn("problem", F.lit(None).cast("string")).unionByName(warnings)
+
+
+#: Pages with JSON-LD about themselves: a graph of questions and a course, behind a comment, a script that quotes one, and a malformed one.
+_GRAPH = """<"@graph":[<"@type":"FAQPage","mainEntity":[<"@type":["Question","Thing"],"name":" Question  ', n, ' ","acceptedAnswer":<"@type":"Answer","text":"Answer at /', n, '">>,<"@type":"Question","name":"QUESTION ', n, '","acceptedAnswer":[<"@type":"Answer","text":7>,<"@type":"Answer","text":"Ask twice">]>]>,<"@type":"Course","name":"Course ', n, '","description":"', CASE WHEN page_id % 5 = 0 THEN repeat('long words ', 5000) ELSE 'Short words' END, '","duration":"P', n, 'W","provider":<"@type":"Organization","name":"School ', n, '">,"offers":[<"@type":"Offer","price":"', n, '0","priceCurrency":"USD">,<"@type":"Offer","price":30,"priceCurrency":"usd">]>,<"@type":"Organization","name":"ask TWICE">]>"""
+VIEWS["ld_pages"] = f"""SELECT page_id, url, replace(html, '</head>', CASE page_id % 3 WHEN 0 THEN '<!-- <script type="application/ld+json">["no"]</script> --></head>' ELSE concat('<!-- ', script, ' --><script>var s = 1;</script>', CASE page_id % 3 WHEN 1 THEN script ELSE concat('<script type=''application/ld+json''>no json</script>', replace(script, '"application/ld+json"', 'application/ld+json id="x"')) END, '</head>') END) AS html
+FROM (SELECT page_id, concat('https://ld.example.org/p', n) AS url, html, concat('<script type="application/ld+json">', translate(concat('{_GRAPH}'), '<>', concat(chr(123), chr(125))), '</script>') AS script FROM (SELECT page_id, CAST(page_id AS STRING) AS n, html FROM pages) AS p) AS q"""
+
+
+@query("txt_03_json_ld", "ld_pages", sql="""+ b AS (SELECT 'page-' || substr(sha256('https://ld.example.org/p' || page_id), 1, 16) AS page_id, page_id % 5 = 0 AS big, page_id::VARCHAR AS n FROM pages WHERE page_id % 3 > 0),
+t AS (SELECT page_id, unnest([{'i': 0, 'kind': 'heading', 'text': 'Question ' || n}, {'i': 1, 'kind': 'paragraph', 'text': 'Answer at /' || n}, {'i': 2, 'kind': 'paragraph', 'text': 'Ask twice'}, {'i': 3, 'kind': 'heading', 'text': 'Course ' || n}, {'i': 4, 'kind': 'paragraph', 'text': CASE WHEN big THEN NULL ELSE 'Short words' END}, {'i': 5, 'kind': 'definition', 'text': 'P' || n || 'W'}, {'i': 6, 'kind': 'definition', 'text': 'School ' || n}, {'i': 7, 'kind': 'definition', 'text': n || '0'}, {'i': 8, 'kind': 'definition', 'text': 'USD'}]) AS x FROM b)
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY x.i) - 1)::INT AS place, x.kind AS kind, x.text AS text FROM t WHERE x.text IS NOT NULL""")
+def _(pages):
+    return M.json_ld_blocks(pages)
+
+
+@query("txt_08_page_text", "ld_pages")
+def _(pages):
+    opened = html.parse_pages(pages).select("page_id", F.posexplode("blocks").alias("block_index", "b")).select("page_id", "block_index", "b.*")
+    return html.cap_characters(M.with_metadata(html.first_prose(opened), M.json_ld_blocks(pages)))

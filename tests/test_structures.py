@@ -1,10 +1,13 @@
 """Literal cases of structured records: counting, evidence, pruning and salvage."""
 
+import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from claimloom.operators import metadata as M
 from claimloom.operators import structures as R
 
 
@@ -113,3 +116,67 @@ def test_faults_of_outcomes_and_relationships(spark):
     ties = [("a", "founders_affiliated_with", "founders"), ("b", "founders_affiliated_with", "opportunity"), ("c", "institution_operated", "staff"), ("d", "unclear", "mentors"), ("e", "mentors_affiliated_with", "staff")]
     got = rows(R.relationship_faults(spark.createDataFrame([(1, *t) for t in ties], "slug long, record_id string, type string, subject string")), "record_id")
     assert [r for (r,) in got] == ["b", "c", "e", "e"]
+
+
+def walk(scripts):
+    """The rule by an explicit stack, for pages of any JSON-LD."""
+    blocks, seen, used = [], set(), 0
+    for script in scripts[:20]:
+        try:
+            stack = [json.loads(script)] if 0 < len(script) <= 250_000 else []
+        except ValueError:
+            continue
+        n = 0
+        while stack and n < M.MOST_NODES:
+            value, n = stack.pop(), n + 1
+            if isinstance(value, list):
+                stack += reversed(value)
+            if not isinstance(value, dict):
+                continue
+            types = value.get("@type")
+            types = [types] if isinstance(types, str) else types if isinstance(types, list) else []
+            for t, key, kind in M.TEXTS:
+                text = value.get(key) if t in types else None
+                text = " ".join(text.split()) if isinstance(text, str) else ""
+                if text and text.lower() not in seen and used + len(text) <= M.MOST_CHARACTERS:
+                    seen.add(text.lower())
+                    used += len(text)
+                    blocks.append((kind, text))
+            children = [value["@graph"]] if isinstance(value.get("@graph"), list) else []
+            stack += reversed(children + [value.get(key) for t, key in M.CHILDREN if t in types])
+    return blocks
+
+
+def test_json_ld_against_a_stack(spark, monkeypatch):
+    rng = random.Random(8)
+
+    def node(depth):
+        kind = rng.random()
+        if depth == 0 or kind < 0.15:
+            return rng.choice([None, 7, "text", True, [], {}])
+        if kind < 0.4:
+            return [node(depth - 1) for _ in range(rng.randrange(4))]
+        types = rng.choice(["Question", "Answer", "Course", "Offer", "Organization", "FAQPage", "Other", ["Question", "FAQPage"], ["Course", 3], None])
+        keys = ["name", "text", "description", "duration", "price", "@graph", "mainEntity", "acceptedAnswer", "provider", "offers", "hidden"]
+        own = {k: (node(depth - 1) if k in keys[5:] else rng.choice(["Alpha", "alpha", " two  words ", "b" * 40, "", 5, None, "c" * 90])) for k in rng.sample(keys, rng.randrange(2, 9))}
+        return {"@type": types, **own} if types else own
+
+    scripts = {i: [rng.choice(["{bad", "", json.dumps(node(5)), json.dumps([node(6), node(6)])]) for _ in range(rng.choice((1, 2, 25)))] for i in range(60)}
+    tag = lambda s: f"<script type=\"application/ld+json\">{s}</script>"
+    rows_ = [(f"https://a.example.org/{i}", f"<head><!-- {tag('[1]')} -->{''.join(map(tag, own))}</head><p>x</p>") for i, own in scripts.items()]
+    pages = spark.createDataFrame([*rows_, ("https://a.example.org/none", "<p>y</p>"), (None, tag("{}")), ("https://a.example.org/null", None)], "url string, html string")
+    for nodes, characters in ((10_000, 50_000), (12, 150)):
+        monkeypatch.setattr(M, "MOST_NODES", nodes)
+        monkeypatch.setattr(M, "MOST_CHARACTERS", characters)
+        got = {}
+        for r in M.json_ld_blocks(pages).orderBy("page_id", "place").collect():
+            got.setdefault(r.page_id, []).append((r.kind, r.text))
+        want = {"page-" + hashlib.sha256(f"https://a.example.org/{i}".encode()).hexdigest()[:16]: walk(own) for i, own in scripts.items()}
+        assert got == {k: v for k, v in want.items() if v}
+    assert M.json_ld_blocks(pages.limit(0)).count() == 0
+
+
+def test_metadata_follows_the_visible_blocks(spark):
+    blocks = spark.createDataFrame([("p", 0, "heading", 1, "Course One"), ("p", 3, "paragraph", None, "Text")], "page_id string, block_index int, kind string, heading_level int, text string")
+    extra = spark.createDataFrame([("p", 0, "heading", "COURSE one"), ("p", 1, "definition", "USD"), ("q", 0, "paragraph", "alone")], "page_id string, place int, kind string, text string")
+    assert rows(M.with_metadata(blocks, extra), "page_id", "block_index", "text") == [("p", 0, "Course One"), ("p", 3, "Text"), ("p", 5, "USD"), ("q", 0, "alone")]

@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import json
+import math
+import re
+import unicodedata
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -65,11 +69,18 @@ def restored_selection(stored: DataFrame, most: int = 3) -> DataFrame:
 
 
 def batch_manifest(urls: DataFrame, canonical: Column, most: int = 5) -> DataFrame:
-    """SRC-12, SET-08: ``(batch, url, place, duplicates)``: each canonical address once, where it first stands, of batches of 1 to 5; ``duplicates``: how many the batch lost."""
-    whole = Window.partitionBy("batch")
-    rows = urls.withColumn("url", canonical).filter(F.col("url").isNotNull()).withColumn("n", F.count("*").over(whole)).filter(F.col("n") <= most)
-    once = rows.groupBy("batch", "url").agg(F.min("place").alias("place"), F.max("n").alias("n"))
-    return once.select("batch", "url", "place", (F.col("n") - F.count("*").over(whole)).alias("duplicates"))
+    """SRC-12, SET-08: ``(batch, url, place, duplicates, problem)``: each canonical address once, where it first stands; ``duplicates``: how many the batch lost.
+
+    A batch is rejected as a whole if it has more than ``most`` addresses or none that is valid: one row without address says why.
+    """
+    valid = urls.withColumn("url", canonical)
+    sizes = valid.groupBy("batch").agg(F.count("url").alias("n"))
+    problem = F.when(F.col("n") > most, "too many addresses").when(F.col("n") == 0, "no address")
+    judged = sizes.withColumn("problem", problem)
+    once = valid.filter("url IS NOT NULL").groupBy("batch", "url").agg(F.min("place").alias("place"))
+    kept = once.join(judged.filter("problem IS NULL").select("batch", "n"), "batch")
+    kept = kept.select("batch", "url", "place", (F.col("n") - F.count("*").over(Window.partitionBy("batch"))).alias("duplicates"))
+    return kept.unionByName(judged.filter("problem IS NOT NULL").select("batch", "problem"), allowMissingColumns=True)
 
 
 def pasted_sources(sources: DataFrame, most: int = 7, characters: int = 80_000, total: int = 400_000) -> DataFrame:
@@ -148,7 +159,8 @@ def unique_match(rows: DataFrame) -> DataFrame:
     own = compact(F.col("quote"))
     loose = F.concat(F.lit(r"(?i)\Q"), F.array_join(F.transform(F.split(F.regexp_replace("quote", r"\s+", ""), ""), lambda ch: ch), r"\E\s*\Q"), F.lit(r"\E"))
     whole = compact(F.col("text"))
-    once = (F.length(own) >= 16) & (F.length(whole) - F.length(F.replace(whole, own, F.lit(""))) == F.length(own))
+    first = F.position(own, whole)
+    once = (F.length(own) >= 16) & (first > 0) & (F.position(own, whole, first + 1) == 0)  # matches may overlap
     return rows.filter(once).select("slug", "block", F.regexp_substr("text", loose).alias("excerpt"))
 
 
@@ -176,26 +188,62 @@ def anonymous_identifier(address: Column, secret: str) -> Column:
     return F.sha2(F.concat(F.lit(bytes(b ^ 0x5C for b in key)), inner), 256)
 
 
+#: Signs in the order of the root collation; digits and letters come after them.
+_SIGNS = "_-,;:!?.'\"()[]{}@*/\\&#%`^+<=>|~$"
+
+
 def _key_order(key: str):
-    """As a reader's dictionary: letters without case first, then lower case before upper; signs before digits before letters."""
-    return [(c.isalpha(), c.isdigit(), c.lower()) for c in key], [c.isupper() for c in key]
+    """As a reader's dictionary: signs, digits, letters; accents count after all letters, and case last, lower first. Not the full Unicode tables."""
+    plain = [(base[0], base[1:], c) for c in key for base in [unicodedata.normalize("NFD", c)]]
+    letters = [(0, _SIGNS.find(c), c) if not c.isalnum() else (1, 0, c) if c.isdigit() else (2, 0, c.lower()) for c, _, _ in plain]
+    return letters, [accent for _, accent, _ in plain], [c.isupper() for c, _, _ in plain]
+
+
+def _is_index(key: str) -> bool:
+    return key.isdecimal() and key.isascii() and str(int(key)) == key and int(key) < 2**32 - 1
 
 
-def _canonical(value):
+def _number(x: float) -> str:
+    """As a browser prints it: a double's shortest digits, plain from 1e-6 to below 1e21; what is no finite double is null."""
+    if x == 0 or not math.isfinite(x):
+        return "0" if x == 0 else "null"
+    _, digits, exponent = Decimal(repr(abs(x))).normalize().as_tuple()
+    text, point, sign = "".join(map(str, digits)), len(digits) + exponent, "-" if x < 0 else ""
+    if 0 < point <= 21:
+        return sign + (text.ljust(point, "0") if exponent >= 0 else f"{text[:point]}.{text[point:]}")
+    if -6 < point <= 0:
+        return f"{sign}0.{'0' * -point}{text}"
+    return f"{sign}{text[0]}{'.' + text[1:] if len(text) > 1 else ''}e{'+' if point > 0 else '-'}{abs(point - 1)}"
+
+
+def _string(text: str) -> str:
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", json.dumps(text, ensure_ascii=False))
+
+
+def _canonical(value) -> str:
+    """Keys that are array indexes come first, by number, as objects list them; the others in a reader's order."""
     if isinstance(value, dict):
-        return {k: _canonical(value[k]) for k in sorted(value, key=_key_order)}
+        indexes = sorted((k for k in value if _is_index(k)), key=int)
+        names = sorted((k for k in value if not _is_index(k)), key=_key_order)
+        return "{" + ",".join(f"{_string(k)}:{_canonical(value[k])}" for k in [*indexes, *names]) + "}"
     if isinstance(value, list):
-        return [_canonical(x) for x in value]
-    return int(value) if isinstance(value, float) and value.is_integer() and abs(value) < 1e21 else value
+        return "[" + ",".join(map(_canonical, value)) + "]"
+    if isinstance(value, bool) or value is None:
+        return {True: "true", False: "false", None: "null"}[value]
+    return _string(value) if isinstance(value, str) else _number(value)
+
+
+def _refuse(token: str):
+    raise ValueError(token)
 
 
 @F.pandas_udf(StringType())
 def canonical_json(texts: pd.Series) -> pd.Series:
-    """FN-12, ORD-08: JSON with keys in a reader's order and whole numbers without a point; null where it isn't JSON."""
+    """FN-12, ORD-08: JSON with keys in a reader's order and numbers as a browser prints them; null where it isn't JSON."""
 
     def one(text):
         try:
-            return None if text is None else json.dumps(_canonical(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
+            return None if text is None else _canonical(json.loads(text, parse_int=float, parse_constant=_refuse))
         except ValueError:
             return None
 

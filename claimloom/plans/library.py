@@ -93,10 +93,15 @@ def _(stored):
     return L.restored_selection(stored)
 
 
-@query("src_12_batch_manifest", "pages", sql="+ k AS (SELECT page_id // 4 AS batch, page_id AS place, lower(url) AS url FROM (SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') AS url FROM pages)), c AS (SELECT batch, url, min(place) AS place, count(*) AS own FROM k GROUP BY ALL) SELECT batch, url, place, (sum(own) OVER (PARTITION BY batch) - count(*) OVER (PARTITION BY batch))::BIGINT AS duplicates FROM c".replace("+ k", "WITH k"))
+@query("src_12_batch_manifest", "pages", sql="""+ k AS (SELECT page_id // 8 * 2 + CASE WHEN page_id % 8 < 3 THEN 0 ELSE 1 END AS batch, page_id AS place, CASE WHEN page_id % 16 > 2 THEN lower(url) END AS url FROM (SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') AS url FROM pages) WHERE page_id % 24 <> 3),
+b AS (SELECT batch, count(url) AS n FROM k GROUP BY batch), c AS (SELECT batch, url, min(place) AS place, count(*) AS own FROM k JOIN b USING (batch) WHERE url IS NOT NULL AND n <= 4 GROUP BY ALL)
+SELECT batch, url, place, (sum(own) OVER (PARTITION BY batch) - count(*) OVER (PARTITION BY batch))::BIGINT AS duplicates, NULL AS problem FROM c
+UNION ALL SELECT batch, NULL, NULL, NULL, CASE WHEN n > 4 THEN 'too many addresses' ELSE 'no address' END FROM b WHERE n > 4 OR n = 0""")
 def _(pages):
-    rows = pages.select(F.expr("page_id DIV 4").alias("batch"), F.col("page_id").alias("place"), "url")
-    return L.batch_manifest(rows, F.lower(F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "[^/]*$", "")))
+    """Batches of up to three and up to five addresses, under a limit of four; every other one of the small ones has none that is valid."""
+    rows = pages.filter("page_id % 24 <> 3").select(F.expr("page_id DIV 8 * 2 + CASE WHEN page_id % 8 < 3 THEN 0 ELSE 1 END").alias("batch"), F.col("page_id").alias("place"), "url")
+    canonical = F.lower(F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "[^/]*$", ""))
+    return L.batch_manifest(rows, F.when(F.col("place") % 16 > 2, canonical), most=4)
 
 
 @query("src_13_latest_entries", "entries", sql="SELECT key, entry_id FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, entry_id DESC) AS n FROM entries) WHERE n = 1 AND dom > 20")
@@ -137,7 +142,7 @@ def _(rows):
     return L.salvaged(rows)
 
 
-@query("jn_09_unique_match", "quotes", sql=r"+ c AS (SELECT *, regexp_replace(lower(text), '\s+', '', 'g') AS t, regexp_replace(lower(quote), '\s+', '', 'g') AS k FROM quotes) SELECT slug, block, CASE WHEN k LIKE 'the%' THEN 'The program  costs nothing' ELSE 'Winners are told in July' END AS excerpt FROM c WHERE length(k) >= 16 AND length(t) - length(replace(t, k, '')) = length(k)")
+@query("jn_09_unique_match", "quotes", sql=r"+ c AS (SELECT *, regexp_replace(lower(text), '\s+', '', 'g') AS t, regexp_replace(lower(quote), '\s+', '', 'g') AS k FROM quotes) SELECT slug, block, CASE WHEN k LIKE 'the%' THEN 'The program  costs nothing' ELSE 'Winners are told in July' END AS excerpt FROM c WHERE length(k) >= 16 AND instr(t, k) > 0 AND instr(substr(t, instr(t, k) + 1), k) = 0")
 def _(rows):
     return L.unique_match(rows)
 

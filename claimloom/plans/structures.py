@@ -11,7 +11,9 @@ from claimloom.operators import html
 from claimloom.operators import metadata as M
 from claimloom.operators import passages as P
 from claimloom.operators import structures as R
+from claimloom.operators import withholding as W
 from claimloom.plans.carriers import VIEWS, query
+from claimloom.plans.ledgers import _LINES
 from claimloom.plans.statements import _case
 
 _ID = "(SELECT doc_id AS slug, CAST(n_nationkey AS BIGINT) AS n, doc_id * 100 + n_nationkey AS record_id, (doc_id * 31 + n_nationkey * 17) % 97 AS h, text FROM documents JOIN nation ON n_nationkey < 25) d"
@@ -182,3 +184,58 @@ def _(pages):
 def _(pages):
     opened = html.parse_pages(pages).select("page_id", F.posexplode("blocks").alias("block_index", "b")).select("page_id", "block_index", "b.*")
     return html.cap_characters(M.with_metadata(html.first_prose(opened), M.json_ld_blocks(pages)))
+
+
+_WITHHOLDABLE = ["operating_organization", "organization_type", "institution_relationship", "relationship_explanation", "location", "cancellation_policy", "data_sharing", "mentorship", "grade_levels", "cash_award", "estimated_total_mandatory_cost", "duration", *W.CYCLE_FIELDS]
+_SAID = [
+    "The challenge is run by Acme", "Acme is a great place", "Our founders studied at Lake College", "The program has a partner among alumni of Lake College", "Our headquarters are in Boston", "The office is open and the event is held online",
+    "The sponsor may amend the rules", "The organizer may cancel; a participant gets a refund", "We may expel a student at any time", "We may remove a student who withdrawal rules cover", "Data go to a judge and a consultant", "Volunteer to judge or mentor teams",
+    "Volunteer mentors: every student is matched with support", "Our programs serve middle school youth", "Programs for middle school; eligibility is open", "The top three teams win", "Several prizes are given", "It starts in June 2027", "Last year 40 were admitted", "Applications close in 2026",
+]
+VIEWS["context_facts"] = f"SELECT slug, {_case('(slug * 3 + n)', _WITHHOLDABLE)} AS field_id, CASE WHEN q % 7 = 0 THEN 'conflicting' WHEN q % 11 = 0 THEN 'unclear' ELSE 'disclosed' END AS status, CASE WHEN q % 2 = 0 THEN 'Shared with judges' ELSE 'Service providers only' END AS value, CASE WHEN pk % 13 = 0 THEN 'the number is not in it' END AS failure, CASE WHEN pk % 17 = 0 THEN 'The excerpt is on another subject.' END AS scope, CASE WHEN sk % 3 = 0 THEN 'As seen.' END AS note, {_case('pk', _SAID)} AS first_said, {_case('(pk + sk * 7)', _SAID)} AS then_said, sk % 9 > 0 AS fits, q % 5 AS n_said FROM {{}}"
+VIEWS["context_facts"] = VIEWS["context_facts"].format(_LINES)
+VIEWS["context_cards"] = "SELECT o_orderkey AS slug, CASE o_orderkey % 4 WHEN 0 THEN NULL ELSE 'Summer 2026' END AS cycle_label, o_orderkey % 5 > 0 AS cycle_modeled, o_orderkey % 2 = 0 AS extended, o_orderkey % 3 = 0 AS variants_modeled, o_orderkey % 7 < 4 AS costs_complete, CAST(o_orderkey % 3 AS INT) AS cash_outcomes FROM orders"
+VIEWS["fee_candidates"] = f"SELECT slug, n AS place, CASE WHEN q % 6 = 0 THEN NULL WHEN n % 2 = 0 THEN '50' ELSE '1,075' END AS value, CASE WHEN n % 2 = 0 THEN 'USD 50 early action' WHEN q % 9 = 0 THEN 'EUR or USD' ELSE 'USD 1,075 regular decision' END AS display, CASE WHEN q % 4 = 0 THEN CASE WHEN n % 2 = 0 THEN 50 ELSE 1075 END END AS amount, CASE WHEN q % 4 = 0 THEN 'USD' END AS currency, CASE WHEN q = 7 THEN 'q' ELSE 'p' END AS id, CASE slug % 4 WHEN 0 THEN 'Pay USD 50 for early action or USD 1,075 for regular decision.' WHEN 1 THEN 'Pay  USD 50 for tier one or  USD 1,075 for tier two' WHEN 2 THEN 'Pay USD 50 and USD 1,075 for the track' ELSE 'The fee varies by cohort: USD 50, USD 1,000' END AS excerpt, pk % 23 = 0 AS twice FROM {_LINES}"
+
+
+def _withhold_sql() -> str:
+    """A fact's first rule by number; the explanation goes at the affiliation's turn, if both are still there."""
+    m = lambda p: "regexp_matches(said, '{}')".format(p.replace("'", "''").replace(r"’", "’"))
+    fields = ", ".join(repr(f) for f in W.CYCLE_FIELDS)
+    off = "regexp_matches(x, '(?i)\\b(last year|previous year|prior year|historical|earlier cohort|past cohort)\\b') OR len(list_filter(regexp_extract_all(x, '\\b20\\d{2}\\b'), lambda y: y <> '2026')) > 0"
+    cases = [
+        ("typed_value", "failure IS NOT NULL"), ("subject_scope", "scope IS NOT NULL"), ("other_opportunity", "NOT fits AND n > 0 AND field_id NOT IN ('operating_organization', 'organization_type')"),
+        ("other_year", f"field_id IN ({fields}) AND cycle_label IS NOT NULL AND len(list_filter(excerpts, lambda x: {off})) > 0"),
+        ("operator", f"d AND field_id = 'operating_organization' AND NOT {m(W.OPERATES)}"),
+        ("affiliation", f"d AND field_id = 'institution_relationship' AND {m(W.PERSONS)} AND len(list_filter(excerpts, lambda x: regexp_matches(lower(x), '{W.PROGRAM_TIE}'))) = 0"),
+        ("office", f"d AND field_id = 'location' AND {m(W.OFFICE)} AND NOT {m(W.TAKES_PART)}"),
+        ("organizer_cancels", f"d AND field_id = 'cancellation_policy' AND {m(W.ORGANIZER_CANCELS)} AND NOT {m(W.PARTICIPANT_CANCELS)}"),
+        ("removal", f"d AND field_id = 'cancellation_policy' AND {m(W.REMOVAL)} AND NOT {m(W.REFUND)}"),
+        ("sharing", "d AND field_id = 'data_sharing' AND CASE WHEN value LIKE '%judge%' THEN NOT contains(said, 'judge') ELSE NOT contains(said, 'service provider') END"),
+        ("volunteers", f"d AND field_id = 'mentorship' AND {m(W.VOLUNTEERS)} AND NOT {m(W.MENTORED)}"),
+        ("broad_audience", f"d AND field_id = 'grade_levels' AND {m(W.BROAD_AUDIENCE)} AND NOT {m(W.ELIGIBLE)}"),
+        ("no_cycle", f"field_id IN ({fields}) AND NOT cycle_modeled"), ("no_variant", "field_id = 'duration' AND extended AND NOT variants_modeled"),
+        ("no_inventory", "d AND field_id = 'estimated_total_mandatory_cost' AND NOT costs_complete"), ("prize_matrix", f"d AND field_id = 'cash_award' AND cash_outcomes < 2 AND ({m(W.PRIZE_MATRIX)})"),
+    ]
+    chain = "CASE " + " ".join(f"WHEN {cond} THEN '{name}'" for name, cond in cases) + " END"
+    return f"""+ e AS (SELECT *, CASE n_said WHEN 0 THEN [] WHEN 1 THEN [first_said] ELSE [first_said, then_said] END AS excerpts FROM context_facts),
+f AS (SELECT e.*, c.* EXCLUDE (slug), len(excerpts) AS n, lower(array_to_string(excerpts, ' ')) AS said, status = 'disclosed' AS d FROM e JOIN context_cards c ON e.slug = c.slug),
+h AS (SELECT *, CASE WHEN status IN ('disclosed', 'conflicting') THEN {chain} END AS own FROM f),
+r AS (SELECT h.*, CASE WHEN own IS NOT NULL THEN own WHEN field_id = 'relationship_explanation' AND status IN ('disclosed', 'conflicting') AND EXISTS (SELECT 1 FROM h x WHERE x.slug = h.slug AND x.own = 'affiliation') THEN 'affiliation' END AS rule FROM h)
+SELECT slug, field_id, CASE WHEN rule IS NULL THEN status WHEN n > 0 THEN 'unclear' ELSE 'not_found' END AS status, rule, rule IS NOT NULL AND n > 0 AS noted FROM r"""
+
+
+@query("pipe_04_withheld_facts", "context_facts", "context_cards", sql=_withhold_sql())
+def _(facts, cards):
+    said = F.when(F.col("n_said") == 0, F.array().cast("array<string>")).when(F.col("n_said") == 1, F.array("first_said")).otherwise(F.array("first_said", "then_said"))
+    facts = facts.withColumn("display", F.lit(None).cast("string")).withColumn("evidence", F.transform(said, lambda x: F.struct(x.alias("excerpt"), F.col("fits").alias("fits"))))
+    left = W.withhold(facts, cards.withColumn("years", F.array(F.lit(2026))))
+    return left.select("slug", "field_id", "status", "rule", (F.col("rule").isNotNull() & F.col("note").isNotNull()).alias("noted"))
+
+
+@query("pipe_05_collapsed_fees", "fee_candidates", sql="""+ c AS (SELECT *, coalesce(amount, CASE WHEN value IS NOT NULL AND display NOT LIKE 'EUR or%' THEN replace(value, ',', '')::DOUBLE END) AS a FROM fee_candidates)
+SELECT slug, 'Multiple application fees — see cost details' AS display, 'The source states plan-specific alternatives: ' || string_agg(display, '; ' ORDER BY place) || '.' AS note FROM c GROUP BY slug
+HAVING count(*) >= 2 AND bool_and(a IS NOT NULL AND NOT twice) AND count(DISTINCT id) = 1 AND count(DISTINCT a) = 2 AND slug % 4 < 2""")
+def _(candidates):
+    source = F.struct("id", F.lit("https://example.org/").alias("url"), "excerpt")
+    return W.collapsed_fees(candidates.withColumn("sources", F.when(F.col("twice"), F.array(source, source)).otherwise(F.array(source))))

@@ -275,3 +275,33 @@ def test_cost_fields(spark):
         "open": ("tuition", "conflicting", None, None, "costs.tuition-conflicting"), "if": ("deposit", "disclosed", None, "Conditional — see cost details", "costs.deposit-matrix"),
     }
     assert O.project_cost_fields(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_batches_that_are_rejected_have_a_row(spark):
+    rows = [(1, i, f"https://a.example.org/{i % 4}") for i in range(5)] + [(2, i, f"https://a.example.org/{i}") for i in range(6)] + [(3, 0, None), (4, 0, "https://b.example.org/"), (4, 1, None)]
+    got = L.batch_manifest(spark.createDataFrame(rows, "batch long, place int, url string"), F.col("url")).collect()
+    assert sorted((r.batch, r.place) for r in got if r.problem is None) == [(1, 0), (1, 1), (1, 2), (1, 3), (4, 0)]
+    assert {r.duplicates for r in got if r.batch == 1} == {1}
+    assert sorted((r.batch, r.problem) for r in got if r.problem) == [(2, "too many addresses"), (3, "no address")]
+
+
+def test_a_quote_that_stands_twice_across_itself_is_left(spark):
+    rows = [(1, "a" * 20, "a" * 16), (2, "x a b" + "c" * 16, "ab" + "c" * 16), (3, "abab abababababababab", "abababababababab"), (4, "nothing here at all", "something that is not there"), (5, "short", "short")]
+    got = L.unique_match(spark.createDataFrame([(i, 0, t, q) for i, t, q in rows], "slug long, block int, text string, quote string"))
+    assert [(r.slug, r.excerpt) for r in got.collect()] == [(2, "a b" + "c" * 16)]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("[1e-7, 1e-6, 123456789012345680000, 1e21, 1.5e300, -0.0, 0.1, 100, 1.0]", "[1e-7,0.000001,123456789012345680000,1e+21,1.5e+300,0,0.1,100,1]"),
+        ("[9007199254740993, 1152921504606846976, -12.50, 1e400]", "[9007199254740992,1152921504606847000,-12.5,null]"),
+        ('{"f": 1, "é": 2, "e": 3, "E": 4, "ef": 5}', '{"e":3,"E":4,"é":2,"ef":5,"f":1}'),
+        ('{"b": 1, "10": 2, "9": 3, "a_b": 4, "ab": 5, "a1": 6}', '{"9":3,"10":2,"a_b":4,"a1":6,"ab":5,"b":1}'),
+        ('["\\u001f\\u007f\\ud800\\"\\\\/é", true, null]', '["\\u001f\x7f\\ud800\\"\\\\/é",true,null]'),
+        ("[NaN]", None),
+        ("no json", None),
+    ],
+)
+def test_canonical_json_as_a_browser_writes_it(spark, text, want):
+    assert one(spark, text, L.canonical_json) == want

@@ -108,8 +108,10 @@ def evidence_warnings(claims: DataFrame, sources: DataFrame, texts: DataFrame, s
     ``texts (source_id, text, year, ...)``, the year null where no cycle is known; ``supported``: whether a
     source speaks of the card's target. ``claims.failure`` says what else is wrong with a claim, if anything.
     """
-    checked = sources.join(texts, "source_id", "left").join(claims.select("slug", "claim_id", "family"), ["slug", "claim_id"])
-    missing = ~F.coalesce(T.excerpt_in(F.col("text"), F.col("excerpt")), F.lit(False))
+    plain = lambda c: F.lower(T.normalize_whitespace(F.col(c)))
+    read = texts.withColumn("plain", plain("text")).drop("text")  # once a text, before the join
+    checked = sources.join(read, "source_id", "left").join(claims.select("slug", "claim_id", "family"), ["slug", "claim_id"])
+    missing = ~F.coalesce((plain("excerpt") != "") & F.contains(F.col("plain"), plain("excerpt")), F.lit(False))
     own = F.col("candidate") == 0
     elsewhere = own & (F.col("family") != "organizations") & ~F.coalesce(supported, F.lit(False))
     other_year = own & F.col("family").isin(OF_A_CYCLE) & F.coalesce(~E.matches_cycle(F.col("excerpt"), F.array("year")) & F.col("year").isNotNull(), F.lit(False))

@@ -210,3 +210,8 @@ def encoder(path: str) -> PieceEncoder:
     if path not in _encoders:
         _encoders[path] = PieceEncoder(path)
     return _encoders[path]
+
+
+def release() -> None:
+    """Drops this worker's encoders and their caches; tasks that don't encode call it, since workers outlive a stage."""
+    _encoders.clear()

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
+from claimloom.llm import encoding
 from claimloom.llm.common import materialise, slices_by_bytes, splitmix, text_bytes
 
 #: Distinct fingerprints beyond which every tile is split into one more part.
@@ -316,6 +317,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, keep: list
     held = text_col in keep
 
     def run(batches):
+        encoding.release()
         import pyarrow as pa
 
         for batch in batches:
@@ -395,6 +397,7 @@ def _ask(percent: int):
     """Tiles that meet -> the places and keys of the members that have a candidate there."""
 
     def run(batches):
+        encoding.release()
         import pyarrow as pa
 
         for batch in batches:
@@ -413,6 +416,7 @@ def _confirm(words: int, percent: int):
     """Tiles that meet, with texts -> links that connect what reaches the Jaccard there."""
 
     def run(batches):
+        encoding.release()
         import pyarrow as pa
 
         for batch in batches:

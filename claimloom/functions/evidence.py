@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.functions import text as T
@@ -136,6 +138,12 @@ def grade_markers(x: Column) -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(F.concat(found, schools, nothing))))
 
 
+def once_a_text(rows: DataFrame, text: str, of: Callable[[Column], Column], name: str) -> DataFrame:
+    """The rows with a costly reading of a text column, which each distinct text gets once; null texts get null."""
+    read = rows.select(text).filter(F.col(text).isNotNull()).distinct().select(text, of(F.col(text)).alias(name))
+    return rows.join(read, text, "left")
+
+
 def place_markers(x: Column) -> Column:
     """FN-30: places by their known names, and other capitalised words of four letters or more; sorted."""
     known = "(?i)" + "|".join(PLACES.values())

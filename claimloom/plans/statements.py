@@ -87,12 +87,13 @@ def _grades_sql(column: str) -> str:
 
 @query("fn_30_grade_markers", "sentences", sql=f"SELECT slug, block, array_to_string({_grades_sql('text')}, ',') AS markers FROM sentences")
 def _(s):
-    return s.select("slug", "block", _joined(E.grade_markers(F.col("text"))).alias("markers"))
+    return E.once_a_text(s, "text", E.grade_markers, "marked").select("slug", "block", _joined(F.col("marked")).alias("markers"))
 
 
 @query("set_04_supported_markers", "sentences", sql=f"SELECT slug, block, list_has_all(b, a) AS supported, len(list_intersect(a, b)) AS shared FROM (SELECT slug, block, {_grades_sql('text')} AS a, {_grades_sql('basis')} AS b FROM sentences)")
 def _(s):
-    a, b = E.grade_markers(F.col("text")), E.grade_markers(F.col("basis"))
+    s = E.once_a_text(E.once_a_text(s, "text", E.grade_markers, "proposed"), "basis", E.grade_markers, "evidence")
+    a, b = F.col("proposed"), F.col("evidence")
     return s.select("slug", "block", E.supported(a, b).alias("supported"), F.size(F.array_intersect(a, b)).cast("long").alias("shared"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from claimloom.plans import carriers, ledgers, library, records, scopes, statements, structures, typed  # noqa: F401  each module adds its queries to the carriers' tables
+from claimloom.plans import carriers, ledgers, library, records, revisions, scopes, statements, structures, typed  # noqa: F401  each module adds its queries to the carriers' tables
 
 
 def queries() -> dict[str, Callable]:

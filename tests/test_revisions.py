@@ -1,6 +1,10 @@
 """Literal cases of linked pages, imported cards and review records."""
 
+import hashlib
+import json
+
 from claimloom.operators import crawl as C
+from claimloom.operators import revisions as R
 
 
 def test_crawl(spark):
@@ -16,3 +20,41 @@ def test_crawl(spark):
     assert got == {"refund": "reviewed", "rules": "duplicate", "apply": "reviewed", "faq": "no_html", "apply2": C.OTHER_ORIGIN, "faq?x=1": C.NOT_FOUND}
     assert [r.outcome for r in C.crawl(pages.drop("final_url"), 1).collect()] == ["reviewed"]
     assert C.crawl(pages.limit(0)).count() == 0
+
+
+def test_migrations(spark):
+    fact = {"status": "disclosed", "value": "x", "projection": {"schemaVersion": "2.0.0", "rule": 3}}
+    old = {"schemaVersion": "2.0.0", "slug": "s", "cardVersion": 4, "reviewState": "human_reviewed", "reviewedAt": "2026-01-01", "facts": {"a": fact, "b": {"status": "unclear", "projection": None}}, "outcomes": {"status": "modeled", "records": []}}
+    mid = json.loads(json.dumps(old).replace("2.0.0", "2.1.0"))
+    paid = {"records": [{"definition": {"value": {"outcomeType": "stipend"}}, "recipientScope": {"value": "team", "conflictingValues": [{"value": "educator"}]}}]}
+    payee = {"records": [{"distribution": {"value": [{"payee": "team"}, {"payee": "school"}]}}]}
+    cases = [
+        ({"slug": "v1", "schemaVersion": "1.0.0", "cardVersion": 2, "reviewState": "demo", "reviewedAt": None, "facts": {}, "conflicts": [], "summary": "é", "extra": 1}, None),
+        (old, None), (mid, None), (mid | {"schemaVersion": "2.2.0", "reviewState": "demo"}, None), (old | {"reviewState": "automated_draft"}, "later_state"), (mid | {"reviewState": "ai_audited"}, "later_state"),
+        (old | {"outcomes": paid}, "later_word"), (mid | {"outcomes": paid}, None), (old | {"outcomes": payee}, "later_word"), (mid | {"schemaVersion": "2.0.0"}, "projection_version"), ({"schemaVersion": "3.0.0"}, "unsupported"), ({"slug": "x"}, "undeclared"), ({"schemaVersion": None}, "undeclared"), ([1], "not_json"), ("{", "not_json"), (None, "not_json"), (old | {"facts": None}, None),
+    ]
+    texts = [(i, c if isinstance(c, str) or c is None else json.dumps(c, ensure_ascii=False)) for i, (c, _) in enumerate(cases)]
+    got = {r.slug: r for r in R.migrate(spark.createDataFrame(texts, "slug long, card string")).collect()}
+    assert [got[i].fault for i in range(len(cases))] == [f for _, f in cases]
+    assert all((got[i].card is None) == (f is not None) for i, (_, f) in enumerate(cases))
+    card = lambda i: json.loads(got[i].card)
+    digest = hashlib.sha256('{"cardVersion":2,"conflicts":[],"extra":1,"facts":{},"reviewedAt":null,"reviewState":"demo","schemaVersion":"1.0.0","slug":"v1","summary":"é"}'.encode()).hexdigest()
+    none = {"status": "unassessed", "records": [], "note": None}
+    assert card(0) == {"slug": "v1", "summary": "é", "conflicts": [], "facts": {}, "schemaVersion": "2.2.0", "opportunityId": None, "cycle": {"status": "unassessed", "value": None}, "cardVersion": 3, "reviewState": "draft", "reviewedAt": None, "projectionRefs": {}, "migratedFrom": {"schemaVersion": "1.0.0", "cardVersion": 2, "reviewedAt": None, "cardSha256": digest}, **dict.fromkeys(R.FAMILIES, none)}
+    now = {"a": fact | {"projection": {"schemaVersion": "2.2.0", "rule": 3}}, "b": {"status": "unclear", "projection": None}}
+    assert card(1) == old | {"schemaVersion": "2.2.0", "cardVersion": 5, "reviewState": "draft", "reviewedAt": None, "facts": now} and card(2) == card(1)
+    assert card(3) == cases[3][0] and card(16)["facts"] is None
+
+
+def test_review_records(spark):
+    items = [(s, sec, n, p, f"{sec}:{p}", f"{s}{p}") for s in range(9) for n, sec in enumerate(("source", "final")) for p in range(2)] + [(8, "final", 1, 2, "source:0", None)]
+    items = spark.createDataFrame(items, "slug long, section string, section_no int, place int, item_id string, content string")
+    own = {r.slug: r for r in R.manifests(items).collect()}
+    listed = '[{"id":"source","itemIds":["source:0","source:1"]},{"id":"final","itemIds":["final:0","final:1"]}]'
+    assert own[0].manifest_sha256 == own[1].manifest_sha256 == hashlib.sha256(listed.encode()).hexdigest() and own[0].content_sha256 != own[1].content_sha256 and own[8].repeated and own[8].n_items == 5
+    cards = [(s, None if s == 6 else "o", 3, "draft" if s == 1 else "human_reviewed", "now") for s in range(9)]
+    records = [(s, None if s == 6 else "o", 2 if s == 2 else 3, "now", own[s].manifest_sha256, own[3].content_sha256 if s == 4 else own[s].content_sha256) for s in range(9) if s != 7]
+    ticks = [(s, i) for s in range(9) if s != 7 for i in ("source:0", "source:1", "final:0", "final:1")] + [(0, "other"), (3, "final:0")]
+    got = R.check_attestations(spark.createDataFrame(cards, "slug long, opportunity_id string, card_version long, review_state string, reviewed_at string"), items, spark.createDataFrame(records, "slug long, opportunity_id string, card_version long, reviewed_at string, manifest_sha256 string, content_sha256 string"), spark.createDataFrame([t for t in ticks if t != (5, "final:1")], "slug long, item_id string"))
+    found = {r.slug: (r.verdict, r.n_missing, r.n_unexpected, r.n_repeated) for r in got.collect()}
+    assert found == {0: ("items", 0, 1, 0), 1: ("other_state", 0, 0, 0), 2: ("stale", 0, 0, 0), 3: ("items", 0, 0, 1), 4: ("stale", 0, 0, 0), 5: ("items", 1, 0, 0), 6: ("no_identity", 0, 0, 0), 7: ("no_record", None, None, None), 8: ("repeated_items", 0, 0, 0)}

@@ -231,3 +231,102 @@ def typed_failures(claims: DataFrame) -> DataFrame:
     steps = fails("step", (key == "steps") & v.isNotNull() & (F.size(F.array_except(M.process_markers(F.concat(d, F.lit(" "), F.coalesce(v["enter_when"], F.lit("")))), evidence_marks)) > 0))
     chain = F.when(v["kind"].isNotNull() & v["currency"].isNotNull(), money).when(v["precision"].isNotNull(), F.coalesce(date, expected, event)).otherwise(F.coalesce(numbers, enums, advancing, steps))
     return rows.withColumn("failure", chain).drop("_e", "_d", "_x", "_y", "_year")
+
+
+#: A summary fact's normalised value, its other fields null; ``day`` is yyyy-MM-dd.
+NORMALIZED = "kind string, amount double, currency string, day string, number double, unit string, minimum double, maximum double, flag boolean, text string, texts array<string>"
+#: What a yes or no is about, and how it is said.
+FLAG_SUBJECTS = {"travel_included": r"(?i)\b(travel|transportation|airfare|flight)\b", "lodging_included": r"(?i)\b(lodging|housing|accommodation|hotel)\b", "meals_included": r"(?i)\b(meals?|food)\b", "certificate": r"(?i)\bcertificate\b"}
+YES, NO = r"(?i)\b(included|covered|provided|paid for|at no (?:additional )?cost)\b", r"(?i)\b(not included|excluded|not covered|not provided|participant(?:s)? (?:must|are responsible)|at (?:your|their|the participant's) expense)\b"
+CERTIFICATE_YES = r"(?i)\b(?:receive|earn|award(?:ed)?|provide(?:d)?)\b.{0,80}\bcertificate\b|\bcertificate\b.{0,80}\b(?:receive|earn|award(?:ed)?|provide(?:d)?)\b"
+CERTIFICATE_NO = r"(?i)\b(?:no|not|without)\b.{0,40}\bcertificate\b|\bcertificate\b.{0,40}\b(?:not|isn't|is not)\b"
+PERCENT, WEEKLY = r"(?i)(?:%|\bpercent(?:age)?\b)", r"(?i)\b(?:per|each|a)\s+week|weekly\b"
+#: Unrestricted geography as proposed and as stated, one and many entrants, what is required, optional and of whom.
+ANYWHERE, ANYWHERE_STATED = r"(?i)\b(?:all countries|worldwide|globally?|no geographic restrictions?)\b", r"(?i)\b(?:all countries|worldwide|globally?|anywhere (?:in|around) the world|no geographic restrictions?)\b"
+ALONE, TOGETHER = r"(?i)\b(individual|solo|alone)\b", r"(?i)\b(team|group)\b"
+REQUIRED, OPTIONAL = r"(?i)\b(required|must|need(?:s|ed)? to|has to|shall)\b", r"(?i)\b(optional|may optionally|not required)\b"
+SPONSORS = {"parent or guardian": r"(?i)\b(parent|guardian)\b", "teacher or adviser": r"(?i)\b(teacher|educator|adviser|advisor)\b", "school representative": r"(?i)\b(school|counselor|administrator)\b"}
+#: The reasons for summary facts.
+FLAT_FAILURES = {
+    "money": "its money amount or currency does not match the cited excerpt and display value",
+    "date": "its date does not match the cited excerpt and display value",
+    "number": "its number does not match the cited excerpt and display value",
+    "percentage": "its percentage does not match percentage wording in the cited excerpt and display value",
+    "duration": "its duration does not match the cited excerpt and display value",
+    "hours": "its hour amount or period does not match the cited excerpt and display value",
+    "boolean": "its yes/no value is not explicitly supported by the cited excerpt",
+    "participation_format": "its participation format does not match the cited excerpt and display value",
+    "ages": "its participant age value does not match the cited excerpt",
+    "age_range": "its participant age range does not match the cited excerpt",
+    "grades": "its grade-level value does not match the cited excerpt",
+    "places": "its participant geography does not match the cited excerpt",
+    "anywhere": "its unrestricted-geography wording is not stated by the cited excerpt",
+    "citizens": "its citizenship or residency value does not match the cited excerpt",
+    "alone": "individual entry is not explicitly stated by the cited excerpt",
+    "together": "team entry is not explicitly stated by the cited excerpt",
+    "team_size": "its team-size value does not match the cited excerpt",
+    "required": "its required adult, school, or sponsor modality is not stated by the cited excerpt",
+    "sponsors": "its adult, school, or sponsor count does not match the cited excerpt",
+    "raw_money": "its money amount does not match the cited excerpt and display value",
+    "raw_free": "its zero-cost wording does not match the cited excerpt",
+}
+RAW_AMOUNT = r"(?:^|[^\d.])(\d+(?:\.\d{1,2})?)(?![\d.])"
+
+
+def flag_appears(field: Column, value: Column, text: Column) -> Column:
+    """FN-31: the passage says yes or no of the field's own subject."""
+    of_subject = F.coalesce(*(F.when(field == f, text.rlike(rule)) for f, rule in FLAG_SUBJECTS.items()), F.lit(True))
+    said = F.when(field == "certificate", F.when(value, text.rlike(CERTIFICATE_YES)).otherwise(text.rlike(CERTIFICATE_NO))).otherwise(F.when(value, text.rlike(YES)).otherwise(text.rlike(NO)))
+    return of_subject & said
+
+
+def text_failure(field: Column, proposed: Column, evidence: Column) -> Column:
+    """FN-31: what a text says of ages, school years, places, citizenship, entrants or sponsors and its passage doesn't."""
+    fails = lambda reason, bad: F.when(bad, F.lit(FLAT_FAILURES[reason]))
+    more = lambda of: ~E.supported(of(proposed), of(evidence))
+    says = lambda rule: proposed.rlike(rule) & ~evidence.rlike(rule)
+    own, stated = M.age_range(proposed), M.age_range(evidence)
+    rules = {
+        "ages": [fails("ages", more(M.small_numbers)), fails("age_range", own.isNotNull() & stated.isNotNull() & (own != stated))],
+        "grade_levels": [fails("grades", more(E.grade_markers))],
+        "geographic_restrictions": [fails("places", more(E.place_markers)), fails("anywhere", proposed.rlike(ANYWHERE) & ~evidence.rlike(ANYWHERE_STATED))],
+        "citizenship_restrictions": [fails("citizens", more(E.citizenship_markers))],
+        "entry_format": [fails("alone", says(ALONE)), fails("together", says(TOGETHER)), fails("team_size", proposed.rlike(TOGETHER) & more(M.small_numbers))],
+        "sponsor_requirement": [fails("required", proposed.rlike(REQUIRED) & (~evidence.rlike(REQUIRED) | evidence.rlike(OPTIONAL))), *(F.when(says(rule), F.lit(f"its {who} requirement is not stated by the cited excerpt")) for who, rule in SPONSORS.items()), fails("sponsors", more(M.small_numbers))],
+    }
+    return F.coalesce(*(F.when(field == f, F.coalesce(*found)) for f, found in rules.items()))
+
+
+def flat_failures(facts: DataFrame) -> DataFrame:
+    """FN-31: summary facts, or their conflicting candidates, with ``failure``: why a value doesn't match its passages, or null.
+
+    ``facts``: ``field_id``, ``normalized`` (``NORMALIZED`` or null), ``raw`` (the value as text), ``money_field``, ``display`` (null: ``raw``),
+    ``excerpts``, ``source_ids``, ``cycle`` (``CYCLE`` or null). A money field without a normalised value is held to its raw amounts,
+    or to its wording that nothing is to pay. A row each, no shuffle.
+    """
+    shown = F.coalesce("display", "raw", F.lit(""))
+    rows = facts.withColumns({"_e": F.coalesce(F.array_join("excerpts", " ", ""), F.lit("")), "_d": shown, "_r": F.coalesce("raw", F.lit(""))})
+    rows = rows.withColumns({"_x": T.normalize_whitespace(F.col("_e")), "_y": T.normalize_whitespace(F.col("_d"))})
+    n, e, d, x, y, field, raw = (F.col(c) for c in ("normalized", "_e", "_d", "_x", "_y", "field_id", "_r"))
+    nothing = {f.split()[0]: F.lit(None).cast(f.split()[1]) for f in VALUE.split(", ")}
+    value = lambda **given: F.struct(*(c.alias(name) for name, c in (nothing | given).items()))
+    money, day = value(kind=F.lit("exact"), amount=n["amount"], currency=n["currency"]), value(precision=F.lit("date"), date=n["day"])
+    span, hours = value(low=n["amount"], unit=n["unit"]), value(minimum_hours=n["minimum"], maximum_hours=n["maximum"])
+    both = lambda of, v: _sure(of(v, x)) & _sure(of(v, y))
+    number = _sure(says_number(n["number"], x)) & _sure(says_number(n["number"], y))
+    kind = lambda name: n["kind"] == name
+    enum = F.array(n["text"])
+    ok = (
+        F.when(kind("money"), money_value_appears(money, e, x) & money_value_appears(money, d, y))
+        .when(kind("date"), temporal_appears(day, x, implicit_year(F.col("cycle"), F.col("source_ids"), e, day)) & temporal_appears(day, y, F.lit(None).cast("int")))
+        .when(kind("number"), number).when(kind("percentage"), number & e.rlike(PERCENT)).when(kind("duration"), both(quantity_appears, span))
+        .when(kind("hours"), both(quantity_appears, hours) & ((field != "weekly_hours") | e.rlike(WEEKLY))).when(kind("boolean"), flag_appears(field, n["flag"], e))
+        .when(kind("participation_format"), _sure(enums_appear(F.lit("formats"), enum, e)) & _sure(enums_appear(F.lit("formats"), enum, d)))
+    )
+    typed = F.when(~ok, F.element_at(F.create_map(*(F.lit(s) for pair in FLAT_FAILURES.items() for s in pair)), n["kind"]))
+    words = F.when(n["kind"].isin("text", "text_list"), text_failure(field, F.concat(F.coalesce(n["text"], F.array_join(n["texts"], " "), F.lit("")), F.lit(" "), d), e))
+    amounts = F.transform(E.all_of(F.replace(T.normalize_whitespace(raw), F.lit(","), F.lit("")), RAW_AMOUNT, 1), lambda a: a.try_cast("double"))
+    free = F.when((raw.rlike(E.FREE) | d.rlike(E.FREE)) & ~e.rlike(E.FREE), F.lit(FLAT_FAILURES["raw_free"]))
+    bare = F.when(F.size(amounts) > 0, F.when(~F.forall(amounts, lambda a: says_number(a, y) & says_number(a, x)), F.lit(FLAT_FAILURES["raw_money"]))).otherwise(free)
+    failure = F.when(n["kind"].isNull(), F.when(F.col("money_field"), bare)).otherwise(F.coalesce(typed, words))
+    return rows.withColumn("failure", failure).drop("_e", "_d", "_r", "_x", "_y")

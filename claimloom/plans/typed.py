@@ -12,7 +12,7 @@ from claimloom.functions import evidence as E
 from claimloom.functions import markers as M
 from claimloom.functions import text as T
 from claimloom.plans.carriers import VIEWS, query
-from claimloom.plans.statements import _MONEY_SQL, _case, _named
+from claimloom.plans.statements import _MONEY_SQL, _PLACES_SQL, _case, _grades_sql, _named
 
 _MONTHS = T.MONTHS.replace("|", ",")
 _DAY = "concat(CAST(y AS STRING), '-', lpad(CAST(m AS STRING), 2, '0'), '-', lpad(CAST(d AS STRING), 2, '0'))"
@@ -180,3 +180,71 @@ WHEN path_key = 'advancement' AND NOT list_has_any({_marks('evidence')}, {A.ADVA
 @query("fn_29_typed_failures", "typed_values", sql=f"+ {_READ} SELECT slug, claim_id, {_CHAIN} AS failure FROM t")
 def _(t):
     return A.typed_failures(_claims(t)).select("slug", "claim_id", "failure")
+
+
+_FIELDS = ["ages", "grade_levels", "geographic_restrictions", "citizenship_restrictions", "entry_format", "sponsor_requirement"]
+_WORDS = [_line(t) for t in ("Ages 14 to 18", "Open to grades 9 through 12", "Juniors of any high school", "Citizens of Canada and Mexico", "Students worldwide", "No geographic restrictions", "Teams of 3 or alone", "A group entry", "A parent must sign", "A teacher is required, two at most", "A school counselor may optionally help", "Ages 13 to 18 in Norway", "Permanent residents with visas", "")]
+_FLAT_KINDS = ["money", "date", "number", "percentage", "duration", "hours", "boolean", "participation_format", "text", "text_list", "text", "raw"]
+_FLAGS = [_line(t) for t in ("Travel is included", "Meals are not covered", "You earn a certificate", "There is no certificate", "Housing at your expense", "Food is provided")]
+_FLAT = lambda shift: f"CASE kind WHEN 'money' THEN {_choose(f'(b + {shift})', _MONEY_TEXTS)} WHEN 'date' THEN {_choose(f'(b + {shift})', _DAY_TEXTS)} WHEN 'number' THEN {_choose(f'(b + {shift})', _AMOUNT_TEXTS)} WHEN 'percentage' THEN {_choose(f'(b + {shift})', [_line(_S('q'), '% of them'), _line(_S('q'), ' percent'), _line(_S('q'), ' of a hundred')])} WHEN 'duration' THEN {_choose(f'(b + {shift})', _AMOUNT_TEXTS)} WHEN 'hours' THEN {_choose(f'(b + {shift})', _AMOUNT_TEXTS)} WHEN 'boolean' THEN {_choose(f'(b + {shift})', _FLAGS)} WHEN 'participation_format' THEN {_choose(f'(b + {shift})', _ENUM_TEXTS)} WHEN 'raw' THEN {_choose(f'(b + {shift})', _MONEY_TEXTS)} ELSE {_choose(f'(b + {shift})', _WORDS)} END"
+
+VIEWS |= {
+    "flat_facts": f"SELECT slug, claim_id, kind, CASE WHEN kind IN ('text', 'text_list') THEN {_case('p', _FIELDS)} WHEN kind = 'boolean' THEN {_case('p', [*A.FLAG_SUBJECTS])} WHEN kind = 'hours' AND p % 2 = 0 THEN 'weekly_hours' ELSE 'other' END AS field_id, CAST(CASE WHEN b % 7 = 3 THEN 0 WHEN kind = 'duration' THEN q ELSE p END AS DOUBLE) AS amount, {_case('b', ['USD', 'EUR', 'USD', 'USD', 'GBP', 'USD', 'USD'])} AS currency, {_DAY} AS day, CAST(q AS DOUBLE) AS n, 'weeks' AS unit, CAST(q AS DOUBLE) AS minimum_hours, CASE WHEN p % 3 = 0 THEN CAST(q + 2 AS DOUBLE) END AS maximum_hours, p % 2 = 0 AS flag, CASE WHEN kind = 'participation_format' THEN {_case('p', [*E.ENUMS['formats']])} WHEN p % 5 = 0 THEN '' ELSE {_choose('b', _WORDS)} END AS words, {_FLAT('CASE WHEN q % 5 = 0 THEN 1 ELSE 0 END')} AS evidence, {_FLAT('CASE WHEN q % 7 = 0 THEN 1 ELSE 0 END')} AS display, CASE WHEN p % 4 > 0 THEN y END AS first_year, CAST(NULL AS INT) AS second_year, 'Cycle' AS label, slug + CASE WHEN q % 9 = 0 THEN 1 ELSE 0 END AS source_id FROM (SELECT *, {_case('a', _FLAT_KINDS)} AS kind FROM {_BASE}) AS k",
+}
+
+
+def _small(text: str) -> str:
+    return f"list_distinct([z::INT for z in regexp_extract_all(replace({text}, ',', ''), '[0-9]+') if len(z) <= 2 and z::INT <= 25])"
+
+
+def _age(text: str) -> str:
+    of = lambda p: f"CASE WHEN try_cast(regexp_extract(lower({text}), '{p}', 1) AS INT) <= try_cast(regexp_extract(lower({text}), '{p}', 2) AS INT) AND try_cast(regexp_extract(lower({text}), '{p}', 2) AS INT) <= 25 THEN regexp_extract(lower({text}), '{p}', 1) || '-' || regexp_extract(lower({text}), '{p}', 2) END"
+    return f"coalesce({', '.join(map(of, M.AGES))})"
+
+
+def _text_sql() -> str:
+    says = lambda rule: f"regexp_matches(o, '{rule}') AND NOT regexp_matches(evidence, '{rule}')"
+    why = {k: f"'{v}'" for k, v in A.FLAT_FAILURES.items()}
+    places = lambda c: _PLACES_SQL.replace("(text,", f"({c},")
+    citizens = lambda c: f"list_concat({places(c)}, {_named(c, E.CITIZENSHIP)})"
+    more = lambda of: f"NOT list_has_all({of('evidence')}, {of('o')})"
+    sponsors = " ".join(f"WHEN {says(rule)} THEN 'its {who} requirement is not stated by the cited excerpt'" for who, rule in A.SPONSORS.items())
+    return f"""CASE field_id WHEN 'ages' THEN CASE WHEN {more(_small)} THEN {why['ages']} WHEN {_age('o')} <> {_age('evidence')} THEN {why['age_range']} END
+WHEN 'grade_levels' THEN CASE WHEN {more(_grades_sql)} THEN {why['grades']} END
+WHEN 'geographic_restrictions' THEN CASE WHEN {more(places)} THEN {why['places']} WHEN regexp_matches(o, '{A.ANYWHERE}') AND NOT regexp_matches(evidence, '{A.ANYWHERE_STATED}') THEN {why['anywhere']} END
+WHEN 'citizenship_restrictions' THEN CASE WHEN {more(citizens)} THEN {why['citizens']} END
+WHEN 'entry_format' THEN CASE WHEN {says(A.ALONE)} THEN {why['alone']} WHEN {says(A.TOGETHER)} THEN {why['together']} WHEN regexp_matches(o, '{A.TOGETHER}') AND {more(_small)} THEN {why['team_size']} END
+WHEN 'sponsor_requirement' THEN CASE WHEN regexp_matches(o, '{A.REQUIRED}') AND (NOT regexp_matches(evidence, '{A.REQUIRED}') OR regexp_matches(evidence, '{A.OPTIONAL}')) THEN {why['required']} {sponsors} WHEN {more(_small)} THEN {why['sponsors']} END END"""
+
+
+def _quote(rule: str) -> str:
+    return rule.replace("'", "''")
+
+
+_FLAG_SQL = "(CASE field_id " + " ".join(f"WHEN '{f}' THEN regexp_matches(evidence, '{rule}')" for f, rule in A.FLAG_SUBJECTS.items()) + f" ELSE true END AND CASE WHEN field_id = 'certificate' THEN CASE WHEN flag THEN regexp_matches(evidence, '{A.CERTIFICATE_YES}') ELSE regexp_matches(evidence, '{_quote(A.CERTIFICATE_NO)}') END WHEN flag THEN regexp_matches(evidence, '{A.YES}') ELSE regexp_matches(evidence, '{_quote(A.NO)}') END)"
+_BOTH = lambda of: f"({of('x')} AND {of('yx')})"
+_SPAN = lambda x: f"({_number('amount', x)} AND regexp_matches({x}, '(?i)\\bweeks?\\b'))"
+_HOURS_SQL = lambda x: f"({_number('minimum_hours', x)} AND regexp_matches({x}, '{A.HOURS}') AND coalesce({_number('maximum_hours', x)}, true))"
+_FORMAT = lambda text: "CASE words " + " ".join(f"WHEN '{v}' THEN regexp_matches({text}, '(?i){p}')" for v, p in E.ENUMS["formats"].items()) + " END"
+_RAW = r"regexp_extract_all(replace(rx, ',', ''), '(?:^|[^\d.])(\d+(?:\.\d{1,2})?)(?:$|[^\d.])', 1)"
+_FLAT_SQL = f"""CASE kind WHEN 'money' THEN CASE WHEN NOT ({_money('evidence', 'x')} AND {_money('display', 'yx')}) THEN '{A.FLAT_FAILURES['money']}' END
+WHEN 'date' THEN CASE WHEN NOT ({_temporal('x', 'implied')} AND {_temporal('yx', 'NULL')}) THEN '{A.FLAT_FAILURES['date']}' END
+WHEN 'number' THEN CASE WHEN NOT {_BOTH(lambda x: _number('n', x))} THEN '{A.FLAT_FAILURES['number']}' END
+WHEN 'percentage' THEN CASE WHEN NOT ({_BOTH(lambda x: _number('n', x))} AND regexp_matches(evidence, '{A.PERCENT}')) THEN '{A.FLAT_FAILURES['percentage']}' END
+WHEN 'duration' THEN CASE WHEN NOT {_BOTH(_SPAN)} THEN '{A.FLAT_FAILURES['duration']}' END
+WHEN 'hours' THEN CASE WHEN NOT ({_BOTH(_HOURS_SQL)} AND (field_id <> 'weekly_hours' OR regexp_matches(evidence, '{A.WEEKLY}'))) THEN '{A.FLAT_FAILURES['hours']}' END
+WHEN 'boolean' THEN CASE WHEN NOT {_FLAG_SQL} THEN '{A.FLAT_FAILURES['boolean']}' END
+WHEN 'participation_format' THEN CASE WHEN NOT ({_FORMAT('evidence')} AND {_FORMAT('display')}) THEN '{A.FLAT_FAILURES['participation_format']}' END
+WHEN 'raw' THEN CASE WHEN len({_RAW}) > 0 THEN CASE WHEN len(list_filter({_RAW}, lambda z: NOT ({_number('z::DOUBLE', 'x')} AND {_number('z::DOUBLE', 'yx')}))) > 0 THEN '{A.FLAT_FAILURES['raw_money']}' END WHEN (regexp_matches(words, '{E.FREE}') OR regexp_matches(display, '{E.FREE}')) AND NOT regexp_matches(evidence, '{E.FREE}') THEN '{A.FLAT_FAILURES['raw_free']}' END
+ELSE {_text_sql()} END"""
+
+
+@query("fn_31_flat_failures", "flat_facts", sql=f"+ s AS (SELECT * REPLACE (CASE WHEN kind = 'money' THEN 'exact' ELSE kind END AS kind), kind AS k, {_PLAIN.format('evidence')} AS x, {_PLAIN.format('display')} AS yx, {_PLAIN.format('words')} AS rx, concat(words, ' ', display) AS o, NULL::DOUBLE AS minimum, NULL::DOUBLE AS maximum, 'date' AS precision, NULL::INT AS year, NULL::INT AS month, NULL::VARCHAR AS date_time, left(day, 4)::INT AS proposed FROM flat_facts), t AS (SELECT *, {_IMPLICIT} AS implied FROM s) SELECT slug, claim_id, {_FLAT_SQL.replace('CASE kind WHEN', 'CASE k WHEN', 1)} AS failure FROM t")
+def _(t):
+    names = {"number": "n", "minimum": "minimum_hours", "maximum": "maximum_hours", "text": "words"}
+    field = {f.split()[0]: f.split()[1] for f in A.NORMALIZED.split(", ")}
+    value = F.struct(*((F.lit(None) if f == "texts" else F.col(names.get(f, f))).cast(kind).alias(f) for f, kind in field.items()))
+    value = value.withField("texts", F.when(F.col("kind") == "text_list", F.array("words"))).withField("text", F.when(F.col("kind") != "text_list", F.col("words")))
+    cycle = F.when(F.col("first_year").isNotNull(), F.struct(F.array("first_year").alias("years"), F.col("slug").alias("source_id"), "label"))
+    facts = t.select("slug", "claim_id", "field_id", F.when(F.col("kind") != "raw", value).alias("normalized"), F.when(F.col("kind") == "raw", F.col("words")).alias("raw"), (F.col("kind") == "raw").alias("money_field"), "display", F.array("evidence").alias("excerpts"), F.array("source_id").alias("source_ids"), cycle.alias("cycle"))
+    return A.flat_failures(facts).select("slug", "claim_id", "failure")

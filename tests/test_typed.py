@@ -58,3 +58,25 @@ def test_ranges_and_numbers(spark):
     assert ranges("June 15 – July 4, then may 1 through 9 and June 3") == [(6, 15, 7, 4), (5, 1, 5, 9)] and ranges("") == []
     shown = spark.createDataFrame([(2500.0,), (12.5,), (0.0,), (100.25,), (1e7,)], "n double").select(A.number_text(F.col("n")).alias("s")).collect()
     assert [r.s for r in shown] == ["2500", "12.5", "0", "100.25", "10000000"]
+
+
+FACT = f"slug long, field_id string, normalized struct<{', '.join(f'{n}: {k}' for n, k in (f.split() for f in A.NORMALIZED.split(', ')))}>, raw string, money_field boolean, display string, excerpts array<string>, source_ids array<long>, cycle struct<years: array<int>, source_id: long, label: string>"
+FLAT_REASON = {v: k for k, v in A.FLAT_FAILURES.items()}
+
+
+def test_first_reason_of_summary_facts(spark):
+    of = lambda kind, **given: {"kind": kind} | given
+    text = lambda field, own, said: (field, of("text", text=own), None, False, "", [said])
+    cases = [
+        (("cost", of("money", amount=5, currency="EUR"), None, True, "€5", ["5 EUR"]), None), (("cost", of("money", amount=5, currency="EUR"), None, True, "5", ["5 EUR"]), "money"),
+        (("weekly_hours", of("hours", minimum=2, maximum=4), None, False, "2-4 hours", ["2 to 4 hrs weekly"]), None), (("weekly_hours", of("hours", minimum=2, maximum=4), None, False, "2-4 hours", ["2 to 4 hrs"]), "hours"), (("x", of("hours"), None, False, "2 hours", ["2 hours"]), "hours"),
+        (("x", of("percentage", number=12.5), None, False, "12.5%", ["12.5 percent"]), None), (("x", of("percentage", number=12.5), None, False, "12.5%", ["12.5 of 100"]), "percentage"),
+        (("meals_included", of("boolean", flag=False), None, False, None, ["Food is at your expense"]), None), (("meals_included", of("boolean", flag=True), None, False, None, ["Lodging is included"]), "boolean"), (("certificate", of("boolean", flag=False), None, False, None, ["The certificate isn't given"]), None),
+        (("x", of("participation_format", text="hybrid"), None, False, "Hybrid", ["hybrid"]), None), (("x", of("participation_format", text="floating"), None, False, "floating", ["floating"]), "participation_format"),
+        (text("ages", "14 to 18", "Ages 14 to 18"), None), (text("ages", "15", "Ages 14 to 18"), "ages"), (text("ages", "ages 14 to 16", "16, ages 14 to 18"), "age_range"), (text("sponsor_requirement", "A teacher must sign", "A teacher must sign; optional"), "required"), (text("entry_format", "solo", "one team"), "alone"), (text("other", "anything", ""), None), (("ages", of("text_list", texts=["9", "10"]), None, False, "", ["9"]), "ages"),
+        (("cost", None, "$1,000.5", True, "1000.5", ["1000.5 a year"]), None), (("cost", None, "1000", True, None, ["1000.5"]), "raw_money"), (("cost", None, "free", True, None, ["paid"]), "raw_free"), (("cost", None, None, True, None, None), None), (("cost", None, "1000", False, None, []), None), (("x", of("relationship", text="y"), None, False, "", [None]), None),
+    ]
+    lines = [(json.dumps(dict(zip(("field_id", "normalized", "raw", "money_field", "display", "excerpts"), c, strict=True)) | {"slug": i, "source_ids": [1], "cycle": None}),) for i, (c, _) in enumerate(cases)]
+    rows = spark.createDataFrame(lines, "j string").select(F.from_json("j", FACT).alias("c")).select("c.*")
+    got = {r.slug: FLAT_REASON.get(r.failure, r.failure) for r in A.flat_failures(rows).collect()}
+    assert [got[i] for i in range(len(cases))] == [want for _, want in cases]

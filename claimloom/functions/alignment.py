@@ -330,3 +330,55 @@ def flat_failures(facts: DataFrame) -> DataFrame:
     bare = F.when(F.size(amounts) > 0, F.when(~F.forall(amounts, lambda a: says_number(a, y) & says_number(a, x)), F.lit(FLAT_FAILURES["raw_money"]))).otherwise(free)
     failure = F.when(n["kind"].isNull(), F.when(F.col("money_field"), bare)).otherwise(F.coalesce(typed, words))
     return rows.withColumn("failure", failure).drop("_e", "_d", "_r", "_x", "_y")
+
+
+#: Relationships, formats and an amount with its currency's code, as values may give them.
+RELATIONSHIPS = ["institution_operated", "institution_sponsored", "institution_partnered", "hosted_at_institution", "founded_by_affiliates", "independent", "unclear"]
+FORMATS = ["online", "commuter", "residential", "hybrid", "in_person"]
+CODED_AMOUNT = r"^(?:(USD|CAD|AUD|EUR|GBP)\s*)?([$€£]?)\s*(\d[\d,]*(?:\.\d{1,2})?)\s*(USD|CAD|AUD|EUR|GBP)?$"
+DECIMAL = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d{1,3})?$"
+
+
+def normalized_value(value_type: Column, classified: Column, text: Column, number: Column, flag: Column, items: Column) -> Column:
+    """FN-32: a proposed value as ``NORMALIZED`` by its field's type, or null where the type can't hold it.
+
+    One of ``text``, ``number``, ``flag`` and ``items`` is the value, the others are null. An amount needs a ``classified`` field and
+    exactly one code, which no symbol contradicts; a share is 0 to 100; the empty share is 0. Shares in other bases than ten are null.
+    """
+    x = T.normalize_whitespace(text)
+    nothing = {f.split()[0]: F.lit(None).cast(f.split()[1]) for f in NORMALIZED.split(", ")}
+    of = lambda kind, **given: F.struct(*(c.alias(name) for name, c in (nothing | {"kind": F.lit(kind)} | given).items()))
+    before, symbol, digits, after = (F.regexp_extract(x, CODED_AMOUNT, g) for g in (1, 2, 3, 4))
+    code = F.when(before != "", before).otherwise(after)
+    agrees = F.when(symbol == "€", code == "EUR").when(symbol == "£", code == "GBP").when(symbol == "$", code.isin("USD", "CAD", "AUD")).otherwise(True)
+    amount = F.replace(digits, F.lit(","), F.lit("")).try_cast("double")
+    paid = classified & x.rlike(CODED_AMOUNT) & ((before != "") != (after != "")) & agrees
+    count = F.coalesce(T.parse_count(text).cast("double"), F.when((number >= 0) & (number == F.floor(number)) & (number < 2.0**53), number))
+    bare = F.trim(F.regexp_replace(x, "%$", ""))
+    share = F.coalesce(number, F.when(bare == "", 0.0).when(bare.rlike(DECIMAL), bare.try_cast("double")))
+    token = F.lower(x)
+    yes = F.coalesce(flag, F.when(token.isin("yes", "true"), True).when(token.isin("no", "false"), False))
+    length, unit = T.parse_duration(text)
+    low, high = T.parse_weekly_hours(text)
+    least = F.coalesce(low, F.when((number >= 0) & (number < float("inf")), number))
+    listed = F.filter(F.transform(items, T.normalize_whitespace), lambda i: i != "")
+    day, tie, form = T.parse_date(text), T.enum_token(text, RELATIONSHIPS), T.enum_token(text, FORMATS)
+    is_type = lambda *names: value_type.isin(*names)
+    return (
+        F.when(is_type("text", "url"), F.when(text.isNotNull(), of("text", text=x))).when(is_type("text_list"), F.when(items.isNotNull(), of("text_list", texts=listed)))
+        .when(is_type("date"), F.when(day.isNotNull(), of("date", day=day))).when(is_type("money"), F.when(_sure(paid), of("money", amount=amount, currency=code)))
+        .when(is_type("number"), F.when(count.isNotNull(), of("number", number=count))).when(is_type("boolean"), F.when(yes.isNotNull(), of("boolean", flag=yes)))
+        .when(is_type("percentage"), F.when(share.between(0, 100), of("percentage", number=share))).when(is_type("duration"), F.when(length.isNotNull(), of("duration", amount=length, unit=unit)))
+        .when(is_type("hours"), F.when(least.isNotNull(), of("hours", minimum=least, maximum=high))).when(is_type("relationship"), F.when(tie.isNotNull(), of("relationship", text=tie)))
+        .when(is_type("participation_format"), F.when(form.isNotNull(), of("participation_format", text=form)))
+    )
+
+
+def sanitized_value(value_type: Column, classified: Column, text: Column, number: Column, flag: Column, items: Column, display: Column, proposed: Column, excerpts: Column) -> Column:
+    """FN-32: the value by its field's type, else its display; else a proposed amount (``NORMALIZED``) that the value states, if its currency, or that nothing is to pay, is put in words."""
+    nothing = [F.lit(None).cast(kind) for kind in ("double", "boolean", "array<string>")]
+    own = F.coalesce(normalized_value(value_type, classified, text, number, flag, items), normalized_value(value_type, classified, display, *nothing))
+    stated = F.coalesce(number == proposed["amount"], F.when(text.isNotNull(), says_number(proposed["amount"], T.normalize_whitespace(text))), F.lit(False))
+    said = F.concat_ws(" ", F.coalesce(text, F.lit("")), F.coalesce(display, F.lit("")), excerpts)
+    coded = F.regexp_like(said, F.concat(F.lit(r"(?i)\b"), proposed["currency"], F.lit(r"\b"))) | ((proposed["amount"] == 0) & said.rlike(E.FREE))
+    return F.coalesce(own, F.when(_sure(classified & (proposed["kind"] == "money") & stated & coded), proposed))

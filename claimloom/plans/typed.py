@@ -248,3 +248,34 @@ def _(t):
     cycle = F.when(F.col("first_year").isNotNull(), F.struct(F.array("first_year").alias("years"), F.col("slug").alias("source_id"), "label"))
     facts = t.select("slug", "claim_id", "field_id", F.when(F.col("kind") != "raw", value).alias("normalized"), F.when(F.col("kind") == "raw", F.col("words")).alias("raw"), (F.col("kind") == "raw").alias("money_field"), "display", F.array("evidence").alias("excerpts"), F.array("source_id").alias("source_ids"), cycle.alias("cycle"))
     return A.flat_failures(facts).select("slug", "claim_id", "failure")
+
+
+_PROPOSED = [_line(_S("q"), " weeks"), _line(_S("q"), " - ", _S("q + 3"), " hrs per week"), _line("$", _S("p"), " USD"), _line("EUR ", _S("p")), _line("€", _S("p"), " USD"), _line(_S("p")), _line(_S("q"), "%"), _line("Hosted at  institution"), _line("In-Person"), _line(" Yes "), _DAY, _FULL, _line("USD ", _S("p"), " USD"), _line(_S("p"), ".25 GBP"), _line("no")]
+VIEWS |= {"proposed_values": f"SELECT slug, claim_id, {_case('a', ['text', 'date', 'money', 'number', 'boolean', 'percentage', 'duration', 'hours', 'relationship', 'participation_format', 'money', 'money', 'money'])} AS value_type, {_choose('b', _PROPOSED)} AS text, CASE WHEN q % 3 = 0 THEN {_choose('(b + p)', _PROPOSED)} END AS display, CAST(CASE WHEN q % 6 = 0 THEN 0 ELSE p END AS DOUBLE) AS amount, CASE WHEN q % 2 = 0 THEN 'USD' ELSE 'EUR' END AS currency, CASE WHEN q % 4 = 0 THEN 'in usd' WHEN q % 6 = 1 THEN 'free of charge' ELSE 'a eur fee' END AS excerpt FROM {_BASE}"}
+
+
+def _normalized_sql(x: str) -> str:
+    """``kind:value`` by DuckDB."""
+    part = lambda g: f"regexp_extract({x}, '{A.CODED_AMOUNT}', {g})"
+    code = f"concat({part(1)}, {part(4)})"
+    hours = r"(?i)^(\d+(?:\.\d+)?)\s*(?:-|to)?\s*(\d+(?:\.\d+)?)?\s*(?:hours?|hrs?)(?:\s*per\s*week|/week)?$"
+    token = f"regexp_replace(lower({x}), '[\\s-]+', '_', 'g')"
+    return f"""CASE WHEN value_type = 'text' THEN 'text:' || {x} WHEN value_type = 'date' THEN 'date:' || strftime(coalesce(try_strptime({x}, '%Y-%m-%d'), try_strptime({x}, '%B %d, %Y')), '%Y-%m-%d')
+WHEN value_type = 'money' AND regexp_matches({x}, '{A.CODED_AMOUNT}') AND length({code}) = 3 AND NOT ({part(2)} = '€' AND {code} <> 'EUR') AND NOT ({part(2)} = '£' AND {code} <> 'GBP') AND NOT ({part(2)} = '$' AND {code} NOT IN ('USD', 'CAD', 'AUD')) THEN 'money:' || (replace({part(3)}, ',', '')::DECIMAL(18, 2))::VARCHAR || {code}
+WHEN value_type = 'number' AND regexp_matches({x}, '^[0-9,]+$') THEN 'number:' || (replace({x}, ',', '')::DECIMAL(18, 2))::VARCHAR WHEN value_type = 'boolean' AND lower({x}) IN ('yes', 'true', 'no', 'false') THEN 'boolean:' || (lower({x}) IN ('yes', 'true'))::VARCHAR
+WHEN value_type = 'percentage' AND try_cast(regexp_replace({x}, '%$', '') AS DOUBLE) BETWEEN 0 AND 100 THEN 'percentage:' || (regexp_replace({x}, '%$', '')::DECIMAL(18, 2))::VARCHAR
+WHEN value_type = 'duration' AND regexp_matches({x}, '(?i)^\\d+(\\.\\d+)?\\s*(hour|day|week|month)s?$') THEN 'duration:' || (regexp_extract({x}, '^[0-9.]+')::DECIMAL(18, 2))::VARCHAR || regexp_extract(lower({x}), '[a-z]+')
+WHEN value_type = 'hours' AND regexp_matches({x}, '{hours}') THEN 'hours:' || (regexp_extract({x}, '{hours}', 1)::DECIMAL(18, 2))::VARCHAR || (nullif(regexp_extract({x}, '{hours}', 2), '')::DECIMAL(18, 2))::VARCHAR
+WHEN value_type = 'relationship' AND {token} IN ({', '.join(f"'{r}'" for r in A.RELATIONSHIPS)}) THEN 'relationship:' || {token} WHEN value_type = 'participation_format' AND {token} IN ({', '.join(f"'{r}'" for r in A.FORMATS)}) THEN 'participation_format:' || {token} END"""
+
+
+@query("fn_32_normalized_values", "proposed_values", sql=f"""+ s AS (SELECT *, {_PLAIN.format('text')} AS x, {_PLAIN.format('display')} AS yx, concat(text, ' ', coalesce(display, ''), ' ', excerpt) AS said FROM proposed_values)
+SELECT slug, claim_id, coalesce({_normalized_sql('x')}, {_normalized_sql('yx')}, CASE WHEN value_type = 'money' AND {_number('amount', 'x')} AND (regexp_matches(said, concat('(?i)\\b', currency, '\\b')) OR (amount = 0 AND regexp_matches(said, '{E.FREE}'))) THEN 'money:' || (amount::DECIMAL(18, 2))::VARCHAR || currency END) AS shown FROM s""")
+def _(t):
+    none = [F.lit(None).cast(kind) for kind in ("double", "boolean", "array<string>")]
+    field = {f.split()[0]: F.lit(None).cast(f.split()[1]) for f in A.NORMALIZED.split(", ")} | {"kind": F.lit("money"), "amount": F.col("amount"), "currency": F.col("currency")}
+    proposed = F.struct(*(c.alias(f) for f, c in field.items()))
+    got = t.withColumn("v", A.sanitized_value(F.col("value_type"), F.col("value_type") == "money", F.col("text"), *none, F.col("display"), proposed, F.array("excerpt")))
+    v, two = F.col("v"), lambda c: c.cast("decimal(18,2)").cast("string")
+    shown = F.coalesce(v["day"], v["text"], F.concat(two(v["amount"]), F.coalesce(v["currency"], v["unit"])), two(v["number"]), v["flag"].cast("string"), F.concat(two(v["minimum"]), two(v["maximum"])))
+    return got.select("slug", "claim_id", F.concat(v["kind"], F.lit(":"), shown).alias("shown"))

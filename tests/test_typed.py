@@ -80,3 +80,19 @@ def test_first_reason_of_summary_facts(spark):
     rows = spark.createDataFrame(lines, "j string").select(F.from_json("j", FACT).alias("c")).select("c.*")
     got = {r.slug: FLAT_REASON.get(r.failure, r.failure) for r in A.flat_failures(rows).collect()}
     assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
+
+
+@pytest.mark.parametrize(
+    "kind, value, want",
+    [
+        ("money", "USD 1,250.50", {"amount": 1250.5, "currency": "USD"}), ("money", "1250", None), ("money", "€5 USD", None), ("money", "$5 CAD", {"amount": 5.0, "currency": "CAD"}), ("money", "USD 5 USD", None), ("money", 5.0, None),
+        ("percentage", "", {"number": 0.0}), ("percentage", "12 %", {"number": 12.0}), ("percentage", "1e1%", {"number": 10.0}), ("percentage", 101.0, None), ("percentage", "many", None), ("number", "1,200", {"number": 1200.0}), ("number", 1.5, None), ("number", 7.0, {"number": 7.0}),
+        ("boolean", " YES ", {"flag": True}), ("boolean", "maybe", None), ("duration", "6 Weeks", {"amount": 6.0, "unit": "weeks"}), ("hours", "4-2 hours", None), ("hours", 3.0, {"minimum": 3.0}), ("date", "February 30, 2027", None), ("text", 4.0, None), ("text", " a  b ", {"text": "a b"}),
+        ("text_list", ["a ", " "], {"texts": ["a"]}), ("relationship", "hosted at-institution", {"text": "hosted_at_institution"}), ("participation_format", "underwater", None), ("other", "x", None), ("text", None, None),
+    ],
+)
+def test_coercion(spark, kind, value, want):
+    row = (kind, value if isinstance(value, str) else None, value if isinstance(value, float) else None, value if isinstance(value, list) else None)
+    rows = spark.createDataFrame([row], "kind string, text string, number double, items array<string>")
+    got = rows.select(A.normalized_value(F.col("kind"), F.lit(True), F.col("text"), F.col("number"), F.lit(None).cast("boolean"), F.col("items")).alias("v")).first().v
+    assert (None if got is None else {k: v for k, v in got.asDict().items() if v is not None and k != "kind"}) == want

@@ -1,9 +1,10 @@
 """Approximate nearest neighbours by additive quantisation.
 
 A vector is the sum of one full-dimensional codeword from each of M codebooks. Codebooks are fitted on
-residuals, then all at once by least squares; codes are found by beam search. A query's inner products
-with all codewords form a lookup table, which with the stored norm scores a code; the best are reranked
-by the exact cosine of the original vectors.
+residuals, then all at once by least squares; codes are found by beam search. What the codewords leave,
+however much that is on other data or in more dimensions, is one more term of a byte a component with a
+scale of the vector's own. A block of codes is summed up once for many queries and scored by the cosine
+to the sum; the best are reranked by the exact cosine of the original vectors.
 """
 
 from __future__ import annotations
@@ -92,6 +93,20 @@ def valid_vectors(table: DataFrame, id_col: str, vector_col: str) -> tuple[DataF
     return rows.filter(F.size("vector") == d), d
 
 
+def remainder(left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The last term of each vector: bytes [n, d] in units of 1/127 of its largest component, and that [n]."""
+    norms = np.abs(left).max(1)
+    return np.rint(left * (127 / np.where(norms, norms, 1))[:, None]).astype(np.int8), norms
+
+
+def decode(codes: np.ndarray, norms: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """The vectors, at unit length, that codes (M bytes, then d of the remainder) and the remainders' norms stand for."""
+    out = codes[:, len(books) :].view(np.int8) * (norms / 127)[:, None]
+    for own, words in zip(books, codes.T, strict=False):
+        out += own[words]
+    return out / np.maximum(np.sqrt((out * out).sum(1)), 1e-12)[:, None]
+
+
 def _encode_blocks(books: np.ndarray):
     """``(rep, vector)`` rows -> blocks of codes; rows are dealt to parts by id, so every part has its share of any batch."""
 
@@ -104,13 +119,16 @@ def _encode_blocks(books: np.ndarray):
                 x = _matrix(cut.column(1))
                 x /= np.sqrt((x * x).sum(1))[:, None]
                 codes = encode(x, books)
-                built = books[np.arange(books.shape[0]), codes].sum(1)
-                norms = np.sqrt((built * built).sum(1)).astype(np.float32)
+                left = x
+                for own, words in zip(books, codes.T, strict=True):
+                    left = left - own[words]
+                rest, norms = remainder(left)
+                codes = np.concatenate([codes.astype(np.uint8), rest.view(np.uint8)], 1)
                 ids = cut.column(0).to_numpy()
                 part = (splitmix(ids.view(np.uint64)) % np.uint64(PARTS)).astype(np.int64)
                 for p in np.unique(part):
                     own = part == p
-                    parts = [pa.array([p], pa.int32()), pa.array([int(ids[own].min())]), *(pa.array([x[own].tobytes()], pa.binary()) for x in (ids, codes.astype(np.uint8), norms))]
+                    parts = [pa.array([p], pa.int32()), pa.array([int(ids[own].min())]), *(pa.array([x[own].tobytes()], pa.binary()) for x in (ids, codes, norms))]
                     yield pa.RecordBatch.from_arrays(parts, ["part", "at", "ids", "codes", "norms"])
 
     return run
@@ -118,22 +136,16 @@ def _encode_blocks(books: np.ndarray):
 
 def _score_blocks(books: np.ndarray, shortlist: int):
     """Query blocks, each followed by a part's codes block by block -> the best ``shortlist`` codes of each query, once a part."""
-    flat = books.reshape(books.shape[0] * books.shape[1], -1)
 
     def run(batches):
         import pyarrow as pa
 
         q_ids, vectors, best = None, None, []
 
-        def add(ids, codes, norms):
-            places = codes.astype(np.int64) + np.arange(codes.shape[1]) * books.shape[1]
+        def add(ids, built):
             for i, lo in enumerate(range(0, len(q_ids), QUERY_SLICE)):
-                table = (vectors[lo : lo + QUERY_SLICE] @ flat.T).astype(np.float32)
-                scores = np.zeros((len(table), len(ids)), np.float32)
-                for m in range(codes.shape[1]):
-                    scores += table[:, places[:, m]]
-                scores /= np.maximum(norms, np.float32(1e-12))
-                near, reps = best[i] if i < len(best) else (np.zeros((len(table), 0), np.float32), np.zeros((len(table), 0), np.int64))
+                scores = vectors[lo : lo + QUERY_SLICE] @ built.T
+                near, reps = best[i] if i < len(best) else (np.zeros((len(scores), 0)), np.zeros((len(scores), 0), np.int64))
                 near, reps = np.concatenate([near, scores], 1), np.concatenate([reps, np.broadcast_to(ids, scores.shape)], 1)
                 if near.shape[1] > shortlist:
                     top = np.argpartition(-near, shortlist - 1, 1)[:, :shortlist]
@@ -154,7 +166,7 @@ def _score_blocks(books: np.ndarray, shortlist: int):
                     vectors = np.frombuffer(row["vectors"], np.float64).reshape(len(q_ids), -1)
                 else:
                     ids = np.frombuffer(row["ids"], np.int64)
-                    add(ids, np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1), np.frombuffer(row["norms"], np.float32))
+                    add(ids, decode(np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1), np.frombuffer(row["norms"], np.float64), books))
         yield from done()
 
     return run
@@ -168,7 +180,7 @@ def search(table: DataFrame, is_query, k: int = 5, shortlist: int = SHORTLIST, i
     smallest ids, so thousands of copies neither crowd a shortlist nor meet in one task; a repeated id with
     the same vector counts once. Ties go to the smaller id. Fewer candidates than k: all of them.
 
-    Codes (M bytes and a norm for each vector) are computed once. Each block of queries meets them in ``PARTS``
+    Codes (M bytes, d of the remainder and its norm for each vector) are computed once. Each block of queries meets them in ``PARTS``
     streams that hold one block of codes at a time; one shortlist a query leaves a stream, so the shortlists
     of a query are of the same size however many vectors there are. Further columns are ignored.
     """
@@ -211,7 +223,7 @@ def search(table: DataFrame, is_query, k: int = 5, shortlist: int = SHORTLIST, i
     asked = by_block.withColumn("part", every(PARTS))
     offered = codes.withColumn("q", every(blocks))
     met = asked.unionByName(offered, allowMissingColumns=True).repartition("q", "part").sortWithinPartitions("q", "part", F.asc_nulls_first("at"))
-    short = met.select("at", "ids", "vectors", "codes", "norms").mapInArrow(_score_blocks(books, shortlist), "query_id long, rep long, near float")
+    short = met.select("at", "ids", "vectors", "codes", "norms").mapInArrow(_score_blocks(books, shortlist), "query_id long, rep long, near double")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "rep"))
     short = short.withColumn("place", best).filter(F.col("place") <= shortlist).select("query_id", "rep")
 

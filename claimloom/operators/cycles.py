@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimloom.sources.scratch import cut
+
 #: Wording of cycles, of the past, of eligibility by school year.
 SEASONS = "Winter|Spring|Summer|Fall|Autumn"
 ACTION = r"(?i)\b(apply|application|deadline|current|upcoming|cycle|cohort|class|program|challenge|competition)\b"
@@ -51,18 +53,26 @@ def _every(x: Column, pattern: str, make) -> Column:
     return F.zip_with(first, F.regexp_extract_all(x, F.lit(pattern), F.lit(2)), make)
 
 
+def of_place(source_index: Column, kind: Column) -> Column:
+    """What speaks for a block by where it stands."""
+    add = lambda cond, n: F.when(cond, n).otherwise(0)
+    return add(source_index == 0, 8) + add(kind == "heading", 6) + add(kind == "title", 8)
+
+
 def score(x: Column, source_index: Column, kind: Column) -> Column:
     """FN-36: what speaks for a text, whatever it names."""
     add = lambda cond, n: F.when(cond, n).otherwise(0)
-    return add(source_index == 0, 8) + add(kind == "heading", 6) + add(kind == "title", 8) + add(x.rlike(ACTION), 4) - add(x.rlike(PAST), 10) - add(x.rlike(SCHOOL_YEAR), 8) - add(x.rlike(STATISTICS) & ~x.rlike(NO_STATISTICS), 4)
+    return of_place(source_index, kind) + add(x.rlike(ACTION), 4) - add(x.rlike(PAST), 10) - add(x.rlike(SCHOOL_YEAR), 8) - add(x.rlike(STATISTICS) & ~x.rlike(NO_STATISTICS), 4)
 
 
 def candidates(blocks: DataFrame) -> DataFrame:
     """FN-36: ``(slug, source_index, block_index, nth, excerpt, label, start_year, end_year, year, season, cycle_type, score)``.
 
     ``blocks``: ``(slug, source_index, block_index, kind, text, title)``; a page's title is a block of its own, of kind title and index -1.
+    Each distinct text and title is read once, however many cards repeat it, and what it names is joined to its blocks.
     """
-    x = F.trim("text")
+    rows = blocks.filter(F.col("block_index") < MOST_BLOCKS).withColumn("x", F.trim("text"))
+    x = F.col("x")
     subject = F.concat(x, F.lit(" "), F.col("title"))
     inferred = F.when(subject.rlike(r"(?i)\b(?:challenge|competition)\b"), "competition_cycle").when(subject.rlike(r"(?i)\bcohort\b"), "cohort").otherwise("other")
     school = x.rlike(SCHOOL_YEAR)
@@ -88,7 +98,11 @@ def candidates(blocks: DataFrame) -> DataFrame:
     ]
     nothing = F.array().cast(f"array<{_KIND}>")
     listed = F.concat(*(F.coalesce(f.cast(f"array<{_KIND}>"), nothing) for f in families))
-    found = blocks.filter(F.col("block_index") < MOST_BLOCKS).select("slug", "source_index", "block_index", x.alias("excerpt"), score(x, F.col("source_index"), F.col("kind")).alias("base"), F.posexplode(listed).alias("nth", "c"))
+    says = score(x, F.lit(None), F.lit(None)).alias("says")
+    read = cut(rows.select("x", "title").distinct().select("x", "title", says, listed.alias("listed"))).filter(F.size("listed") > 0)  # before the cut, the filter would read every row
+    same = rows.alias("b").join(read.alias("r"), F.col("b.x").eqNullSafe(F.col("r.x")) & F.col("b.title").eqNullSafe(F.col("r.title")))
+    base = F.col("says") + of_place(F.col("source_index"), F.col("kind"))
+    found = same.select("slug", "source_index", "block_index", F.col("b.x").alias("excerpt"), base.alias("base"), F.posexplode("listed").alias("nth", "c"))
     return found.select("slug", "source_index", "block_index", "nth", "excerpt", *(f"c.{k}" for k in ("label", "start_year", "end_year", "year", "season", "cycle_type")), (F.col("base") + F.col("c.bonus")).alias("score"))
 
 
@@ -119,7 +133,8 @@ def resolve(found: DataFrame) -> DataFrame:
     WIN-03: no cycle where the best has a score under 4, or the runner-up means another and is at most one point behind.
     WIN-11: a later season's entry in the following year continues the best.
     """
-    order = ranked(found)
+    found = cut(found)  # read five times below
+    order = cut(ranked(found))
     side = lambda rank, name: order.filter(f"rank = {rank}").select("slug", F.struct(*_FIELDS).alias(name))
     of = lambda name: lambda c: F.col(f"{name}.{c}")
     best, second = of("best"), of("second")

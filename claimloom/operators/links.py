@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from claimloom.functions import identity as I
 from claimloom.functions import markers as M
 from claimloom.functions import urls as U
+from claimloom.sources.scratch import read_once
 
 #: Topics in their order, each with its weight and patterns.
 TOPICS = [
@@ -48,7 +49,7 @@ def rank_links(links: DataFrame, most: int = 6) -> DataFrame:
 
     ``links``: ``(page_id, page_url, title, document_order, url, text)``. Links to other origins, to the page itself, to files or actions,
     under another opportunity's path, or naming another opportunity are left out; each word of the title's identity in a
-    link's adds 5; of a resource's links the best counts, the earlier of equals.
+    link's adds 5; of a resource's links the best counts, the earlier of equals. A link that many pages repeat is read once.
     """
     url, page, path = F.col("url"), F.col("page_url"), M.searchable_url(F.col("url"))
     own, other = I.path_identity(page), I.path_identity(url)
@@ -57,10 +58,12 @@ def rank_links(links: DataFrame, most: int = 6) -> DataFrame:
     fits = (U.origin(url) == U.origin(page)) & (U.resource_key(url) != U.resource_key(page)) & U.is_public(url) & ~U.is_sensitive(url)
     fits = fits & ~U.part(url, "path").rlike(NO_TEXT) & ~F.concat("text", F.lit(" "), path).rlike(ACTIONS) & ~F.coalesce(own != other, F.lit(False))
     fits = fits & ~((F.col("title") != "") & ~under & I.names_another(F.col("text"), target))
-    found = links.filter(fits).withColumn("c", classify(F.col("text"), path)).withColumn("score", F.col("c.score") + 5 * I.overlap(named, target)).filter("score > 0")
+    read = {"fits": fits, "c": classify(F.col("text"), path), "added": 5 * I.overlap(named, target), "key": U.resource_key(url)}
+    score = F.col("c.score") + F.col("added")
+    found = read_once(links, ["page_url", "title", "url", "text"], F.col("fits") & (score > 0), **read).withColumn("score", score)
     best = F.row_number().over(Window.partitionBy("page_id", "key").orderBy(F.desc("score"), "document_order"))
     order = [F.desc("score"), "document_order", "url"]
-    one = found.select("page_id", "document_order", "url", "score", F.col("c.topic").alias("topic"), U.resource_key(url).alias("key")).withColumn("b", best).filter("b = 1")
+    one = found.select("page_id", "document_order", "url", "score", F.col("c.topic").alias("topic"), "key").withColumn("b", best).filter("b = 1")
     nth = one.withColumn("nth", F.row_number().over(Window.partitionBy("page_id", "topic").orderBy(*order)))
     place = F.row_number().over(Window.partitionBy("page_id").orderBy(F.col("nth") > 1, *order))
     return nth.withColumn("place", place).filter(F.col("place") <= most).select("page_id", "place", "url", "topic", "score")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import evidence as E
 from claimloom.functions import identity as I
+from claimloom.sources.scratch import read_once
 
 #: Wording that makes a passage strong for a topic, and what it adds.
 STRONG = {
@@ -38,12 +39,13 @@ def topic_score(text: Column, topic: Column, n_topics: Column, first_source: Col
 
 
 def topic_passages(blocks: DataFrame, most: int = 3) -> DataFrame:
-    """WIN-07: ``(slug, topic, place, source_index, block_index, score)``: the best passages of each topic, one of each source first.
+    """WIN-07: ``(slug, topic, place, source_index, block_index, score)``: the best passages of each topic, one of each source first. A passage that many blocks repeat is read once.
 
     ``blocks``: ``(slug, source_index, block_index, text)``.
     """
-    tagged = blocks.withColumn("topics", E.topics(F.col("text"))).withColumn("n_topics", F.size("topics")).withColumn("topic", F.explode("topics"))
-    scored = tagged.withColumn("score", topic_score(F.col("text"), F.col("topic"), F.col("n_topics"), F.col("source_index") == 0))
+    read = read_once(blocks, ["text"], F.size("topics") > 0, topics=F.transform(E.topics(F.col("text")), lambda t: F.struct(t.alias("topic"), topic_score(F.col("text"), t, F.size(E.topics(F.col("text"))), F.lit(False)).alias("says"))))
+    one = read.select("slug", "source_index", "block_index", F.explode("topics").alias("t"))
+    scored = one.select("slug", "source_index", "block_index", "t.topic", (F.col("t.says") + F.when(F.col("source_index") == 0, 2).otherwise(0)).alias("score"))
     order = [F.desc("score"), "source_index", "block_index"]
     nth = scored.withColumn("nth", F.row_number().over(Window.partitionBy("slug", "topic", "source_index").orderBy(*order)))
     place = F.row_number().over(Window.partitionBy("slug", "topic").orderBy(F.col("nth") > 1, *order))

@@ -22,8 +22,8 @@ from claimloom.llm.encoding import encoder
 
 #: Pieces in a block; islands of each; epochs with a migration between; individuals.
 BLOCK, ISLANDS, EPOCHS, POPULATION = 16_384, 2, 2, 6
-#: Pieces that the children of an epoch hold, all together, on a block of the first pass, and of the pass over poorly filled bins: 2 and 15 children of 16,384 pieces, 32 and 250 of 1,000.
-GENERATION_PIECES, LAST_GENERATION_PIECES = 32_768, 250_000
+#: Pieces that the children of an epoch may hold, all together, where a block isn't yet as few bins as its lengths allow; of the first pass, and of the pass over poorly filled bins: 61 children of 16,384 pieces, 1,000 of 1,000.
+GENERATION_PIECES, LAST_GENERATION_PIECES = 1_000_000, 1_000_000
 #: Bins filled to less than this share are packed again over all blocks.
 WELL_FILLED = 0.97
 

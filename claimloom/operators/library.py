@@ -139,9 +139,10 @@ def dataset_problems(cards: DataFrame, least: int = 6) -> DataFrame:
 def salvaged(records: DataFrame) -> DataFrame:
     """WIN-15: records ``(slug, id, needs)`` that can be added once what they need is there, pass after pass; a pass that adds nothing ends it.
 
-    Every pass is written, so its plan doesn't grow; there are as many as a card's longest chain of needs.
+    Records and every pass are written, so no pass reads the input again and its plan doesn't grow; there are as many as a card's longest chain of needs.
     """
-    new = records.filter("needs IS NULL").select("slug", "id").distinct()
+    records = cut(records.select("slug", "id", "needs"))
+    new = cut(records.filter("needs IS NULL").select("slug", "id").distinct())
     kept = new
     while not new.isEmpty():
         more = records.join(new.select("slug", F.col("id").alias("needs")), ["slug", "needs"], "left_semi").select("slug", "id").distinct()

@@ -85,13 +85,14 @@ def manifests(items: DataFrame) -> DataFrame:
 
     ``items``: ``(slug, section, section_no, place, item_id, content)``, the union of a card's sources, facts, records and
     final checks; null contents are told from empty ones. A card's items are one array: a card is one bounded
-    document. Sections are summed up first, each on its own.
+    document. Contents are dealt once, by their card; its few sections are told apart in the array.
     """
-    sections = items.groupBy("slug", "section_no", "section").agg(F.array_sort(F.collect_list(F.struct("place", "item_id", "content"))).alias("rows"))
-    ordered = sections.groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("section_no", F.col("section").alias("id"), "rows"))).alias("s"))
-    listed = F.transform("s", lambda x: F.struct(x["id"].alias("id"), F.transform(x["rows"], lambda r: r["item_id"]).alias("itemIds")))
-    ids = F.flatten(F.transform("s", lambda x: F.transform(x["rows"], lambda r: r["item_id"])))
-    held = F.flatten(F.transform("s", lambda x: F.transform(x["rows"], lambda r: F.struct(r["content"].alias("content"), r["item_id"].alias("id")))))
+    ordered = items.groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("section_no", "section", "place", "item_id", "content"))).alias("rows"))
+    sections = F.array_distinct(F.transform("rows", lambda r: F.struct(r["section_no"].alias("no"), r["section"].alias("id"))))
+    of = lambda k: F.filter("rows", lambda r: r["section_no"].eqNullSafe(k["no"]) & r["section"].eqNullSafe(k["id"]))
+    listed = F.transform(sections, lambda k: F.struct(k["id"].alias("id"), F.transform(of(k), lambda r: r["item_id"]).alias("itemIds")))
+    ids = F.transform("rows", lambda r: r["item_id"])
+    held = F.transform("rows", lambda r: F.struct(r["content"].alias("content"), r["item_id"].alias("id")))
     digest = lambda x: F.sha2(F.to_json(x, {"ignoreNullFields": "false"}), 256)
     return ordered.select("slug", digest(listed).alias("manifest_sha256"), digest(held).alias("content_sha256"), F.size(ids).cast("long").alias("n_items"), (F.size(F.array_distinct(ids)) < F.size(ids)).alias("repeated"))
 

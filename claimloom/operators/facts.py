@@ -105,7 +105,8 @@ def project_cost_fields(costs: DataFrame) -> DataFrame:
     needed = costs.filter("NOT (requirement <=> 'optional')").withColumn("field_id", field).filter("field_id IS NOT NULL")
     value = F.struct("amount", "minimum", "maximum", "currency")
     listed = F.transform(F.array_sort(F.collect_list(F.struct("position", "label", "display"))), lambda c: F.concat(c["label"], F.lit(": "), c["display"]))
-    g = needed.groupBy("slug", "field_id", "kind", place.alias("place")).agg(
+    by_card = needed.repartition("slug")  # dealt once: the distinct amounts, the kinds and the fields all group within a card
+    g = by_card.groupBy("slug", "field_id", "kind", place.alias("place")).agg(
         F.count("*").alias("n"), F.count_if(disclosed).alias("n_disclosed"), F.count_distinct(F.when(disclosed, value)).alias("n_amounts"),
         F.bool_or(F.col("requirement") == "conditional").alias("conditional"), F.bool_or("scoped").alias("scoped"), F.array_join(listed, "; ").alias("all_costs"),
         F.min_by(F.struct("amount", "display"), "position").alias("first"), F.min_by(F.when(~disclosed, F.struct("status", "note")), F.when(~disclosed, F.col("position"))).alias("open"),

@@ -13,6 +13,7 @@ Layout under the store's path (Parquet, zstd):
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import zlib
 
@@ -21,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from claimloom.llm import encoding
 from claimloom.llm.common import local_file, slices_by_bytes, text_bytes
 from claimloom.llm.encoding import encoder
 
@@ -28,6 +30,8 @@ WINDOW = 16
 MIN_IDS, MEAN_BITS, MAX_IDS = 128, 10, 8192
 #: Recipes in a shard, at most.
 SHARD = 65_536
+#: Bytes of an Arrow batch that a writing task holds, and payloads that a reading task opens at once.
+BATCH_BYTES, OPENED = 1 << 22, 1_024
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 1 << 16, dtype=np.uint32)
 
 
@@ -152,6 +156,7 @@ def _encode_parts(tokenizer: str, end_id: int):
                 cols = [["chunk"] * len(chunks) + ["recipe"] * len(recipes), [*chunks, *empty], [*(x[0] for x in chunks.values()), *n], [*(x[1] for x in chunks.values()), *empty], none + doc_ids[lo:hi], [*none, *digests], [*none, *lens], [*none, *roots]]
                 types = [pa.string(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["kind", "key", "n", "payload", "doc_id", "digests", "lens", "root"])
+            pa.default_memory_pool().release_unused()  # what Arrow keeps of a batch's splits would stay beside the JVM's memory
 
     return run
 
@@ -161,6 +166,7 @@ def _once(batches):
     import pyarrow as pa
     import pyarrow.compute as pc
 
+    encoding.release()
     last = None
     for batch in batches:
         keys = batch.column(1)
@@ -200,6 +206,7 @@ def _place(batches):
     """Adds each recipe's shard, ``SHARD`` recipes at most and in the order of the partition, and its start within it."""
     import pyarrow as pa
 
+    encoding.release()
     shard, filled, at = int(TaskContext.get().partitionId()) << 32, 0, 0
     for batch in batches:
         n, lo = batch.column("n").to_numpy(), 0
@@ -213,6 +220,18 @@ def _place(batches):
                 shard, filled, at = shard + 1, 0, 0
 
 
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession):
+    """Arrow batches of ``BATCH_BYTES`` for what is written within: each is held in the JVM and in Python, beside the piece cache."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def write_store(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes every whole text and writes the store.
 
@@ -225,7 +244,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json"
     parts = chosen.mapInArrow(_encode_parts(tokenizer, end_id), _PARTS)
     # equal chunks of a slice are one already; a chunk that every slice has is a row for each slice
     dealt = parts.repartition(F.coalesce("key", F.xxhash64("doc_id", "root").cast("string").cast("binary"))).sortWithinPartitions("key")
-    dealt.mapInArrow(_once, _PARTS).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/parts")
+    with _small_batches(spark):
+        dealt.mapInArrow(_once, _PARTS).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/parts")
     recipes = spark.read.schema(_PARTS).parquet(f"{path}/parts").filter("kind = 'recipe'").select("doc_id", "n", "digests", "lens", "root")
     placed = recipes.repartitionByRange("doc_id", "root").sortWithinPartitions("doc_id", "root").mapInArrow(_place, "doc_id long, n long, digests binary, lens binary, root binary, local_start long, shard long")
     placed.write.option("compression", "zstd").parquet(f"{path}/recipes")
@@ -238,6 +258,7 @@ def _summarise(batches):
     """Recipes in the order of their shards -> the shards' counts and Merkle roots."""
     import pyarrow as pa
 
+    encoding.release()
     out, now, tree = [], None, MerkleStack()
     for batch in batches:
         for shard, doc_id, n, root in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "n", "root")), strict=True):
@@ -264,7 +285,8 @@ def _shard_summaries(recipes: DataFrame) -> DataFrame:
 def _check_chunks(batches):
     import pyarrow as pa
 
-    for batch in batches:
+    encoding.release()
+    for batch in (whole.slice(lo, OPENED) for whole in batches for lo in range(0, whole.num_rows, OPENED)):
         digests, payloads = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         sound = [address(p) == d for d, p in zip(digests, payloads, strict=True)]
         crcs = [zlib.crc32(np.frombuffer(p, "<u2").astype("<u4").tobytes()) for p in payloads]
@@ -275,7 +297,8 @@ def _open_recipes(batches):
     """One row for each chunk of a document; ``matches`` tells whether the recipe has the root it names."""
     import pyarrow as pa
 
-    for batch in batches:
+    encoding.release()
+    for batch in (whole.slice(lo, OPENED) for whole in batches for lo in range(0, whole.num_rows, OPENED)):
         shard, local, doc, n, digests, lens, root = (c.to_pylist() for c in batch.columns)
         rows = []
         for i in range(batch.num_rows):

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from claimloom.llm import ann, exact_dedup, language_id, license_scan, mixing, packing, queries, simhash, substring_dedup, token_counts, token_store
+from claimloom.llm import ann, encoding, exact_dedup, language_id, license_scan, mixing, packing, queries, simhash, substring_dedup, token_counts, token_store
 from claimloom.llm.common import local_file, scratch_path
 from claimloom.llm.encoding import PieceEncoder
 
@@ -153,6 +153,31 @@ def test_token_store(spark, docs, empty):
     assert token_store.read_digests(spark, path).count() == 0
 
 
+def test_token_store_holds_small_batches_and_one_stage_s_cache(spark, monkeypatch, tmp_path):
+    seen, encode, key = tmp_path / "seen", token_store._encode_parts, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def noting(*args):
+        def run(batches):
+            def each():
+                for batch in batches:
+                    with open(seen, "a") as f:
+                        f.write(f"{batch.nbytes}\n")
+                    yield batch
+
+            return encode(*args)(each())
+
+        return run
+
+    monkeypatch.setattr(token_store, "_encode_parts", noting)
+    before = spark.conf.get(key)
+    token_store.write_store(spark.range(0, 6_000, 1, 1).selectExpr("id AS doc_id", "repeat(concat('w', id, ' '), 400) AS text"), scratch_path(spark, "t"))
+    sizes = [int(x) for x in seen.read_text().split()]
+    assert sum(sizes) > 12 << 20 and max(sizes) < 6 << 20 and spark.conf.get(key) == before
+    for later in (token_store._once, token_store._check_chunks, token_store._open_recipes):
+        encoding.encoder(BPE)
+        assert list(later([])) == [] and not encoding._encoders
+
+
 def test_cuts_depend_on_nearby_ids_only():
     ids = np.random.default_rng(1).integers(0, 50_000, 60_000).astype(np.uint16)
     cuts = lambda x: token_store.cut_points(len(x), token_store.cut_candidates(x).tolist())

@@ -12,6 +12,7 @@ import codecs
 import os
 import re
 from array import array
+from itertools import compress
 
 import numpy as np
 
@@ -51,15 +52,13 @@ class PieceEncoder:
         self.tokenizer.no_padding()
         self.model, self.chars, self.limit = self.tokenizer.model, _byte_chars(), cached_pieces
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self._clear([])
+        self._clear()
 
-    def _clear(self, kept: list[tuple[str, list[int] | None]]) -> None:
+    def _clear(self) -> None:
         """The cache: number of each piece; ids of all pieces in a row, with their ends; pieces met again."""
         self.number: dict[str, int] = {}
         self.pool, self.ends, self.unsafe, self.tails = array("H"), array("q", [0]), array("b"), {}
         self.again = np.zeros(0, bool)
-        for key, ids in kept:
-            self._keep(key, ids)
 
     def _keep(self, key: str, ids: list[int] | None) -> None:
         """``ids``: None where the piece's edges make the cut unsafe."""
@@ -71,10 +70,16 @@ class PieceEncoder:
     def _shrink(self) -> None:
         """Drops the pieces that were met in one batch only; all of them, if those are too few."""
         again = np.append(self.again, np.zeros(len(self.number) - len(self.again), bool))
-        kept = []
-        if again.sum() < self.limit // 2:
-            kept = [(k, None if self.unsafe[n] else self.pool[self.ends[n] : self.ends[n + 1]]) for k, n in self.number.items() if again[n]]
-        self._clear(kept)
+        if again.sum() >= self.limit // 2:
+            self._clear()
+            return
+        sizes = np.diff(np.frombuffer(self.ends, np.int64))
+        pool = np.frombuffer(self.pool, np.uint16)[np.repeat(again, sizes)] if len(self.pool) else np.zeros(0, np.uint16)
+        unsafe, kept = np.frombuffer(self.unsafe, np.int8)[again], compress(self.number, again.tolist())  # keys lie in the order of their numbers
+        number = {key: n for n, key in enumerate(kept)}
+        self._clear()
+        self.number, self.pool, self.unsafe = number, array("H", pool.tobytes()), array("b", unsafe.tobytes())
+        self.ends = array("q", np.append(0, np.cumsum(sizes[again])).tobytes())
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []

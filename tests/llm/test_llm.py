@@ -135,6 +135,14 @@ def test_token_counts(spark, docs, empty):
         assert token_counts.count_tokens(docs, name).count() == len(planted())
 
 
+def test_a_full_cache_keeps_the_pieces_met_again():
+    tok, enc = Tokenizer.from_file(BPE), PieceEncoder(BPE, 40)
+    for i in range(30):
+        text = " ".join(["the river  is\n19", *(f"w{i}x{j}" for j in range(10))])
+        assert enc.encode([text])[0].tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert "river" in enc.number and len(enc.number) < 100 and len(enc.ends) == len(enc.unsafe) + 1 == len(enc.number) + 1
+
+
 def test_token_store(spark, docs, empty):
     tok = Tokenizer.from_file(BPE)
     streams = sorted(((-1 if r[0] is None else r[0], [*tok.encode(r[1] or "", add_special_tokens=False).ids, 0]) for r in planted()), key=lambda x: x[0])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from claimloom.functions import text as T
 from claimloom.functions import urls as U
 from claimloom.operators import html, links
+from claimloom.sources.scratch import cut
 
 #: Why a linked page isn't reviewed.
 NOT_FOUND, OTHER_ORIGIN = "FETCH_FAILED", "CROSS_ORIGIN_REDIRECT"
@@ -20,13 +21,15 @@ def crawl(pages: DataFrame, most: int = 6) -> DataFrame:
     ``reviewed``; ``duplicate`` where the page itself or an earlier link ends at the same address; else a
     failure: no such page, a page that isn't read (``page_status``), or a redirect to another origin, which only the first
     application link of a page may take. Of pages with one resource the one of smallest address is read; pages
-    without a url lead nowhere. The join is on the resource and the windows on a page, which has at most ``most`` links.
+    without a url lead nowhere. Of pages that end at one address the one of smallest title, then smallest links, gives the
+    links; they are cut, since the ranking reads them twice and would have pages parsed twice. The join is on the resource and the windows on a page, which has at most ``most`` links.
     """
     given = pages if "final_url" in pages.columns else pages.withColumn("final_url", F.col("url"))
     final = given.select(F.coalesce("final_url", "url").alias("url"), "html")
-    opened = html.parse_pages(final).dropDuplicates(["page_id"]).select("page_id", F.col("url").alias("page_url"), "title", F.explode("links").alias("l"))
+    one = html.parse_pages(final).groupBy("page_id", F.col("url").alias("page_url")).agg(F.min(F.struct("title", "links")).alias("p"))
+    opened = cut(one).select("page_id", "page_url", "p.title", F.explode("p.links").alias("l"))
     ranked = links.rank_links(opened.select("page_id", "page_url", "title", "l.document_order", "l.url", "l.text"), most)
-    ends = html.page_status(final).filter("page_id IS NOT NULL").groupBy("page_id").agg(F.first("url").alias("end"), F.max_by("status", F.col("status") == "read").alias("status"))
+    ends = html.page_status(final).filter("page_id IS NOT NULL").groupBy("page_id").agg(F.first("url").alias("end"), F.max(F.struct(F.col("status") == "read", "status"))["status"].alias("status"))
     asked = given.filter("url IS NOT NULL").select(T.canonical_url(F.col("url")).alias("asked"), T.stable_page_id(T.canonical_url(F.coalesce("final_url", "url"))).alias("target_id"))
     asked = asked.groupBy(U.resource_key(F.col("asked")).alias("resource")).agg(F.min(F.struct("asked", "target_id"))["target_id"].alias("target_id"))
     targets = asked.join(ends.select(F.col("page_id").alias("target_id"), F.col("end").alias("final_url"), "status"), "target_id")

@@ -30,8 +30,6 @@ YEAR_SEASON = rf"(?i)\b(20\d{{2}})\b.{{0,60}}?\b({SEASONS})(?:\s+(?:dates?|sessi
 MONTHS_YEAR = r"(?i)\b(June|July|August)(?:\s*(?:&|and|,|through|to|-)\s*(?:June|July|August))?\s+(20\d{2})\b"
 CYCLE_YEAR = r"(?i)\b(20\d{2})\s+(?:competition\s+)?(?:cycle|cohort|class|program|challenge|competition)\b"
 YEAR = r"\b(20\d{2})\b"
-#: Blocks of a page that are read.
-MOST_BLOCKS = 80
 
 _KIND = "struct<label:string,start_year:int,end_year:int,year:int,season:string,cycle_type:string,bonus:int>"
 
@@ -68,10 +66,10 @@ def score(x: Column, source_index: Column, kind: Column) -> Column:
 def candidates(blocks: DataFrame) -> DataFrame:
     """FN-36: ``(slug, source_index, block_index, nth, excerpt, label, start_year, end_year, year, season, cycle_type, score)``.
 
-    ``blocks``: ``(slug, source_index, block_index, kind, text, title)``; a page's title is a block of its own, of kind title and index -1.
+    ``blocks``: ``(slug, source_index, block_index, kind, text, title)``, all of a page's; its title is a block of its own, of kind title and index -1.
     Each distinct text and title is read once, however many cards repeat it, and what it names is joined to its blocks.
     """
-    rows = blocks.filter(F.col("block_index") < MOST_BLOCKS).withColumn("x", F.trim("text"))
+    rows = blocks.withColumn("x", F.trim("text"))
     x = F.col("x")
     subject = F.concat(x, F.lit(" "), F.col("title"))
     inferred = F.when(subject.rlike(r"(?i)\b(?:challenge|competition)\b"), "competition_cycle").when(subject.rlike(r"(?i)\bcohort\b"), "cohort").otherwise("other")
